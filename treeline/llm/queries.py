@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.cluster import table
-from treeline.llm import syntax
+from treeline.llm import hidden_text, labels, syntax
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -21,5 +21,20 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.broken_rates(_verdicts(spark, d))
 
 
-QUERIES = {"p7_found": p7_found, "p7_rates": p7_rates}
+def _encoders(spark: SparkSession, d: str) -> hidden_text.Encoders:
+    return hidden_text.fit(labels.labelled_sample(table(spark, d, "documents")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    enc = _encoders(spark, d)
+    source = hidden_text.source_text(table(spark, d, "source_files"), enc).withColumn("origin", F.lit("source"))
+    message = hidden_text.message_text(table(spark, d, "findings"), enc).withColumn("origin", F.lit("message"))
+    return source.unionByName(message).select("origin", "record_id", "line", "lang")
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    return hidden_text.language_shares(hidden_text.source_text(table(spark, d, "source_files"), _encoders(spark, d))).withColumnRenamed("record_id", "file_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_shares": p1_shares, "p7_found": p7_found, "p7_rates": p7_rates}
 SQL: dict[str, str] = {}
