@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.cluster import table
-from treeline.llm import hidden_text, labels, syntax
+from treeline.llm import credentials, hidden_text, labels, syntax
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -36,5 +36,16 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return hidden_text.language_shares(hidden_text.source_text(table(spark, d, "source_files"), _encoders(spark, d))).withColumnRenamed("record_id", "file_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_shares": p1_shares, "p7_found": p7_found, "p7_rates": p7_rates}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    source = credentials.credential_lines(table(spark, d, "source_files"), "file_id", "source", "file").withColumn("origin", F.lit("source"))
+    message = credentials.credential_lines(table(spark, d, "findings"), "finding_id", "message").withColumn("origin", F.lit("message"))
+    return source.unionByName(message).select("origin", "record_id", "line")
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Files that held credentials, with the redacted text."""
+    return credentials.redacted_texts(table(spark, d, "source_files"), "file_id", "source", "file").filter("redacted > 0").withColumnRenamed("record_id", "file_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p1_found": p1_found, "p1_shares": p1_shares, "p7_found": p7_found, "p7_rates": p7_rates}
 SQL: dict[str, str] = {}
