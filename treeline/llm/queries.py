@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.cluster import table
-from treeline.llm import credentials, hidden_text, labels, syntax
+from treeline.llm import credentials, doc_language, hidden_text, labels, leaks, mixing, shared_spans, syntax
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -47,5 +47,73 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted_texts(table(spark, d, "source_files"), "file_id", "source", "file").filter("redacted > 0").withColumnRenamed("record_id", "file_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p1_found": p1_found, "p1_shares": p1_shares, "p7_found": p7_found, "p7_rates": p7_rates}
-SQL: dict[str, str] = {}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.line_rows(shared_spans.shared_lines(table(spark, d, "duplicate_facts")))
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shares(table(spark, d, "duplicate_facts"))
+
+
+def p6_components(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.file_components(table(spark, d, "duplicate_facts"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.item_report(p8_found(spark, d))
+
+
+def p8_reworded(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.reworded_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_copies(spark, d), table(spark, d, "mix_targets"))
+
+
+def _prose(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return doc_language.prose_languages(documents, doc_language.fit(labels.labelled_sample(documents)))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return doc_language.wrong_lines(_prose(spark, d))
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return doc_language.document_languages(_prose(spark, d))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return doc_language.segments(_prose(spark, d))
+
+
+_ALL = (
+    p1_found, p1_shares, p3_found, p3_redacted, p6_found, p6_shares, p6_components, p7_found, p7_rates,
+    p8_found, p8_items, p8_reworded, p9_copies, p9_shares, p10_found, p10_documents, p10_segments,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+_P6 = """
+WITH f AS (SELECT file_id, min_lines, lines, hashes FROM duplicate_facts
+           WHERE file_id IS NOT NULL AND hashes IS NOT NULL AND lines IS NOT NULL AND min_lines > 0),
+one AS (SELECT DISTINCT ON (file_id) * FROM f),
+w AS (SELECT file_id, unnest(hashes) AS h, unnest(range(len(hashes))) AS pos FROM one),
+b AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT file_id) > 1),
+s AS (SELECT w.file_id, pos FROM w JOIN b USING (h)),
+l AS (SELECT DISTINCT s.file_id, lines[pos + 1 + k] AS line FROM s JOIN one USING (file_id), LATERAL (SELECT unnest(range(min_lines)) AS k) WHERE lines[pos + 1 + k] IS NOT NULL)
+"""
+SQL = {
+    "p6_found": _P6 + "SELECT file_id, line FROM l",
+    "p6_shares": _P6
+    + """SELECT file_id, max(len(lines)) AS code_lines, coalesce(max(n), 0) AS shared_lines, CASE WHEN max(len(lines)) > 0 THEN coalesce(max(n), 0) / max(len(lines)) ELSE 0.0 END AS share
+      FROM (SELECT file_id, lines FROM duplicate_facts WHERE file_id IS NOT NULL AND lines IS NOT NULL) LEFT JOIN (SELECT file_id, count(*) AS n FROM l GROUP BY 1) USING (file_id) GROUP BY 1""",
+}
