@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.cluster import table
-from treeline.llm import credentials, doc_language, hidden_text, labels, leaks, mixing, shared_spans, syntax
+from treeline.llm import credentials, doc_language, hidden_text, labels, leaks, mixing, provenance, shared_spans, syntax
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +36,14 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return hidden_text.language_shares(hidden_text.source_text(table(spark, d, "source_files"), _encoders(spark, d))).withColumnRenamed("record_id", "file_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(provenance.file_labels(table(spark, d, "source_files"))).select("file_id")
+
+
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.file_labels(table(spark, d, "source_files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     source = credentials.credential_lines(table(spark, d, "source_files"), "file_id", "source", "file").withColumn("origin", F.lit("source"))
     message = credentials.credential_lines(table(spark, d, "findings"), "finding_id", "message").withColumn("origin", F.lit("message"))
@@ -97,7 +105,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_shares, p3_found, p3_redacted, p6_found, p6_shares, p6_components, p7_found, p7_rates,
+    p1_found, p1_shares, p2_found, p2_labels, p3_found, p3_redacted, p6_found, p6_shares, p6_components, p7_found, p7_rates,
     p8_found, p8_items, p8_reworded, p9_copies, p9_shares, p10_found, p10_documents, p10_segments,
 )
 QUERIES = {f.__name__: f for f in _ALL}
