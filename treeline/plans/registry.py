@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.plans import general
+from treeline.plans import code, general, trees
 
-MODULES = (general,)
+MODULES = (general, code, trees)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,4 +22,4 @@ def sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for m in MODULES:
         out |= m.SQL
-    return out
+    return out | trees.P4

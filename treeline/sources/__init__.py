@@ -1 +1 @@
-
+"""Where files, configurations, baselines and caches come from."""
