@@ -1 +1 @@
-
+"""Where findings and reports go."""
