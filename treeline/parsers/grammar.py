@@ -2435,9 +2435,17 @@ class PhpGrammar(CGrammar):
     def operand(self) -> None:
         while self.p < self.n:
             c = self.s[self.p]
-            if c in self.prefix or c == self.k["yield"] or c in self.unary and c != self.k["new"]:
-                if c == self.k["yield"] and (self.p + 1 >= self.n or self.s[self.p + 1] in ";"):
-                    break
+            if c == self.k["yield"]:
+                self.p += 1
+                nxt = self.s[self.p + 1] if self.p + 1 < self.n else ""
+                if self.at("i") and nxt and (nxt in "vins" or nxt in IS_BRACKET):  # yield from
+                    self.p += 1
+                if self.p < self.n and self.s[self.p] not in ";,":
+                    self.expr()
+                    if self.take("a"):
+                        self.expr()
+                return
+            if c in self.prefix or c in self.unary and c != self.k["new"]:
                 self.p += 1
             elif c in IS_PAREN and self.is_cast():
                 self.p += 1
