@@ -651,7 +651,7 @@ class JsGrammar(Grammar):
     def klass(self) -> None:
         self.decorators()
         self.need(self.k["class"])
-        if self.peek() and self.peek() in self.soft and not (self.typed and False):
+        if self.peek() and self.peek() in self.soft:
             self.p += 1
         if self.typed and self.at("<"):
             self.type_params()
@@ -1403,7 +1403,6 @@ class JavaGrammar(CGrammar):
         self.mods = self.chars("abstract default final native private protected public static strictfp synchronized transient volatile sealed non")
         self.soft = frozenset("i") | self.chars("record sealed permits non yield var")
         self.prefix = "+!x"
-        self.k = k
 
     def name(self) -> None:
         self.must(self.peek() and self.peek() in self.soft)
@@ -1590,8 +1589,7 @@ class JavaGrammar(CGrammar):
                 return self.lambda_body()
             if self.paren("T"):
                 n2 = self.peek()
-                only_prim = False
-                if n2 and (n2 in "ins!" or n2 in IS_PAREN or n2 in self.soft or n2 in (k["this"], k["super"], k["new"], k["switch"]) or n2 in "+x" and not only_prim):
+                if n2 and (n2 in "ins!" or n2 in IS_PAREN or n2 in self.soft or n2 in (k["this"], k["super"], k["new"], k["switch"]) or n2 in "+x"):
                     if self.tries(self.operand):
                         return None
                 self.p = at
@@ -2460,7 +2458,7 @@ class PhpGrammar(CGrammar):
         if not (ord(self.s[self.p]) - PAREN) >> self.paren_roles.index("V") & 1:
             return False
         nxt = self.s[self.p + 1] if self.p + 1 < self.n else ""
-        return bool(nxt) and (nxt in "vins$" or nxt in IS_PAREN or nxt in IS_BRACKET and False or nxt in self.unary)
+        return bool(nxt) and (nxt in "vins$" or nxt in IS_PAREN or nxt in self.unary)
 
     def primary(self) -> None:
         c = self.peek()
@@ -2895,7 +2893,6 @@ class PhpGrammar(CGrammar):
         self.commas(one)
 
     def c_K(self) -> None:
-        k = self.k
         while self.p < self.n:
             self.attributes()
             if self.takew("use"):
@@ -2948,7 +2945,6 @@ class PhpGrammar(CGrammar):
                     if not self.take(","):
                         break
                 self.end()
-        del k
 
 
 class LuaGrammar(Grammar):
@@ -2960,16 +2956,11 @@ class LuaGrammar(Grammar):
     brace_roles = ("O",)
     binary = "o+*&<>"
     prefix = "+!&"
-    has_blocks = re.compile("")
 
     def setup(self) -> None:
         k = self.k
         self.values = frozenset("ns") | {k["nil"], k["true"], k["false"], "e"}
         self.logic = {k["and"], k["or"]}
-        openers = "".join(k[w] for w in ("function", "do", "then", "repeat"))
-        self.words = re.compile(f"[{openers}]")
-        # a function, do or loop without blocks inside; its body is read and it becomes one character
-        self.inner = None
 
     def operand(self) -> None:
         while self.p < self.n and (self.s[self.p] in self.prefix or self.s[self.p] == self.k["not"]):
@@ -3154,9 +3145,6 @@ class LuaGrammar(Grammar):
 
         return self.whole(s, chunk)
 
-    def group(self, m: re.Match) -> str:
-        return super().group(m)
-
     def p_E(self) -> None:
         self.expr()
 

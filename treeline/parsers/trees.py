@@ -18,7 +18,7 @@ import re
 import tokenize
 import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 from treeline.parsers import classes, grammar
@@ -61,10 +61,7 @@ class Language:
     comments_count: bool = True  # comments are nodes
     grammar: str | None = None
     hash_comments: bool = False
-    anonymous: frozenset[str] = frozenset()
     wrap_bodies: bool = False  # a body without braces becomes a Block
-    lambdas: bool = True
-    extra_words: frozenset[str] = field(default_factory=frozenset)
 
 
 def _set(words: str) -> frozenset[str]:
@@ -179,7 +176,6 @@ class BraceReader:
         self.text, self.lang = text, lang
         self.all = tokens(text, lang)
         self.t = [x for x in self.all if x.kind not in "L" and (x.kind != "C" or lang.comments_count)]
-        breaks = {x.start for x in self.all if x.kind == "L"}
         self.after_break = set()
         if lang.newline_ends:
             pend = False
@@ -191,7 +187,6 @@ class BraceReader:
                     if pend:
                         self.after_break.add(id(x))
                     pend = False
-        del breaks
         self.p = 0
 
     def more(self) -> bool:
@@ -235,12 +230,6 @@ class BraceReader:
             self.p += 1
         return n
 
-    def group(self) -> tuple[int, int, list[Node]]:
-        """Skips a bracket group: (first token, token after, functions inside)."""
-        start = self.p
-        inside = self.expression_group()
-        return start, self.p, inside
-
     def expression_group(self) -> list[Node]:
         close = _CLOSER[self.peek()]
         self.p += 1
@@ -278,16 +267,10 @@ class BraceReader:
         out: list[Node] = []
         while self.more() and self.peek() != "}":
             if self.kind() in "WS" and self.peek(1) == "(":
-                at = self.p
-                name = self.peek()
-                line = self.line()
+                name, line = self.peek(), self.line()
                 self.p += 1
-                _, _, inner = self.group()
-                if self.peek() == "{":
-                    out.append(Node("FunctionDecl", line, [self.block()], name=name))
-                    continue
-                del at
-                out += inner
+                inner = self.expression_group()
+                out += inner if self.peek() != "{" else [Node("FunctionDecl", line, [self.block()], name=name)]
                 continue
             out += self.expression_part()
         self.p += 1
@@ -651,7 +634,7 @@ class BraceReader:
                     break
                 self.p += 1
                 continue
-            if self.lang.newline_ends and id(t) in self.after_break and last is not first and last.text not in _CONTINUES and t.text not in _CONTINUES and not (t.text == "{" and False):
+            if self.lang.newline_ends and id(t) in self.after_break and last is not first and last.text not in _CONTINUES and t.text not in _CONTINUES:
                 break
             if self.lang.newline_ends and id(t) in self.after_break and last is first and first.text not in _CONTINUES and t.text not in _CONTINUES and (first.kind in "SD" or first.kind == "W" and first.text not in _JUMPS):
                 break
@@ -685,13 +668,9 @@ class BraceReader:
                     return [self.type_body(t, words, out)]
                 if not seen_equals and paren_end >= 0 and (self.lang.typed_functions or self.lang.name in ("JavaScript", "TypeScript")) and paren_name and paren_name not in ("if", "while", "switch", "catch"):
                     name = paren_name
-                    owner = words[:-1] if words else []
-                    del owner
                     ctor = self.lang.name in ("C#", "Java") and sum(w == name for w in words) == 1 and words[-1:] == [name] and not self.has_type(words)
-                    n = Node("FunctionDecl", t.line, out, name="constructor" if ctor else name)
-                    n.children = [*out, self.block()]
-                    return [n]
-                if not seen_equals and words and (self.lang.typed_functions or self.lang.name in ("Rust", "Swift", "Kotlin", "Solidity", "NyxilumLang", "PHP", "JavaScript", "TypeScript", "Zig")) and not (self.lang.name == "Kotlin" and paren_end >= 0):
+                    return [Node("FunctionDecl", t.line, [*out, self.block()], name="constructor" if ctor else name)]
+                if not seen_equals and words and (self.lang.typed_functions or self.lang.name in ("Rust", "Swift", "Kotlin", "Solidity", "NyxilumLang", "PHP", "JavaScript", "TypeScript", "Zig", "Objective-C")) and not (self.lang.name == "Kotlin" and paren_end >= 0):
                     body = self.block()
                     return [Node("Other", t.line, [*out, body], kind="block_statement")]
                 if self.lang.name in ("Kotlin", "Swift") and last.text not in ("=",):
@@ -954,7 +933,11 @@ class EndReader:
                 return [n]
             if w == "return":
                 self.p += 1
-                return [Node("Return", t.line, self.expression())]
+                a = self.p
+                n = Node("Return", t.line, self.expression())
+                if not self.lua and any(x.kind == "W" and x.text in ("if", "unless", "while", "until") for x in self.t[a : self.p]):
+                    return [Node("Other", t.line, [n], kind="if_modifier")]  # returns only sometimes
+                return [n]
         return [Node("Other", t.line, self.expression(), kind="expression_statement")]
 
     def expression(self) -> list[Node]:
@@ -1049,9 +1032,6 @@ class PythonReader:
             k += 1
         return Node("Block", line, self.with_comments(self.statements(kept), header, k, col, body))
 
-    def functions_in(self, s: ast.AST) -> list[Node]:
-        return [Node("Other", x.lineno, kind="lambda") for x in ast.walk(s) if isinstance(x, ast.Lambda)] if False else []
-
     def statements(self, body: list) -> list[Node]:
         return [self.statement(s) for s in body]
 
