@@ -64,7 +64,7 @@ _LEX = {
 #: Classes after which a line break may end a statement, and before which it can't.
 _JS_ENDERS = set("instvx)]}") | {WORD_CHARS["js"][w] for w in "break continue return this super debugger of get set as from async static let yield".split()}
 _TS_ENDERS = set("instvx)]}!>") | {WORD_CHARS["ts"][w] for w in "break continue return this super debugger of get set as from async static let yield type namespace module declare abstract readonly is unique asserts override void".split()}
-_JS_NEVER = set("o+*&<>=?:.,;)]}qard") | {WORD_CHARS["js"][w] for w in ("in", "instanceof")}
+_JS_NEVER = set("o+*&<>=?:.,;)]}{qard") | {WORD_CHARS["js"][w] for w in ("in", "instanceof")}
 _GO_ENDERS = set("insx)]}") | {WORD_CHARS["go"][w] for w in "break continue fallthrough return".split()}
 
 
