@@ -33,7 +33,6 @@ DICT_BYTES = 24_000
 MIN_WORDS = 4
 MIN_CHARS = 8
 CODE_MARGIN = 0.0
-LEVEL = 3
 
 CODE_SEED = """SELECT id, name FROM users WHERE created > 10 ORDER BY name DESC
 SELECT id, total FROM orders
@@ -108,8 +107,9 @@ class Encoders:
             self.made = {}
             for name, data in self.content.items():
                 d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=LEVEL)
-                self.made[name] = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+                # matches of three bytes count: much of a short sentence is word endings
+                how = zstandard.ZstdCompressionParameters(min_match=3, strategy=zstandard.STRATEGY_GREEDY, window_log=17, hash_log=15, chain_log=15, search_log=5, write_content_size=0, write_checksum=0, write_dict_id=0)
+                self.made[name] = zstandard.ZstdCompressor(dict_data=d, compression_params=how)
         return self.made
 
     def sizes(self, text: str, names: Iterable[str]) -> dict[str, int]:
@@ -142,8 +142,16 @@ class Encoders:
         return 1 - own / max(1, min(sizes.values()))
 
 
+def _even(groups: tuple[tuple[str, ...], ...] = (("en", "de", "fr", "es", "pt", "pl"), ("uk", "ru"), ("zh", "ja"))) -> dict[str, str]:
+    """Seeds cut to one length within a script, as a longer dictionary finds more matches by chance."""
+    return {k: SEEDS[k].lower()[: min(len(SEEDS[x]) for x in g)] + " " for g in groups for k in g}
+
+
+EVEN_SEEDS = _even()
+
+
 def seed_encoders() -> Encoders:
-    return Encoders({k: (v.lower() + " ").encode() for k, v in SEEDS.items()} | {"code": CODE_SEED.lower().encode()})
+    return Encoders({k: v.encode() for k, v in EVEN_SEEDS.items()} | {"code": CODE_SEED.lower().encode()})
 
 
 def fit(sample: list[tuple[str, str]], bytes_each: int = DICT_BYTES) -> Encoders:
@@ -169,7 +177,7 @@ def fit(sample: list[tuple[str, str]], bytes_each: int = DICT_BYTES) -> Encoders
                 if size < bytes_each and enc.lead(x, code) >= least:
                     fresh.append(x.lower())
                     size += len(x.encode())
-            content[code] = (" ".join(fresh) + " " + SEEDS[code].lower() + " ").encode()
+            content[code] = (" ".join(fresh) + " " + EVEN_SEEDS[code]).encode()
         enc = Encoders(content)
     return enc
 

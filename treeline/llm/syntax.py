@@ -39,13 +39,14 @@ _AT_MARGIN = re.compile(r"^(?:return|yield|break|continue|await)\b", re.M)
 #: What closes a construct that may span lines, by its opening; a string stands for "s", a comment for nothing.
 _OPEN = {
     "c": {"/*": (r"\*/", "")},
-    "go": {"/*": (r"\*/", ""), "`": (r"`", "s")},
+    "go": {"/*": (r"\*/", ""), "`": (r"[^`]*`", "s")},
     "java": {"/*": (r"\*/", ""), '"""': (r'"""', "s")},
     "js": {"/*": (r"\*/", ""), "`": (r"(?:[^`\\]|\\[\s\S])*+`", "t")},
     "lua": {"--[[": (r"\]\]", ""), "--[=[": (r"\]=\]", ""), "--[==[": (r"\]==\]", ""), "[[": (r"\]\]", "s"), "[=[": (r"\]=\]", "s"), "[==[": (r"\]==\]", "s")},
     "php": {"/*": (r"\*/", ""), '"': (r'(?:[^"\\]|\\[\s\S])*+"', "s"), "'": (r"(?:[^'\\]|\\[\s\S])*+'", "s")},
 }
 _OPEN["ts"] = _OPEN["js"]
+_STAND_IN = {"": "", "s": '""', "t": "``"}
 
 
 def python_parses(text: str) -> bool:
@@ -79,9 +80,11 @@ def scan(text: str, lang: str, first: bool) -> tuple[str | None, str]:
     for m in reversed(list(re.finditer("|".join(re.escape(x) for x in sorted(_OPEN[lang], key=len, reverse=True)), whole))):
         closing, stands = _OPEN[lang][m.group()]
         if not re.compile(closing if stands in ("t", "s") and len(m.group()) == 1 else f"[\\s\\S]*?(?:{closing})").match(whole, m.end()):
-            before = classes.token_classes(whole[: m.start()], lang)
+            # the literal itself is counted by the chunk that closes it; what stands before it is cut as if it were there
+            stand_in = _STAND_IN[stands]
+            before = classes.token_classes(whole[: m.start()] + stand_in, lang)
             if before is not None:
-                return before + stands, m.group()
+                return before.rstrip(";")[:-1] if stand_in and lang == "go" else before[: len(before) - bool(stand_in)], m.group()
     return None, ""
 
 
@@ -97,7 +100,7 @@ def summary(text: str, lang: str, first: bool) -> dict[str, tuple[str | None, st
             if not m:
                 out[state] = ("", state)
                 continue
-            rest, was_first = text[m.end() :], False
+            rest, was_first = _STAND_IN[_OPEN[lang][state][1]] + text[m.end() :], False
         s, end = scan(rest, lang, was_first)
         out[state] = (g.reduce(s) if s is not None else None, end)
     return out
@@ -115,8 +118,9 @@ def compose(a: dict, b: dict, lang: str) -> dict:
         if lang in ("js", "ts") and s and t:
             enders = classes._JS_ENDERS if lang == "js" else classes._TS_ENDERS
             tail = s[-1] if ord(s[-1]) < 0x2000 else ")"
-            head = t[0] if ord(t[0]) < 0x2000 else "i"
-            glue = "N" if tail in enders and head not in classes._JS_NEVER and not end else ""
+            head = t[0] if ord(t[0]) < 0x2000 else "{" if ord(t[0]) >= 0x2200 else "i"
+            literal = end and _OPEN[lang][end][1]
+            glue = "N" if tail in enders and head not in classes._JS_NEVER and not literal else ""
         out[state] = (grammar(lang).reduce(s + glue + t), last)
     return out
 
