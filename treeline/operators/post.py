@@ -1,4 +1,10 @@
-"""What happens to findings after the rules: suppression, severities, baseline, order."""
+"""What happens to findings after the rules: suppression, severities, baseline, order.
+
+Defined results: a null source has no directives; a null file, rule or message matches no directive and no
+baseline entry, so such findings stay; a null baseline count is 1 and entries with one key add up; equal
+findings are told apart by the given order only; a finding without a fix is no fix; columns beyond the named
+ones are kept by suppression, severities and baseline.
+"""
 
 from __future__ import annotations
 

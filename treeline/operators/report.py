@@ -1,5 +1,10 @@
 """The project report: aggregates over results(file, language, lines_of_code, functions) and
-findings(file, line, end_line, rule, severity, message). Each section is one DataFrame."""
+findings(file, line, end_line, rule, severity, message). Each section is one DataFrame.
+
+Defined results: a file without language and code counts nowhere; null sums are 0; a null language is
+'other'; functions of a null list are none; a null or smaller end line means one line; ties in top lists are
+broken by file and line; empty tables give zeros or no rows.
+"""
 
 from __future__ import annotations
 

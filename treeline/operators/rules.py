@@ -1,4 +1,8 @@
-"""Textual rules over files(file, source): one pass over each file's lines inside the JVM."""
+"""Textual rules over files(file, source): one pass over each file's lines inside the JVM.
+
+Defined results: a null or empty source has no findings; repeated files give repeated findings; other
+columns are ignored; a null file is kept as it is.
+"""
 
 from __future__ import annotations
 

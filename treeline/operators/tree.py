@@ -3,6 +3,9 @@
 Each row knows its path from the root and what its rules ask of its parent, so depth,
 nesting and emptiness are expressions of one row. Only metrics group (by function) and
 no rule joins nodes to nodes.
+
+Defined results: a null name counts as '?'; a node without a parent never is a body; unknown types count
+as nothing; an empty table gives empty results; rows of one tree must have distinct node numbers.
 """
 
 from __future__ import annotations
