@@ -8,14 +8,12 @@ read again only for the keys that differ.
 Defined results: rows with null repo, snapshot_no or delivered_at belong to no
 snapshot and are left out; a null count is 1; null file, rule or message compare
 as the empty text; repeated rows of one entry_id are one entry (the largest count
-holds should they differ); a null entry_id makes each distinct row an entry;
+holds should they differ), and so are rows of one key without an entry_id;
 an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +24,10 @@ from treeline.cluster import cut, join_small
 #: Compact rows that one numpy bucket should hold.
 BUCKET_ROWS = 200_000
 
-DIFF_SCHEMA = "repo string, k1 long, k2 long, snapshot_no int, value_no int, change string, old_count long, new_count long"
+#: Different numbers in the sieve that keeps unchanged values out of the last shuffle.
+SIEVE = 1 << 20
+
+DIFF_SCHEMA = "k1 long, k2 long, snapshot_no int, value_no int, change string, old_count long, new_count long"
 
 
 def plain_path(path: Column) -> Column:
@@ -45,9 +46,8 @@ def compare_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """All snapshots of the keys in one bucket, by sorting and searchsorted."""
     if not len(pdf):
         return pd.DataFrame(columns=[c.split()[0] for c in DIFF_SCHEMA.split(", ")])
-    repo = pd.factorize(pdf["repo"])[0].astype(np.int64)
-    keys = np.empty(len(pdf), dtype=[("r", np.int64), ("a", np.int64), ("b", np.int64)])
-    keys["r"], keys["a"], keys["b"] = repo, pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
+    keys = np.empty(len(pdf), dtype=[("a", np.int64), ("b", np.int64)])
+    keys["a"], keys["b"] = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
     ident = np.unique(keys, return_inverse=True)[1].astype(np.int64)
     at = pdf["snapshot_no"].to_numpy(np.int64)
     low = at.min() - 1
@@ -74,7 +74,7 @@ def compare_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         (has_prev & in_prev & (old != count), "changed", at, old, count),
         (has_next & ~in_next, "removed", np.nan_to_num(nxt).astype(np.int64), count, None),
     ):
-        part = pdf.loc[mask, ["repo", "k1", "k2"]].copy()
+        part = pdf.loc[mask, ["k1", "k2"]].copy()
         part["snapshot_no"] = when[mask]
         part["value_no"] = at[mask]
         part["change"] = change
@@ -93,19 +93,22 @@ def snapshot_changes(snapshots: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Da
         plain_path(F.col("file")).alias("file"), F.coalesce("rule", F.lit("")).alias("rule"), F.coalesce("message", F.lit("")).alias("message"),
         F.coalesce(F.col("count").cast("long"), F.lit(1)).alias("n"),
     ).filter("repo is not null and snapshot_no is not null and delivered_at is not null")
-    text = F.concat_ws("\u0001", "file", "rule", "message")
-    rows = rows.withColumn("k1", F.xxhash64("file", "rule", "message")).withColumn("k2", F.xxhash64(text, F.lit("second")))
+    # the repo is part of the key, so compact rows need no text at all
+    rows = rows.withColumn("k1", F.xxhash64("repo", "file", "rule", "message")).withColumn("k2", F.xxhash64(F.concat_ws("\u0001", "message", "rule", "file", "repo"), F.lit("second")))
     listed = cut(snapshot_list(rows))
     compact = join_small(rows.select("repo", "snapshot_no", "delivered_at", "entry_id", "k1", "k2", "n"), listed, ["repo", "snapshot_no", "delivered_at"])
-    entry = compact.groupBy("repo", "snapshot_no", "prev_no", "next_no", "k1", "k2", "entry_id").agg(F.max("n").alias("n"))
-    summed = entry.groupBy("repo", "snapshot_no", "prev_no", "next_no", "k1", "k2").agg(F.sum("n").alias("n"))
-    summed = cut(summed)
-    buckets = max(1, -(-summed.count() // bucket_rows))
+    entry = compact.groupBy("snapshot_no", "prev_no", "next_no", "k1", "k2", "entry_id").agg(F.max("n").alias("n"))
+    summed = entry.groupBy("snapshot_no", "prev_no", "next_no", "k1", "k2").agg(F.sum("n").alias("n"))
+    buckets = max(1, -(-snapshots.count() // bucket_rows))
     differing = cut(
         summed.withColumn("_bucket", F.pmod("k1", F.lit(buckets)))
         .groupBy("_bucket")
         .applyInPandas(lambda pdf: compare_bucket(pdf.drop(columns="_bucket")), DIFF_SCHEMA)
     )
     values = rows.select("repo", F.col("snapshot_no").alias("value_no"), "k1", "k2", "file", "rule", "message")
-    full = join_small(values, differing, ["repo", "value_no", "k1", "k2"])
-    return full.dropDuplicates(["repo", "snapshot_no", "k1", "k2"]).select("repo", "snapshot_no", "file", "rule", "message", "change", "old_count", "new_count")
+    # what surely isn't wanted goes before texts are shuffled: at most SIEVE small numbers are broadcast
+    sieve = F.pmod(F.xxhash64("k1", "value_no"), F.lit(SIEVE)).cast("int")
+    wanted = differing.select(sieve.alias("_s")).distinct()
+    some = values.withColumn("_s", sieve).join(F.broadcast(wanted), "_s", "left_semi").drop("_s")
+    full = join_small(some, differing, ["value_no", "k1", "k2"])
+    return full.dropDuplicates(["snapshot_no", "k1", "k2"]).select("repo", "snapshot_no", "file", "rule", "message", "change", "old_count", "new_count")
