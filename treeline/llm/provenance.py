@@ -15,7 +15,7 @@ nor a directory with a third of all files is gathered in one task.
 Defined results: null or empty texts give no evidence and are handwritten; configuration
 files, unknown kinds and rows with null ids are left out; a null repo or path counts as an
 empty one; copies of a file_id count once; files that don't parse keep their label but
-are no findings.
+are no findings (only files that may become findings are parsed).
 """
 
 from __future__ import annotations
@@ -152,8 +152,8 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for ident, repo, file, lang, text in zip(pdf["file_id"], pdf["repo"], pdf["file"], pdf["lang"], pdf["source"]):
             e = evidence(text, lang, file)
-            # only files that may become findings need to parse
-            ok = not text or e[0] > max(e[1:]) + 8 or parses(text, lang)
+            # what a directory says can shift a file's log odds by log(AFFINITY_FILE) at most; only files that may become findings need to parse
+            ok = not text or e[0] > max(e[1:]) + math.log(AFFINITY_FILE) or parses(text, lang)
             rows.append((ident, repo, file.rpartition("/")[0], ok, *e))
         yield pd.DataFrame(rows, columns=["file_id", "repo", "dir", "valid", *E])
 
