@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from treeline import cli
 from treeline.engine import Engine
 from treeline.operators import post
+from treeline.parsers import trees
 from treeline.sources import files
 from treeline.sources.config import Config
 from treeline.streaming import files as stream
@@ -131,6 +132,20 @@ def test_own_rule(spark, project):
     assert first == sorted(first)
 
 
+def test_own_language(spark, project):
+    def words(text):
+        if "?" in text:
+            raise trees.ParseError("a question")
+        return trees.Node("Root", 1, [trees.Node("FunctionDecl", 1, [trees.Node("Block", 1)], name=text.strip())])
+
+    (project / "w.words").write_text("hello\n")
+    (project / "q.words").write_text("why?\n")
+    a = Engine(spark).with_provider(files.Provider("Words", (".words",), words)).analyze_path(str(project))
+    got = {(os.path.basename(r.file), r.rule) for r in a.findings.collect() if r.file.endswith(".words")}
+    assert got == {("w.words", "empty-function"), ("q.words", "parse-error")}
+    assert {r.language for r in a.results.collect()} >= {"Words", "PHP"}
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "x").mkdir()
     a = Engine(spark).analyze_path(str(tmp_path / "x"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import text as T
 
+# Lines of a window, and occurrences beyond which it is boilerplate.
 MIN_LINES = 8
 MAX_OCCURRENCES = 10
 

@@ -20,6 +20,7 @@ from treeline.operators.rules import line_rows
 #: The word that directives begin with, and other spellings that are read too.
 PREFIX = "treeline"
 
+# Fixed value: what a directive may stand behind.
 _COMMENT = r"(?d)(?://+|#+|/\*+|(?<![\w*])\*|--|;+|<!--)\s*"
 
 

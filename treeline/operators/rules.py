@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import text as T
 
-# (?d) keeps '.' and '$' at LF only; the class after TODO is an ASCII word boundary.
+# Fixed value: what counts as a note in a comment. (?d) keeps '.' and '$' at LF only; the class after TODO is an ASCII word boundary.
 TODO = r"(?id)(?<!http:)(?<!https:)(?://|#|/\*|--)\s*(TODO|FIXME)(?![A-Za-z0-9_])[:\s]*(.*)"
 
 # Shapes of issued tokens, and names whose quoted value is a secret.

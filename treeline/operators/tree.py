@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from treeline.schemas import NODE
 
+# Which types nest, branch, and may have empty bodies.
 CONTROL = ("If", "For", "Foreach", "While", "Do", "TryCatch")
 BRANCH = ("If", "For", "Foreach", "While", "Do", "CatchClause")
 LOOPS_AND_IF = ("If", "For", "Foreach", "While", "Do")
-#: Names of functions that may well be empty.
+# Fixed value: names of functions that may well be empty.
 MAY_BE_EMPTY = ("{closure}", "constructor", "__construct", "__init__")
 
 
@@ -171,6 +172,7 @@ def unused_variable(php: DataFrame) -> DataFrame:
     return _finding(e, F.col("a.line"), "unused-variable", F.concat(F.lit("Variable $"), F.col("a.name"), F.lit(" is assigned but never read.")), F.col("func_node_id"), F.col("k"))
 
 
+# Fixed value: documented types that can be native ones.
 TYPE = r"^\??[A-Za-z_\\][A-Za-z0-9_\\]*(\|\??[A-Za-z_\\][A-Za-z0-9_\\]*)*$"
 
 

@@ -7,7 +7,8 @@ read is a row with an error, never a failed task and never silently clean.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,13 +79,25 @@ _NODE_STRUCT = NODE.replace("array<struct<node_id:int,type:string>>", "@").repla
 PARSED = f"file string, language string, error string, nodes array<struct<{_NODE_STRUCT}>>, php array<struct<func_node_id:int,facts:{PHP}>>"
 
 
-def parse_one(file: str, source: str, language: str | None) -> tuple[str | None, list[dict], list[dict]]:
+@dataclass(frozen=True)
+class Provider:
+    """A language of one's own: its name, extensions, a function from text to the root node (it raises
+    trees.ParseError), and what tells one version of the tool behind it from another."""
+
+    name: str
+    extensions: tuple[str, ...]
+    parse: Callable[[str], trees.Node]
+    fingerprint: str = ""
+
+
+def parse_one(file: str, source: str, language: str | None, providers: tuple[Provider, ...] = ()) -> tuple[str | None, list[dict], list[dict]]:
     """(error, node rows, PHP facts) of one file."""
+    own = next((p for p in providers if p.name == language), None)
     la = next((x for x in trees.LANGUAGES if x.name == language), None) if language else trees.language_for(file)
-    if la is None:
+    if la is None and own is None:
         return None, [], []
     try:
-        root, reader = trees.parse(source, la)
+        root, reader = (own.parse(source), None) if own else trees.parse(source, la)
     except trees.ParseError as e:
         return str(e), [], []
     except RecursionError:
@@ -105,15 +118,15 @@ def parse_one(file: str, source: str, language: str | None) -> tuple[str | None,
     return None, nodes, php
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(batches: Iterator[pd.DataFrame], providers: tuple[Provider, ...]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(f, la, *(parse_one(f, s, la) if s is not None else (None, [], []))) for f, s, la in zip(pdf["file"], pdf["source"], pdf["language"])]
+        rows = [(f, la, *(parse_one(f, s, la, providers) if s is not None else (None, [], []))) for f, s, la in zip(pdf["file"], pdf["source"], pdf["language"])]
         yield pd.DataFrame(rows, columns=["file", "language", "error", "nodes", "php"])
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, providers: tuple[Provider, ...] = ()) -> DataFrame:
     """(file, language, error, nodes, php): one row per file of a known language."""
-    return files.filter("language is not null").select("file", "source", "language").mapInPandas(_parse, PARSED)
+    return files.filter("language is not null").select("file", "source", "language").mapInPandas(lambda it: _parse(it, providers), PARSED)
 
 
 def node_rows(parsed: DataFrame) -> DataFrame:
