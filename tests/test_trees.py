@@ -41,13 +41,17 @@ CASES = {
 }
 
 
+def parsed(name, text, language=None):
+    error, nodes, _ = S.parse_one(name, text, language)
+    return error, [dict(zip(tree.NODE_COLUMNS, n)) for n in nodes]
+
+
 def found(text, name, rule, language=None):
     """How many findings a structural rule has, without Spark: the rule's own condition on node rows."""
-    error, nodes, _ = S.parse_one(name, text, language)
+    error, nodes = parsed(name, text, language)
     assert error is None, error
     count = 0
     for n in nodes:
-        types = [p["type"] for p in n["path"]]
         if rule == "dead":
             count += n["type"] == "Return" and n["parent_type"] == "Block" and n["next_line"] is not None and not any(m["type"] == "Return" and m["parent_id"] == n["parent_id"] and m["ord"] < n["ord"] for m in nodes)
         elif rule == "catch":
@@ -59,8 +63,7 @@ def found(text, name, rule, language=None):
         elif rule == "block":
             count += n["parent_type"] in tree.LOOPS_AND_IF and n["type"] == "Block" and n["n_children"] == 0 and bool(n["parent_empty"])
         elif rule == "deep":
-            depth = sum(t in tree.CONTROL and not (t == "If" and k and types[k - 1] == "If") for k, t in enumerate(types))
-            count += n["type"] in tree.CONTROL and depth > 4
+            count += n["type"] in tree.CONTROL and n["depth"] > 4
     return count
 
 
@@ -81,14 +84,11 @@ def test_language(language):
 
 
 def chain_metrics(name, text):
-    error, nodes, _ = S.parse_one(name, text, None)
+    error, nodes = parsed(name, text)
     assert error is None
     assert sum(n["type"] == "FunctionDecl" for n in nodes) == 1
-    types = [[p["type"] for p in n["path"]] for n in nodes]
-    ifs = [t for t in types if t[-1] == "If"]
-    cyclomatic = 1 + len(ifs)
-    cognitive = sum(1 if t[-2] == "If" else 1 + sum(x in tree.BRANCH for x in t[:-1]) for t in ifs)
-    return cyclomatic, cognitive
+    branches = [n for n in nodes if n["type"] in tree.BRANCH and n["owner"] >= 0]
+    return 1 + len(branches), sum(1 if n["else_if"] else 1 + n["nest"] for n in branches)
 
 
 CHAINS = {
@@ -197,7 +197,7 @@ def test_language_by_extension():
 
 def test_foreach_is_told_from_for():
     def kinds(name, text):
-        return [n["type"] for n in S.parse_one(name, text, None)[1] if n["type"] in ("For", "Foreach")]
+        return [n["type"] for n in parsed(name, text)[1] if n["type"] in ("For", "Foreach")]
 
     assert kinds("a.js", "for (const a of b) { c() } for (let i = 0; i < 1; i++) { d() }") == ["Foreach", "For"]
     assert kinds("a.java", "class A { void f() { for (A a : b) { } for (int i = 0; i < (c ? 1 : 2); i++) { } } }") == ["Foreach", "For"]

@@ -88,9 +88,10 @@ class Engine:
             return kept(S.parse_files(files, self.providers))
         mark = cache.fingerprint({p.name: [p.extensions, p.fingerprint] for p in self.providers})
         missing, hits = cache.split(files.filter("language is not null"), cache.load(self.spark, self.cache_path, mark))
-        fresh = S.parse_files(missing, self.providers).join(missing.select("file", "key"), "file")
+        fresh = S.parse_files(missing, self.providers).join(missing.select(F.col("file").alias("id"), "key"), "id")
         parsed = kept(fresh if hits is None else fresh.unionByName(hits))
-        cache.save(parsed.filter("error is null").select("file", "language", "error", "nodes", "php", "key"), self.cache_path, mark)
+        bad = parsed.filter("error is not null").select("key").distinct()
+        cache.save(parsed.join(bad, "key", "left_anti"), self.cache_path, mark)
         return parsed.drop("key")
 
     def analyze(self, files: DataFrame) -> Analysis:
@@ -122,7 +123,7 @@ class Engine:
                 parts.append(self.shaped(makers[rule](), 1, k))
         if self.on("duplicate-code"):
             n = self.option("duplicate-code")
-            known = readable.join(parsed.filter("error is null").select("file"), "file", "left_semi")
+            known = readable.join(S.file_rows(parsed).filter("error is null").select("file"), "file", "left_semi")
             found = duplicates.duplicate_code(known.select("file", "source", "language"), n)
             parts.append(self.shaped(found.withColumn("k1", F.col("line")).withColumn("k2", F.col("end_line")), 2, 0))
         for k, (name, rule) in enumerate(self.extra):

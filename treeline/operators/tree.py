@@ -1,8 +1,8 @@
 """Rules and metrics over node rows.
 
-Each row knows its path from the root and what its rules ask of its parent, so depth,
-nesting and emptiness are expressions of one row. Only metrics group (by function) and
-no rule joins nodes to nodes.
+Each row knows how deep it stands and what its rules ask of its parent (see ``schemas.NODE``),
+so every structural rule is a filter. Only metrics group (by function) and no rule joins nodes
+to nodes. The numbers are kept along the pre-order walk, so a row's size doesn't grow with depth.
 
 Defined results: a null name counts as '?'; a node without a parent never is a body; unknown types count
 as nothing; an empty table gives empty results; rows of one tree must have distinct node numbers.
@@ -10,9 +10,11 @@ as nothing; an empty table gives empty results; rows of one tree must have disti
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,66 +31,63 @@ MAY_BE_EMPTY = ("{closure}", "constructor", "__construct", "__init__")
 def expand(ident: str, parents: list[int], types: list[str], lines: list[int], names: list, kinds: list, empty: list | None = None) -> Iterator[tuple]:
     """Node rows of one tree given in pre-order."""
     n = len(parents)
-    kids: list[list[int]] = [[] for _ in range(n)]
-    order = [0] * n
+    kids = [0] * n
+    order, later, first, has_block = [0] * n, [-1] * n, [False] * n, [False] * n
+    last: dict[int, int] = {}
     for k in range(1, n):
-        order[k] = len(kids[parents[k]])
-        kids[parents[k]].append(k)
-    path: list[list[tuple[int, str]]] = [[] for _ in range(n)]
+        p = parents[k]
+        order[k] = kids[p]
+        kids[p] += 1
+        if p in last:
+            later[last[p]] = k
+        last[p] = k
+        if types[k] == "Block" and not has_block[p]:
+            first[k] = has_block[p] = True
+    depth, nest, owner, else_if = [0] * n, [0] * n, [-1] * n, [False] * n
     for k in range(n):
         p = parents[k]
-        path[k] = (path[p] if p >= 0 else []) + [(k, types[k])]
-        siblings = kids[p] if p >= 0 else []
-        nxt = siblings[order[k] + 1] if p >= 0 and order[k] + 1 < len(siblings) else -1
-        first = types[k] == "Block" and p >= 0 and next(c for c in siblings if types[c] == "Block") == k
+        if p < 0:
+            depth[k] = types[k] in CONTROL
+            yield (ident, k, p, 0, types[k], lines[k], names[k], kinds[k], kids[k], int(depth[k]), 0, False, -1, None, None, None, None, False, None)
+            continue
+        t, pt = types[k], types[p]
+        else_if[k] = t == "If" and pt == "If"
+        depth[k] = depth[p] + (t in CONTROL and not else_if[k])
+        owner[k], nest[k] = (p, 0) if pt == "FunctionDecl" else (owner[p], nest[p] + (pt in BRANCH and not else_if[p]))
         yield (
-            ident, k, p, order[k], types[k], lines[k], names[k], kinds[k], len(kids[k]), [{"node_id": a, "type": b} for a, b in path[k]],
-            types[p] if p >= 0 else None, lines[p] if p >= 0 else None, names[p] if p >= 0 else None, (True if empty is None else empty[p]) if p >= 0 else None, first, lines[nxt] if nxt >= 0 else None,
+            ident, k, p, order[k], t, lines[k], names[k], kinds[k], kids[k], int(depth[k]), int(nest[k]), else_if[k], owner[k],
+            pt, lines[p], names[p], True if empty is None else empty[p], first[k], lines[later[k]] if later[k] >= 0 else None,
         )
 
 
-NODE_COLUMNS = [c.strip().split(" ")[0] for c in NODE.replace("array<struct<node_id:int,type:string>>", "path_").split(",")]
-
+NODE_COLUMNS = [c.strip().split(" ")[0] for c in NODE.split(",")]
 
-def _from_flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import json
 
-    for pdf in batches:
+def _from_flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text = lambda v: v if isinstance(v, str) else None
+    for batch in batches:
         rows: list[tuple] = []
-        for ident, parents, types, lines, attributes in zip(pdf["id"], pdf["parents"], pdf["types"], pdf["lines"], pdf["attributes"]):
+        for ident, parents, types, lines, attributes in zip(*(c.to_pylist() for c in batch.columns)):
             own = [json.loads(a) if a else {} for a in attributes]
-            text = lambda v: v if isinstance(v, str) else None
-            rows += expand(str(ident), list(map(int, parents)), list(types), [max(-(1 << 31), min((1 << 31) - 1, int(x))) for x in lines], [text(o.get("name")) for o in own], [text(o.get("kind")) for o in own])
-        yield pd.DataFrame(rows, columns=NODE_COLUMNS)
-
-
-def nodes_of_trees(trees: DataFrame) -> DataFrame:
-    """Node rows of flattened trees (see ``operators.nested``)."""
-    return trees.select("id", "parents", "types", "lines", "attributes").mapInPandas(_from_flat, NODE)
+            rows += expand(str(ident), parents, types, [max(-(1 << 31), min((1 << 31) - 1, x)) for x in lines], [text(o.get("name")) for o in own], [text(o.get("kind")) for o in own])
+        yield arrow_rows(rows)
 
 
-# paths
+@lru_cache(maxsize=1)
+def arrow_schema() -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in NODE.split(","))])
 
 
-def _continues(path: Column, i: Column) -> Column:
-    """Whether place i of the path is an else-if."""
-    return (path[i]["type"] == "If") & (i > 0) & (path[F.greatest(i - 1, F.lit(0))]["type"] == "If")
+def arrow_rows(rows: list[tuple]) -> pa.RecordBatch:
+    schema = arrow_schema()
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def nesting(path: Column, types: tuple[str, ...]) -> Column:
-    """How many of the types stand on the path, else-ifs not counted."""
-    return F.size(F.filter(path, lambda x, i: x["type"].isin(*types) & ~_continues(path, i)))
-
-
-def owner(path: Column) -> Column:
-    """1-based place of the nearest function strictly above; 0 for none."""
-    above = F.transform(F.slice(path, 1, F.size(path) - 1), lambda x: x["type"])
-    back = F.array_position(F.reverse(above), "FunctionDecl")
-    return F.when(back > 0, F.size(path) - back).otherwise(0).cast("int")
-
-
-def nearest_function(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("_f", owner(F.col("path")))
+def nodes_of_trees(trees: DataFrame) -> DataFrame:
+    """Node rows of flattened trees (see ``operators.nested``)."""
+    return trees.select("id", "parents", "types", "lines", "attributes").mapInArrow(_from_flat, NODE)
 
 
 # metrics
@@ -97,15 +96,10 @@ def nearest_function(nodes: DataFrame) -> DataFrame:
 def function_metrics(nodes: DataFrame) -> DataFrame:
     """(id, node_id, name, line, cyclomatic, cognitive, statements): one row per function."""
     funcs = nodes.filter("type = 'FunctionDecl'").select("id", "node_id", F.coalesce("name", F.lit("?")).alias("name"), "line", F.lit(0).alias("branches"), F.lit(0).alias("cost"), F.lit(0).alias("statements"))
-    path = F.col("path")
-    b = nearest_function(nodes.filter(F.col("type").isin(*BRANCH))).filter("_f > 0")
-    inner = F.slice(path, F.col("_f") + 1, F.size(path) - F.col("_f") - 1)
-    # an else-if among the inner places: its parent stands right before it on the whole path
-    nest = F.size(F.filter(inner, lambda x, i: x["type"].isin(*BRANCH) & ~((x["type"] == "If") & (path[i + F.col("_f") - 1]["type"] == "If"))))
-    last = F.size(path) - 1
-    cost = F.when(_continues(path, last), 1).otherwise(1 + nest)
+    b = nodes.filter(F.col("type").isin(*BRANCH) & (F.col("owner") >= 0))
+    cost = F.when(F.col("else_if"), 1).otherwise(1 + F.col("nest"))
     none = F.lit(None)
-    branch = b.select("id", path[F.col("_f") - 1]["node_id"].alias("node_id"), none.cast("string").alias("name"), none.cast("int").alias("line"), F.lit(1).alias("branches"), cost.alias("cost"), F.lit(0).alias("statements"))
+    branch = b.select("id", F.col("owner").alias("node_id"), none.cast("string").alias("name"), none.cast("int").alias("line"), F.lit(1).alias("branches"), cost.alias("cost"), F.lit(0).alias("statements"))
     body = nodes.filter("first_block and parent_type = 'FunctionDecl'").select("id", F.col("parent_id").alias("node_id"), none.cast("string").alias("name"), none.cast("int").alias("line"), F.lit(0).alias("branches"), F.lit(0).alias("cost"), F.col("n_children").alias("statements"))
     every = funcs.unionByName(branch).unionByName(body)
     return every.groupBy("id", "node_id").agg(F.max("name").alias("name"), F.max("line").alias("line"), (1 + F.sum("branches")).cast("int").alias("cyclomatic"), F.sum("cost").cast("int").alias("cognitive"), F.sum("statements").cast("int").alias("statements"))
@@ -126,7 +120,7 @@ def dead_code_after_return(nodes: DataFrame) -> DataFrame:
 
 
 def deep_nesting(nodes: DataFrame, max_depth: int = 4) -> DataFrame:
-    deep = nodes.filter(F.col("type").isin(*CONTROL)).withColumn("depth", nesting(F.col("path"), CONTROL)).filter(F.col("depth") > max_depth)
+    deep = nodes.filter(F.col("type").isin(*CONTROL) & (F.col("depth") > max_depth))
     return _finding(deep, F.col("line"), "deep-nesting", F.concat(F.lit("Control structures nest "), F.col("depth"), F.lit(f" levels deep (more than {max_depth}).")), F.col("node_id"))
 
 

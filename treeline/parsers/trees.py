@@ -1149,8 +1149,8 @@ def balanced(text: str, lang: Language) -> bool:
     return not stack
 
 
-def parse(text: str, lang: Language) -> tuple[Node, BraceReader | None]:
-    """The canonical tree, and for PHP its reader. Raises ParseError."""
+def parse(text: str, lang: Language, with_tree: bool = True) -> tuple[Node | None, BraceReader | None]:
+    """The canonical tree (None if only validity was asked), and for PHP its reader. Raises ParseError."""
     if lang.reader == "python":
         try:
             return PythonReader(text).root(), None
@@ -1161,6 +1161,8 @@ def parse(text: str, lang: Language) -> tuple[Node, BraceReader | None]:
             raise ParseError(f"not valid {lang.name}")
     elif lang.reader == "brace" and not balanced(text, lang):
         raise ParseError("brackets are not balanced")
+    if not with_tree:
+        return None, None
     if lang.reader == "end":
         return EndReader(text, lang).root(), None
     r = BraceReader(text, lang)

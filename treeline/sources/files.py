@@ -7,15 +7,17 @@ read is a row with an error, never a failed task and never silently clean.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions import text as T
-from treeline.operators.tree import NODE_COLUMNS, expand
+from treeline.operators.tree import NODE_COLUMNS, arrow_schema, expand
 from treeline.parsers import trees
 from treeline.schemas import NODE
 from treeline.sources.globs import SKIPPED, is_excluded
@@ -75,8 +77,8 @@ def from_table(df: DataFrame, file: Column, source: Column, language: Column | N
 
 
 PHP = "struct<variables:array<struct<name:string,n:int>>,assigns:array<struct<name:string,line:int>>,exempt:array<string>,dynamic:boolean,native_return:boolean,doc_return:string,start_line:int,insert_at:int>"
-_NODE_STRUCT = NODE.replace("array<struct<node_id:int,type:string>>", "@").replace(" ", ":").replace(",:", ",").replace("@", "array<struct<node_id:int,type:string>>")
-PARSED = f"file string, language string, error string, nodes array<struct<{_NODE_STRUCT}>>, php array<struct<func_node_id:int,facts:{PHP}>>"
+#: What parsing gives, as flat rows: one ``file`` row per file, its ``node`` rows, and ``php`` rows for PHP functions.
+PARSED = f"row string, language string, error string, {NODE}, php {PHP}"
 
 
 @dataclass(frozen=True)
@@ -90,18 +92,20 @@ class Provider:
     fingerprint: str = ""
 
 
-def parse_one(file: str, source: str, language: str | None, providers: tuple[Provider, ...] = ()) -> tuple[str | None, list[dict], list[dict]]:
-    """(error, node rows, PHP facts) of one file."""
+def parse_one(file: str, source: str, language: str | None, providers: tuple[Provider, ...] = (), want: frozenset[str] = frozenset(("node", "php"))) -> tuple[str | None, list[tuple], list[tuple]]:
+    """(error, node rows, (function's node, facts) of PHP) of one file."""
     own = next((p for p in providers if p.name == language), None)
     la = next((x for x in trees.LANGUAGES if x.name == language), None) if language else trees.language_for(file)
     if la is None and own is None:
         return None, [], []
     try:
-        root, reader = (own.parse(source), None) if own else trees.parse(source, la)
+        root, reader = (own.parse(source), None) if own else trees.parse(source, la, bool(want))
     except trees.ParseError as e:
         return str(e), [], []
     except RecursionError:
         return "nested too deeply", [], []
+    if not want:
+        return None, [], []
     data = source.encode("utf-8", "surrogatepass")
     all_nodes = list(root.walk())
     number = {id(n): k for k, n in enumerate(all_nodes)}
@@ -112,34 +116,54 @@ def parse_one(file: str, source: str, language: str | None, providers: tuple[Pro
     asked = ("If", "For", "Foreach", "While", "Do", "CatchClause", "FunctionDecl")
     # only a construct with an empty block below it is looked up in the text
     empty = [trees.genuinely_empty(data, n.line) if n.type in asked and any(c.type == "Block" and not c.children for c in n.children) else None for n in all_nodes]
-    rows = expand(file, parents, [n.type for n in all_nodes], [n.line for n in all_nodes], [n.attributes.get("name") for n in all_nodes], [n.attributes.get("kind") for n in all_nodes], empty)
-    nodes = [dict(zip(NODE_COLUMNS, r)) for r in rows]
-    php = [{"func_node_id": number[id(n)], "facts": f} for n in all_nodes if n.type == "FunctionDecl" and reader is not None and (f := trees.php_facts(reader, n))]
+    nodes = list(expand(file, parents, [n.type for n in all_nodes], [n.line for n in all_nodes], [n.attributes.get("name") for n in all_nodes], [n.attributes.get("kind") for n in all_nodes], empty)) if "node" in want else []
+    php = [(number[id(n)], f) for n in all_nodes if n.type == "FunctionDecl" and reader is not None and (f := trees.php_facts(reader, n))] if "php" in want else []
     return None, nodes, php
 
 
-def _parse(batches: Iterator[pd.DataFrame], providers: tuple[Provider, ...]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [(f, la, *(parse_one(f, s, la, providers) if s is not None else (None, [], []))) for f, s, la in zip(pdf["file"], pdf["source"], pdf["language"])]
-        yield pd.DataFrame(rows, columns=["file", "language", "error", "nodes", "php"])
+@lru_cache(maxsize=1)
+def _parsed_schema() -> pa.Schema:
+    pair = lambda kind, name: pa.list_(pa.struct([("name", pa.string()), (name, kind)]))
+    php = pa.struct([("variables", pair(pa.int32(), "n")), ("assigns", pair(pa.int32(), "line")), ("exempt", pa.list_(pa.string())), ("dynamic", pa.bool_()), ("native_return", pa.bool_()), ("doc_return", pa.string()), ("start_line", pa.int32()), ("insert_at", pa.int32())])
+    return pa.schema([("row", pa.string()), ("language", pa.string()), ("error", pa.string()), *arrow_schema(), ("php", php)])
+
 
+def _parse(batches: Iterator[pa.RecordBatch], providers: tuple[Provider, ...], want: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    blank = (None,) * (len(NODE_COLUMNS) - 2)
+    schema = _parsed_schema()
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):  # a few files at a time, so that no batch of nodes grows large
+            rows: list[tuple] = []
+            for file, source, language in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns)):
+                error, nodes, php = parse_one(file, source, language, providers, want) if source is not None else (None, [], [])
+                rows.append(("file", language, error, file, None, *blank, None))
+                rows += [("node", None, None, *n, None) for n in nodes]
+                rows += [("php", None, None, file, i, *blank, f) for i, f in php]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-def parse_files(files: DataFrame, providers: tuple[Provider, ...] = ()) -> DataFrame:
-    """(file, language, error, nodes, php): one row per file of a known language."""
-    return files.filter("language is not null").select("file", "source", "language").mapInPandas(lambda it: _parse(it, providers), PARSED)
+
+def parse_files(files: DataFrame, providers: tuple[Provider, ...] = (), want: Iterable[str] = ("node", "php")) -> DataFrame:
+    """Rows of PARSED for every file of a known language. ``want`` leaves out what isn't needed."""
+    need = frozenset(want)
+    return files.filter("language is not null and file is not null").select("file", "source", "language").mapInArrow(lambda it: _parse(it, providers, need), PARSED)
 
 
 def node_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.select(F.explode("nodes").alias("n")).select("n.*")
+    return parsed.filter("row = 'node'").select(*NODE_COLUMNS)
 
 
 def php_rows(parsed: DataFrame) -> DataFrame:
     """(id, func_node_id, facts) of PHP functions."""
-    return parsed.filter("size(php) > 0").select(F.col("file").alias("id"), F.explode("php").alias("p")).select("id", "p.func_node_id", "p.facts")
+    return parsed.filter("row = 'php'").select("id", F.col("node_id").alias("func_node_id"), F.col("php").alias("facts"))
+
+
+def file_rows(parsed: DataFrame) -> DataFrame:
+    """(file, language, error)."""
+    return parsed.filter("row = 'file'").select(F.col("id").alias("file"), "language", "error")
 
 
 def parse_errors(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("error is not null").select("file", F.lit(1).alias("line"), F.lit("parse-error").alias("rule"), F.lit("error").alias("severity"), F.col("error").alias("message"), F.lit(0).alias("k1"), F.lit(0).alias("k2"))
+    return file_rows(parsed).filter("error is not null").select("file", F.lit(1).alias("line"), F.lit("parse-error").alias("rule"), F.lit("error").alias("severity"), F.col("error").alias("message"), F.lit(0).alias("k1"), F.lit(0).alias("k2"))
 
 
 def unreadable(files: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def text_findings(files: DataFrame) -> DataFrame:
 
 def structural_findings(files: DataFrame) -> DataFrame:
     """Findings that one file's tree decides by itself without grouping."""
-    n = S.node_rows(S.parse_files(files))
+    n = S.node_rows(S.parse_files(files, want=("node",)))
     return tree.deep_nesting(n).unionByName(tree.empty_catch(n)).unionByName(tree.empty_function(n)).unionByName(tree.empty_block(n)).unionByName(tree.long_function(n))
 
 
