@@ -54,6 +54,8 @@ _DATA_NAME = re.compile(r"_(?:table|data|blob|dump)\.\w+$")
 
 _KEPT = frozenset("if for while return function def func int const class local let var try catch except raise throw import from use package static final export double void else in range then do print new".split())
 _SHAPE = re.compile(r"[A-Za-z_$][\w$]*|\b\d[\w.]*|\s+")
+_DEFINED = re.compile(r"\b(?:function|def|func|fn|fun|int|void|double|const|class|local|let|var)\s+\$?([A-Za-z_]\w+)|^\s*\$?([A-Za-z_]\w{3,})\s*:?=[^=]", re.M)
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NUMBER = re.compile(r"\b\d[\w.]*")
 _FRAME = frozenset(("", "{", "}", "end", "});", "};", ")", "]", "];", "else", "try:", "end,"))
 
@@ -89,9 +91,11 @@ def features(text: str, lang: str) -> dict:
     shapes = [s for line in bare.split("\n") if (x := line.strip()) not in _FRAME and (s := _SHAPE.sub(_shape, x))]
     top = Counter(shapes).most_common(1)[0][1] / len(shapes) if shapes else 0.0
     lines = bare.count("\n") + 1
+    stems = Counter(tuple(x.lower() for x in _PARTS.findall(a or b)[:2]) for a, b in _DEFINED.findall(bare))
+    defined = sum(stems.values())
     return {
         "ink": ink, "space": 1 - ink / max(1, len(bare)), "literal": (literal + numbers) / max(1, ink + literal), "shapes": len(shapes), "top": top,
-        "distinct": len(set(shapes)) / max(1, len(shapes)), "long": len(text) / max(1, text.count("\n") + 1), "joins": (bare.count(";") + bare.count(",")) / lines, "banner": banner,
+        "distinct": len(set(shapes)) / max(1, len(shapes)), "long": len(text) / max(1, text.count("\n") + 1), "joins": (bare.count(";") + bare.count(",")) / lines, "banner": banner, "stem": stems.most_common(1)[0][1] / defined if defined >= 4 else 0.0,
     }
 
 
@@ -100,7 +104,7 @@ def evidence(text: str | None, lang: str, file: str) -> list[float]:
     hand = gen = small = vend = blob = 0.0
     if text:
         f = features(text, lang)
-        dense = f["space"] < 0.10 and (f["long"] > 65 or f["joins"] > 4) and f["ink"] > 60
+        dense = f["ink"] > 60 and (f["space"] < 0.10 and (f["long"] > 65 or f["joins"] > 4) or f["space"] < 0.14 and f["long"] > 150)
         if dense:
             small += 6
         elif f["space"] > 0.11:
@@ -109,7 +113,9 @@ def evidence(text: str | None, lang: str, file: str) -> list[float]:
             blob += 6 if f["distinct"] < 0.6 or f["shapes"] < 12 or f["literal"] > 0.75 else 2
         else:
             blob -= 4
-        if f["shapes"] >= 8 and f["top"] >= 0.42 and f["distinct"] < 0.5 and not dense and f["literal"] < 0.6:
+        # one line shape over and over, in a long file or under names of one stem
+        alike = f["distinct"] <= 0.2 or f["distinct"] < 0.3 and f["shapes"] >= 30 or f["distinct"] < 0.5 and f["stem"] >= 0.8
+        if f["shapes"] >= 8 and f["top"] >= 0.42 and alike and not dense and f["literal"] < 0.6:
             gen += 6
         elif not dense:
             gen -= 3
@@ -165,59 +171,56 @@ def file_evidence(files: DataFrame) -> DataFrame:
     return rows.filter("file_id is not null and lang is not null").mapInPandas(_evidence, EVIDENCE_SCHEMA).dropDuplicates(["file_id"])
 
 
-def through(cols: list[Column], affinity: float) -> list[Column]:
-    """Log message over a compatibility: for each label log(sum over labels of psi * exp(x))."""
-    top = F.greatest(*cols)
-    weights = [F.exp(c - top) for c in cols]
-    total = weights[0]
-    for w in weights[1:]:
-        total = total + w
-    return [F.log(total + (affinity - 1) * w) + top for w in weights]
+def message(x: Column, affinity: float) -> Column:
+    """Log message over a compatibility: for each label log(sum over labels of psi * exp(x)), on arrays by label."""
+    top = F.array_max(x)
+    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))
+    return F.transform(x, lambda v: F.log(total + (affinity - 1) * F.exp(v - top)) + top)
 
 
-def named(cols: list[Column], prefix: str) -> list[Column]:
-    return [c.alias(f"{prefix}{k}") for k, c in enumerate(cols)]
+def summed(name: str) -> Column:
+    """Sum of arrays, label by label."""
+    return F.array(*[F.sum(F.col(name)[k]) for k in range(len(LABELS))])
 
 
-def _cols(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}{k}") for k in range(len(LABELS))]
+def plus(a: Column | str, b: Column | str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def minus(a: Column | str, b: Column | str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
 
 
 def propagate(evidence: DataFrame) -> DataFrame:
     """(file_id, label, confidence, valid): every file's belief after exact sum-product."""
-    n = range(len(LABELS))
-    up = evidence.select("repo", "dir", *named(through(_cols("e"), AFFINITY_FILE), "m"))
-    local = up.groupBy("repo", "dir").agg(*[F.sum(f"m{k}").alias(f"s{k}") for k in n])
+    zero = F.array(*[F.lit(0.0)] * len(LABELS))
+    files = evidence.select("file_id", "repo", "dir", "valid", F.array(*E).alias("e")).withColumn("m", message(F.col("e"), AFFINITY_FILE))
+    local = files.groupBy("repo", "dir").agg(summed("m").alias("s"))
     # directories without files of their own stand between others and the root
     parts = F.split("dir", "/")
     every = local.select("repo", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir")).distinct()
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
     parent = F.when(F.col("dir").contains("/"), F.regexp_extract("dir", r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
-    dirs = cut(every.join(local, ["repo", "dir"], "left").select("repo", "dir", depth.alias("depth"), parent.alias("parent"), *[F.coalesce(f"s{k}", F.lit(0.0)).alias(f"s{k}") for k in n]))
-    deepest = dirs.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        deepest = 0
+    dirs = cut(every.join(local, ["repo", "dir"], "left").select("repo", "dir", depth.alias("depth"), parent.alias("parent"), F.coalesce("s", zero).alias("s")))
+    deepest = dirs.agg(F.max("depth")).first()[0] or 0
     levels = {deepest: dirs.filter(F.col("depth") == deepest)}
     for d in range(deepest, 0, -1):  # up: what the children say is added to the parent
-        sent = levels[d].select("repo", F.col("parent").alias("dir"), *named(through(_cols("s"), AFFINITY_DIR), "m")).groupBy("repo", "dir").agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in n])
-        levels[d - 1] = cut(dirs.filter(F.col("depth") == d - 1).join(sent, ["repo", "dir"], "left").select("repo", "dir", "depth", "parent", *[(F.col(f"s{k}") + F.coalesce(f"m{k}", F.lit(0.0))).alias(f"s{k}") for k in n]))
-    beliefs = levels[0].select("repo", "dir", *[F.col(f"s{k}").alias(f"b{k}") for k in n])
+        sent = levels[d].select("repo", F.col("parent").alias("dir"), message(F.col("s"), AFFINITY_DIR).alias("m")).groupBy("repo", "dir").agg(summed("m").alias("m"))
+        levels[d - 1] = cut(dirs.filter(F.col("depth") == d - 1).join(sent, ["repo", "dir"], "left").select("repo", "dir", "depth", "parent", plus("s", F.coalesce("m", zero)).alias("s")))
+    beliefs = levels[0].select("repo", "dir", F.col("s").alias("b"))
     out = beliefs
     for d in range(1, deepest + 1):  # down: the parent's belief without what this child said
-        above = beliefs.select("repo", F.col("dir").alias("parent"), *[F.col(f"b{k}").alias(f"p{k}") for k in n])
-        own = levels[d].select("repo", "dir", "parent", *_cols("s"), *named(through(_cols("s"), AFFINITY_DIR), "m"))
-        joined = own.join(above, ["repo", "parent"]).select("repo", "dir", *_cols("s"), *[(F.col(f"p{k}") - F.col(f"m{k}")).alias(f"x{k}") for k in n])
-        down = through(_cols("x"), AFFINITY_DIR)
-        beliefs = cut(joined.select("repo", "dir", *[(F.col(f"s{k}") + down[k]).alias(f"b{k}") for k in n]))
+        above = beliefs.select("repo", F.col("dir").alias("parent"), F.col("b").alias("p"))
+        own = levels[d].select("repo", "dir", "parent", "s", message(F.col("s"), AFFINITY_DIR).alias("m"))
+        joined = own.join(above, ["repo", "parent"]).select("repo", "dir", "s", minus("p", "m").alias("x"))
+        beliefs = cut(joined.select("repo", "dir", plus("s", message(F.col("x"), AFFINITY_DIR)).alias("b")))
         out = out.unionByName(beliefs)
-    mine = evidence.select("file_id", "repo", "dir", "valid", *_cols("e"), *named(through(_cols("e"), AFFINITY_FILE), "m"))
-    both = join_small(mine, out, ["repo", "dir"]).select("file_id", "valid", *_cols("e"), *[(F.col(f"b{k}") - F.col(f"m{k}")).alias(f"x{k}") for k in n])
-    down = through(_cols("x"), AFFINITY_FILE)
-    final = both.select("file_id", "valid", *[(F.col(f"e{k}") + down[k]).alias(f"f{k}") for k in n])
-    top = F.greatest(*_cols("f"))
-    label = F.coalesce(*[F.when(F.col(f"f{k}") == top, F.lit(LABELS[k])) for k in n])
-    total = sum((F.exp(c - top) for c in _cols("f")), F.lit(0.0))
-    return final.select("file_id", label.alias("label"), (1 / total).alias("confidence"), "valid")
+    both = join_small(files, out, ["repo", "dir"]).select("file_id", "valid", "e", minus("b", "m").alias("x"))
+    final = both.select("file_id", "valid", plus("e", message(F.col("x"), AFFINITY_FILE)).alias("f"))
+    top = F.array_max("f")
+    names = F.array(*[F.lit(x) for x in LABELS])
+    total = F.aggregate("f", F.lit(0.0), lambda a, v: a + F.exp(v - top))
+    return final.select("file_id", F.element_at(names, F.array_position("f", top).cast("int")).alias("label"), (1 / total).alias("confidence"), "valid")
 
 
 def file_labels(files: DataFrame) -> DataFrame:
