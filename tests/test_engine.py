@@ -162,3 +162,15 @@ def test_stream(spark, tmp_path):
     (src / "b.php").write_text("<?php // FIXME: y\n")
     stream.to_table(stream.read_files(spark, str(src)), str(out), str(tmp_path / "ck"), stream.text_findings).awaitTermination(60)
     assert sorted(r.message for r in spark.read.parquet(str(out)).collect()) == ["FIXME: y", "TODO: x"]
+
+
+def test_windowed_counts(spark):
+    rows = [("2026-01-01 00:01:00", "a"), ("2026-01-01 00:09:59", "a"), ("2026-01-01 00:10:00", "a"), ("2026-01-01 00:05:00", "b"), (None, "a")]
+    df = spark.createDataFrame(rows, "at string, rule string").withColumn("at", F.to_timestamp("at"))
+    got = sorted((str(r.window_start)[11:16], r.rule, r.findings) for r in stream.findings_per_window(df, "at").collect())
+    assert got == [("00:00", "a", 2), ("00:00", "b", 1), ("00:10", "a", 1)]
+
+
+def test_structural_stream_rules_on_a_batch(spark):
+    f = files.from_table(spark.createDataFrame([("a.js", "function f() { }\n"), ("b.js", "let a = (")], "file string, source string"), F.col("file"), F.col("source"))
+    assert [(r.file, r.rule) for r in stream.structural_findings(f).collect()] == [("a.js", "empty-function")]
