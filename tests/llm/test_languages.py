@@ -152,3 +152,14 @@ def test_sample_is_bounded_and_stable(spark):
     a, b = labels.labelled_sample(df, rows=100), labels.labelled_sample(df.repartition(7), rows=100)
     assert a == b and 60 <= len(a) <= 100
     assert labels.labelled_sample(df.limit(0)) == []
+
+
+def test_blocks_do_not_change_scores(monkeypatch):
+    f = doc_language.fit([])
+    texts = [doc_language.bare(s) for _, s in CASES] + ["", "x", doc_language.bare(" ".join(HELD_OUT["de"] * 50))]
+    whole = f.scores(texts)
+    small = doc_language.blocks
+    monkeypatch.setattr(doc_language, "blocks", lambda t: small(t, 200))
+    assert abs(f.scores(texts) - whole).max() < 0.05
+    assert [p for _, ps in small(["abcdef", "gh"], 4) for p in ps] == ["abcd", "ef", "gh"]
+    assert f.scores([]).shape == (0, len(doc_language.LANGS))

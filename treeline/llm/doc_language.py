@@ -32,6 +32,8 @@ SLOTS = 1 << 20
 GRAM = 4
 CJK_GRAM = 2
 LEAST_SCORE = 0.15
+#: Characters whose n-grams are held in memory at once.
+BLOCK_CHARS = 1_000_000
 #: An n-gram belongs to a language if it is at least this frequent there against where it is most frequent.
 DOMINANCE = 0.15
 
@@ -96,6 +98,26 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], owner[:n][keep]
 
 
+def blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(index of the text of each piece, pieces): all texts in blocks of about ``chars`` characters.
+
+    A text that is longer than a block is cut; only the n-grams across a cut are lost."""
+    at: list[int] = []
+    pieces: list[str] = []
+    size = 0
+    for k, t in enumerate(texts):
+        for a in range(0, max(1, len(t)), chars):
+            piece = t[a : a + chars]
+            at.append(k)
+            pieces.append(piece)
+            size += len(piece)
+            if size >= chars:
+                yield np.array(at), pieces
+                at, pieces, size = [], [], 0
+    if pieces:
+        yield np.array(at), pieces
+
+
 def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(SLOTS - 1)
     with np.errstate(over="ignore"):
@@ -128,16 +150,16 @@ class Filters:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Per text and language the corrected share of n-grams held."""
-        if not texts:
-            return np.zeros((0, len(LANGS)))
-        h, owner = grams(texts)
-        mask = self.masks(h)
-        total = np.bincount(owner, minlength=len(texts))[: len(texts)].astype(float)
-        out = np.zeros((len(texts), len(LANGS)))
-        for k in range(len(LANGS)):
-            hits = np.bincount(owner, weights=(mask >> k) & 1, minlength=len(texts))[: len(texts)]
-            out[:, k] = (hits - total * self.false_rate[k]) / np.maximum(1.0, total) / (1 - self.false_rate[k])
-        return np.clip(out, 0, 1)
+        total = np.zeros(len(texts))
+        hits = np.zeros((len(texts), len(LANGS)))
+        for at, pieces in blocks(texts):
+            h, owner = grams(pieces)
+            mask, whose = self.masks(h), at[owner]
+            total += np.bincount(whose, minlength=len(texts))
+            for k in range(len(LANGS)):
+                hits[:, k] += np.bincount(whose, weights=(mask >> k) & 1, minlength=len(texts))
+        share = (hits - total[:, None] * self.false_rate) / np.maximum(1.0, total)[:, None] / (1 - self.false_rate)
+        return np.clip(share, 0, 1)
 
     def decide(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language, its score, confidence) of each text."""
