@@ -40,7 +40,9 @@ DOMINANCE = 0.15
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _TICKED = re.compile(r"`[^`\n]*`")
 _IDENT = re.compile(r"[a-z][A-Z]|[_.\-/()$:=\d]")
-_NOISE = re.compile(r"\b[a-z]+://\S+|(?<!\S)\S*[/\\]\S*|\S+@\S+\.\w+|(?<!\w)[@#]\w+|\b\w*(?:[a-z][A-Z]|_)\w*\b")
+_ADDRESS = re.compile(r"\b[a-z]+://\S+|(?<!\S)\S*[/\\]\S*|\S+@\S+\.\w+|(?<!\w)[@#]\w+")
+_NAMES = re.compile(r"\w*(?:[a-z][A-Z]|_)\w*")
+_NAMED = re.compile(r"[a-z][A-Z]|_")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿々ー]")
@@ -54,7 +56,11 @@ def bare(line: str) -> str:
     """The line's natural words in lower case, separated by single spaces."""
     if "`" in line:
         line = _TICKED.sub(lambda m: " " if _IDENT.search(m.group()[1:-1]) else f" {m.group()[1:-1]} ", line)
-    return _NOT_LETTER.sub(" ", _NOISE.sub(" ", line)).strip().lower()
+    if "/" in line or "@" in line or "#" in line or "\\" in line:
+        line = _ADDRESS.sub(" ", line)
+    if _NAMED.search(line):
+        line = _NAMES.sub(" ", line)
+    return _NOT_LETTER.sub(" ", line).strip().lower()
 
 
 def prose_lines(text: str) -> list[tuple[int, str]]:
@@ -69,7 +75,7 @@ def prose_lines(text: str) -> list[tuple[int, str]]:
         if _FENCE.match(line):
             fenced = not fenced
             continue
-        if fenced or _LOG.match(line) or _CODE.search(line):
+        if fenced or _LOG.match(line) or ("=" in line or "(" in line or ";" in line or "{" in line or "}" in line) and _CODE.search(line):
             continue
         if line.lstrip()[:1] == "#" and _TITLE.match(line) and (k == 0 or not lines[k - 1].strip()) and (k + 1 >= len(lines) or not lines[k + 1].strip()):
             continue
