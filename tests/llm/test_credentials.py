@@ -73,3 +73,21 @@ def test_tables(spark):
 def test_long_text_is_read_whole():
     text = "x = walkToken(node, 338);\n" * 100_000 + f'api_key = "{GH}"\n'
     assert C.lines_with(text, False) == [100_001]
+
+
+# Fixed, so that the generator above keeps its course.
+RAW = "wJ4lrXUtnF3MIqK7mDEN" + "GbPx9RfiCYzz8Qk2LmTv"
+NEUTRAL = [f'x = "{RAW}"', f'list = [1, "{RAW}", 2]', f'run("{RAW}")', f"# see {RAW} there", f"value: {RAW}", f'password =\n    "{PW}"', f'x = "{"kf83jd" + "92nxb4" + "q7zm1p"}"']
+
+
+@pytest.mark.parametrize("line", NEUTRAL)
+def test_neutral_names_and_next_line(line):
+    text = f"x\n{line}\ny\n"
+    assert C.lines_with(text, False) == [2 + line.count("\n")]
+    out, n = C.redact(text, False)
+    assert n == 1 and RAW not in out and PW not in out and C.lines_with(out, False) == []
+
+
+@pytest.mark.parametrize("line", [f'checksum = "{RAW}"', f'integrity="sha512-{RAW}"', f"ssh-rsa {RAW}", 'caseLedgerJobro0225(n, "https://a.test/x?page=301d7fa3")', f'x = "{HEX}"', 'x = "build-2024.05.01-rc2-amd64"', f"-----BEGIN PUBLIC KEY-----\n{RAW}\n-----END PUBLIC KEY-----", "requestId: " + RAW, "t = [\n" + f'"{RAW}{RAW}",\n' * 4 + "]"])
+def test_neutral_values_that_are_none(line):
+    assert C.lines_with(f"x\n{line}\ny\n", False) == []

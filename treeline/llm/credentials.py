@@ -4,7 +4,8 @@ Candidates are quoted strings and long tokens together with what stands before t
 name and an assignment, a call, an address, a header, a command). The Shannon entropy
 of a candidate is taken over its own alphabet (hexadecimal, upper case and digits,
 base64, any) and held against a threshold that falls with its length and with how clearly
-the context names a credential. Hashes, identifiers, references, masked or sample values
+the context names a credential; every string literal and long token is held against the
+strictest, whatever its name. Hashes, identifiers, references, masked or sample values
 and known placeholders are excluded.
 
 Redaction replaces only the value's own characters, so quotes, brackets, line breaks and
@@ -50,7 +51,9 @@ _MASKED = re.compile(r"\*{3,}|•{2,}|\A[xX*.\-_#0]+\Z|x{6,}|X{6,}|\.{3,}")
 _PATTERN = re.compile(r"\[[^\]]*-[^\]]*\]|\\[dws]|\{\d+(?:,\d*)?\}|\(\?")
 _HEX = re.compile(r"\A(?:0x)?[0-9a-fA-F]+\Z")
 _UUID = re.compile(r"\A[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
+_UUID_IN = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _UPPER = re.compile(r"\A[A-Z0-9]+\Z")
+_LOWER = re.compile(r"\A[a-z0-9]+\Z")
 _BASE64 = re.compile(r"\A[A-Za-z0-9+/_=-]+\Z")
 # Shapes of issued tokens.
 _ISSUED = (
@@ -59,7 +62,7 @@ _ISSUED = (
 )
 
 # After a secret word: the rest of the name, an optional type, the sign of assignment or call, the value.
-_AFTER = r"[\w.-]*+[\"']?\]?[ \t]*+(?::[ \t]*[a-z_][\w<>\[\]]*[ \t]*(?==))?(?P<sep>:=|=>|==?|:|\()[ \t]*+(?=\S)"
+_AFTER = r"[\w.-]*+[\"']?\]?[ \t]*+(?::[ \t]*[a-z_][\w<>\[\]]*[ \t]*(?==))?(?P<sep>:=|=>|==?|:|\()[ \t]*+(?:(?=\S)|\r?\n[ \t]*+(?=[\"'`]))"
 _KEYED = {w: re.compile(re.escape(w) + _AFTER) for w in _SECRET_WORDS}
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _TOKEN = re.compile(rf"(?<![A-Za-z0-9_])(?:{_ISSUED})(?![A-Za-z0-9])")
@@ -83,6 +86,16 @@ _BARE = re.compile(r"[^\s\"'`;,)\]}<>(){}]+")
 _DEFAULT = re.compile(r"\A(?:[A-Za-z_$][\w$]*(?:\.|->|::))*(?i:get|env|config|setting|lookup|fetch|read|param|option)\w*\s*\(\s*" + r"(?:\"[^\"\n]*\"|'[^'\n]*')\s*,\s*")
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16}")
 _FALLBACK = re.compile(r"(?i:get|env|config|setting|lookup|option|param)\w*\s*\(\s*[\"'][^\"'\n]*(?i:passw|pwd|secret|token|api_?key|credential)[^\"'\n]*[\"']\s*,\s*(?=[\"'])")
+# Every long token, inside quotes or bare, whatever stands before it.
+_LONG = re.compile(r"[A-Za-z0-9+/_~.-]{16,}+={0,2}")
+_BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----[\s\S]*?-----END \1-----")
+_PIECES = re.compile(r"[^A-Za-z0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z]{3,}")
+_ID_BEFORE = re.compile(
+    r"(?i)(?:sha-?\d{1,3}|md5|crc\d*|checksum|digest|hash|integrity|etag|revision|rev|commit|fingerprint|public|pem|nonce|uuid|guid|(?<![a-z])(?:ssh|ecdsa)-[\w-]+\s|base64,|(?:request|trace|span|correlation|build|session|message|object|document|record)[_-]?id|[a-z_-]*_id)"
+    r"[\w.-]*[\"']?\]?\s*(?::\s*[A-Za-z_][\w<>\[\]]*\s*(?==))?(?:[:=(,-]|=>|:=)?\s*[\"'`]?(?:sha\d+[-:])?\Z"
+)
+_BETWEEN = re.compile(r"[\"'`]\s*[,;+.]*\s*[\"'`]\Z")
 _END_PEM = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 
 
@@ -98,6 +111,8 @@ def alphabet(value: str) -> tuple[str, int]:
         return "hex", 16
     if _UPPER.match(value):
         return "upper", 36
+    if _LOWER.match(value):
+        return "lower", 36
     if _BASE64.match(value):
         return "base64", 64
     return "any", 94
@@ -148,6 +163,62 @@ def joined(text: str, at: int) -> tuple[str, list[tuple[int, int]]] | None:
     return out, places
 
 
+def ordinary(value: str) -> bool:
+    """Whether every piece of a value is a word, a number or hexadecimal: a name, path, version or id."""
+    for piece in _PIECES.split(value):
+        if len(piece) <= 3 or piece.isalpha() and (piece.islower() or piece.isupper()) or _HEX.match(piece) and not (re.search(r"[a-f]", piece) and re.search(r"[A-F]", piece)):
+            continue
+        letters = sum(c.isalpha() for c in piece)
+        words = sum(map(len, _WORD.findall(piece))) + sum(map(len, re.findall(r"[A-Z]{3,}(?![a-z])", piece))) * (piece.upper() == piece)
+        if len(re.findall(r"\d+", piece)) > 1 or words < 0.7 * letters:
+            return False
+    return True
+
+
+def unkeyed(text: str) -> list[tuple[int, int]]:
+    """Places of strings and long tokens that are credentials by their entropy alone.
+
+    Encoded data is told by its form: three or more neighbouring strings of one length over 44."""
+    blocks = None
+    got: list[tuple[int, int]] = []
+    rows: list[tuple[int, int]] = []
+    literals = [(m.start(m.lastindex), m.end(m.lastindex)) for m in _STRING.finditer(text) if m.end() - m.start() >= 18 and " " not in m.group()]
+    places = literals + [m.span() for m in _LONG.finditer(text)]
+    for start, end in sorted(places, key=lambda p: (p[0], -p[1])):
+        if got and start < got[-1][1]:
+            continue
+        if end - start > 44 and not (rows and start < rows[-1][1]) and _BASE64.match(text[start:end]):
+            rows.append((start, end))
+        if text[start - 1 : start] == "\\":  # the letter of an escape
+            start += 1
+        value = text[start:end]
+        if not value.isascii() or "://" in value or not re.search(r"\d", value) and value.lower() == value or ordinary(value) or not is_literal(value, False) or _UUID_IN.search(value):
+            continue
+        if not re.fullmatch(r"[!-~]+", value) or re.search(r"[\"'`(){}<>;,\\]", value):
+            continue
+        got.append((start, end))
+    out = []
+    data: set[tuple[int, int]] = set()
+    run: list[tuple[int, int]] = []
+    for place in [*rows, (len(text), len(text))]:
+        if run and (place[1] - place[0] != run[0][1] - run[0][0] or not _BETWEEN.match(text[run[-1][1] : place[0]])):
+            data.update(run if len(run) >= 3 else ())
+            run = []
+        run.append(place)
+    for start, end in got:
+        if (start, end) in data:
+            continue
+        head = text[max(0, start - 90) : start]
+        if _ID_BEFORE.search(head[head.rfind("\n") + 1 :]):
+            continue
+        if blocks is None:
+            blocks = [m.span() for m in _BLOCK.finditer(text)]
+        if any(a <= start < b for a, b in blocks):
+            continue
+        out.append((start, end))
+    return out
+
+
 def find(text: str, loose: bool) -> list[tuple[int, list[tuple[int, int]]]]:
     """(place where the credential begins, places of its value), in order.
 
@@ -201,6 +272,9 @@ def find(text: str, loose: bool) -> list[tuple[int, list[tuple[int, int]]]]:
                 got = _keyed(text, key, m["sep"], m.end(), loose)
                 if got:
                     out.append((got[0][0], got))
+    for start, end in unkeyed(text):
+        if not any(a < end and start < b for _, places in out for a, b in places):
+            out.append((start, [(start, end)]))
     return sorted(out)
 
 
