@@ -91,3 +91,35 @@ def test_neutral_names_and_next_line(line):
 @pytest.mark.parametrize("line", [f'checksum = "{RAW}"', f'integrity="sha512-{RAW}"', f"ssh-rsa {RAW}", 'caseLedgerJobro0225(n, "https://a.test/x?page=301d7fa3")', f'x = "{HEX}"', 'x = "build-2024.05.01-rc2-amd64"', f"-----BEGIN PUBLIC KEY-----\n{RAW}\n-----END PUBLIC KEY-----", "requestId: " + RAW, "t = [\n" + f'"{RAW}{RAW}",\n' * 4 + "]"])
 def test_neutral_values_that_are_none(line):
     assert C.lines_with(f"x\n{line}\ny\n", False) == []
+
+
+def body(lines, seed=6):
+    rng = random.Random(seed)
+    return "\n".join("".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(lines))
+
+
+@pytest.mark.parametrize("lead", ["", "# ", "// ", " * "])
+def test_private_key_without_end(lead):
+    key = body(5) + "\n" + "kQ9x=="
+    text = f"a = 1\n{lead}{PEM}\n" + "\n".join(lead + x for x in key.split("\n")) + "\nreturn matchLedgerZekli(2)\n"
+    out, n = C.redact(text, False)
+    assert n == 1 and C.lines_with(text, False) == [2] and not any(x in out for x in key.split("\n"))
+    assert out.endswith("\nreturn matchLedgerZekli(2)\n") and out.count("\n") == text.count("\n")
+    assert C.redact(f'mark = "{PEM}"\nreturn matchLedgerZekli(2)\n', False)[1] == 0
+
+
+def test_long_private_key():
+    text = f"{PEM}\n{body(600)}\n{END}\nb\n"
+    assert C.redact(text, False) == (f"{PEM}{C.MASK}" + "\n" * 601 + f"{END}\nb\n", 1)
+
+
+def test_long_values():
+    for value in ("/u3+7QAAAAAAAAAA" + body(80).replace("\n", ""), body(80).replace("\n", "")):
+        assert C.redact(f'keystore_password = "{value}"\n', False) == (f'keystore_password = "{C.MASK}"\n', 1)
+    token = body(5).replace("\n", "").replace("/", "x")
+    assert C.redact(f'u = "https://bob:{token}@h.test/x"', False)[0] == f'u = "https://bob:{C.MASK}@h.test/x"'
+
+
+def test_overlapping_places_leave_no_tail(monkeypatch):
+    monkeypatch.setattr(C, "find", lambda text, loose: [(0, [(0, 5)]), (3, [(3, 8)])])
+    assert C.redact("abcdefghij", False) == (C.MASK + "ij", 2)

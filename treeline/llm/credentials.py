@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from treeline.parsers.spans import language_of
 
 MASK = "[REDACTED]"
+#: Under a neutral name a longer string is taken for encoded data.
+DATA_CHARS = 4096
 
 # Parts of names that speak of a credential (several languages), in lower case.
 _SECRET_WORDS = (
@@ -66,7 +68,7 @@ _AFTER = r"[\w.-]*+[\"']?\]?[ \t]*+(?::[ \t]*[a-z_][\w<>\[\]]*[ \t]*(?==))?(?P<s
 _KEYED = {w: re.compile(re.escape(w) + _AFTER) for w in _SECRET_WORDS}
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _TOKEN = re.compile(rf"(?<![A-Za-z0-9_])(?:{_ISSUED})(?![A-Za-z0-9])")
-_USERINFO = re.compile(r"://[^\s:/@\"'`<>()]*:([^\s/\"'`]{1,200}?)@(?=[\w\[])")
+_USERINFO = re.compile(r"://[^\s:/@\"'`<>()]*:([^\s/\"'`]+?)@(?=[\w\[])")
 _PARAM = re.compile(r"[?&]([\w.-]{1,40})=([^\s&;\"'`<>#)\]]{12,})")
 _HEADER = re.compile(r"(?i:authorization[\"']?\s*[:=]\s*[\"']?(?:basic|bearer|token)|\bbearer|x-(?:api|auth)[\w-]*[\"']?\s*:)\s+[\"']?([A-Za-z0-9+/_.~=-]{8,})")
 _COMMAND = re.compile(r"\b(?:curl|wget|http)\b[^\n]{0,120}?(?:\s-u\s*|\s--user[= ])[\"']?[^\s:\"']+:([^\s\"']+)")
@@ -85,6 +87,8 @@ _JOIN = re.compile(r"\s*(?:\+|\.\.?|\|\|)?\s*(?=[\"'`])")
 _BARE = re.compile(r"[^\s\"'`;,)\]}<>(){}]+")
 _DEFAULT = re.compile(r"\A(?:[A-Za-z_$][\w$]*(?:\.|->|::))*(?i:get|env|config|setting|lookup|fetch|read|param|option)\w*\s*\(\s*" + r"(?:\"[^\"\n]*\"|'[^'\n]*')\s*,\s*")
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16}")
+# Between the lines of a key: line breaks, written out or not, quotes, signs of comments and of joining; a header of the key; a line.
+_KEY_PIECE = re.compile(r"(?:\\[nrt]|[+/]+(?=\s)|[^\w+/=\\-]|-(?!----))*+(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n\\\"'`]*+|([A-Za-z0-9+/=]+))")
 _FALLBACK = re.compile(r"(?i:get|env|config|setting|lookup|option|param)\w*\s*\(\s*[\"'][^\"'\n]*(?i:passw|pwd|secret|token|api_?key|credential)[^\"'\n]*[\"']\s*,\s*(?=[\"'])")
 # Every long token, inside quotes or bare, whatever stands before it.
 _LONG = re.compile(r"[A-Za-z0-9+/_~.-]{16,}+={0,2}")
@@ -128,13 +132,14 @@ def threshold(value: str, keyed: bool) -> float:
 def is_literal(value: str, keyed: bool = True) -> bool:
     """Whether a value is a credential rather than a placeholder, mask, reference, hash or label."""
     v = value.strip().strip("\"'`")
-    if len(v) < (6 if keyed else 16) or len(v) > 4096:
+    if len(v) < (6 if keyed else 16) or not keyed and len(v) > DATA_CHARS:
         return False
-    if _REFERENCE.search(v) or _MASKED.search(v) or _PATTERN.search(v) or _PLACEHOLDER.search(v):
+    kind, _ = alphabet(v)
+    # a long encoded value may begin with a slash or hold a run of one letter by what it encodes
+    if not (len(v) >= 256 and kind == "base64") and (_REFERENCE.search(v) or _MASKED.search(v) or _PATTERN.search(v) or _PLACEHOLDER.search(v) or re.search(r"(.)\1{7,}", v)):
         return False
-    if len(set(v)) < 4 or re.search(r"(.)\1{7,}", v):
+    if len(set(v)) < 4:
         return False
-    kind, _ = alphabet(v)
     if not keyed and (kind == "hex" or _UUID.match(v)):
         return False
     digits, letters = sum(c.isdigit() for c in v), sum(c.isalpha() for c in v)
@@ -175,6 +180,19 @@ def ordinary(value: str) -> bool:
     return True
 
 
+def key_body(text: str, at: int) -> int:
+    """Where the run of a key's lines that begins at ``at`` ends, if no END mark closes it."""
+    end = at
+    while m := _KEY_PIECE.match(text, end):
+        piece = m[1]
+        if piece is None or len(piece) >= 40 or len(piece) >= 16 and not ordinary(piece):
+            end = m.end()
+            continue
+        # the last line is shorter
+        return m.end() if end > at and (piece[-1] == "=" or not ordinary(piece)) else end
+    return end
+
+
 def unkeyed(text: str) -> list[tuple[int, int]]:
     """Places of strings and long tokens that are credentials by their entropy alone.
 
@@ -236,10 +254,11 @@ def find(text: str, loose: bool) -> list[tuple[int, list[tuple[int, int]]]]:
         ran.add(rx)
         for m in rx.finditer(text):
             if kind == "pem":
-                end = _END_PEM.search(text, m.end(), m.end() + 20_000)
-                stop = end.start() if end else min(len(text), m.end() + 20_000)
+                other = _PEM.search(text, m.end())
+                end = _END_PEM.search(text, m.end(), other.start() if other else len(text))
+                stop = end.start() if end else key_body(text, m.end())
                 if _KEY_BODY.search(text, m.end(), stop):  # a mark without a key is only a label
-                    out.append((m.start(), [(m.end(), end.start() if end else m.end())]))
+                    out.append((m.start(), [(m.end(), stop)]))
             elif kind == "param":
                 name, value = m[1], m[2]
                 if re.search(r"(?i)passw|pwd|secret|api_?key", name) and is_literal(value) or re.search(r"(?i)token|auth|sig|key|pass|credential|\A(?:k|s|t)\Z", name) and len(value) >= 16 and is_literal(value, False):
@@ -325,11 +344,14 @@ def redact(text: str | None, loose: bool) -> tuple[str | None, int]:
     if not text:
         return text, 0
     found = list(find(text, loose))
-    cut = sorted({p for _, places in found for p in places})
+    cut: list[tuple[int, int]] = []
+    for start, end in sorted({p for _, places in found for p in places}):
+        if cut and start < cut[-1][1]:
+            cut[-1] = cut[-1][0], max(end, cut[-1][1])
+        else:
+            cut.append((start, end))
     out, at = [], 0
     for start, end in cut:
-        if start < at:
-            continue
         piece = text[start:end]
         # line breaks inside a value stay, so that no line number moves
         out += [text[at:start], MASK, "\n" * piece.count("\n")]
