@@ -123,3 +123,12 @@ def test_long_values():
 def test_overlapping_places_leave_no_tail(monkeypatch):
     monkeypatch.setattr(C, "find", lambda text, loose: [(0, [(0, 5)]), (3, [(3, 8)])])
     assert C.redact("abcdefghij", False) == (C.MASK + "ij", 2)
+
+
+def test_redacted_query_holds_files_and_messages(spark, tmp_path):
+    from treeline.llm import queries
+
+    spark.createDataFrame([(1, "a.js", f'let password = "{PW}";'), (2, "b.js", "x")], "file_id long, file string, source string").write.parquet(f"{tmp_path}/source_files.parquet")
+    spark.createDataFrame([(1, f"leaked password: {PW}"), (1, f"leaked password: {PW}"), (2, "x"), (3, None)], "finding_id long, message string").write.parquet(f"{tmp_path}/findings.parquet")
+    got = sorted(map(tuple, queries.p3_redacted(spark, str(tmp_path)).select("origin", "record_id", "text", "redacted").collect()))
+    assert got == [("message", 1, f"leaked password: {C.MASK}", 1), ("source", 1, f'let password = "{C.MASK}";', 1)]
