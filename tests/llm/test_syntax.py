@@ -70,3 +70,25 @@ def test_rates(spark):
 def test_python_needs_no_warnings():
     assert syntax.python_parses("x = '\\d'\nassert (1, 'x')\n")
     assert sys.version_info >= (3, 10)
+
+
+SPANNING = {
+    "php": "<?php\nf($a);\n$s = <<<EOT\n ( {\n it's\nEOT;\n$t = <<<'X'\n \" [\nX;\n$u = `ls\n {`;\n?>\n<p>it's (\n</p>\n<?php\n/* ' */\ng('x\ny');\n",
+    "c": "#define F(a) \\\n  do { g(a); \\\n  (\nint f(void) {\n  return g(\"x \\\n ( y\");\n}\n", "lua": "local s = [====[ {\n ]] ( ]===]\n]====]\n--[===[ x (\n]]\n]===]\nf(s)\n",
+    "js": "const t = `x ${f(`y {\n ${1}`)\n} (\n`;\n// it`s\nf(t);\n", "ts": "const t: string = `x ${f(`y {\n ${1}`)\n} (\n`;\n// it`s\nf(t);\n",
+    "go": "package a\n\n// it`s\nfunc f() {\n\ts := `x {\n\"`\n\t/* ' (\n */\n\tg(s)\n}\n", "java": "class A {\n  String s = \"\"\"\n    { \" (\n    \"\"\";\n  /* \"\"\"\n */\n}\n",
+}
+
+
+@pytest.mark.parametrize("lang", SPANNING)
+def test_cuts_lie_outside_constructs(spark, lang):
+    head, text = ("package a\n", SPANNING[lang].removeprefix("package a\n") * 20) if lang == "go" else ("", SPANNING[lang] * 20)
+    text = head + (text if lang != "php" else SPANNING[lang] + SPANNING[lang].removeprefix("<?php\n") * 19)
+    texts = [text, text[:-4], text + "`\n", text + "f(\n", *(text[:k] for k in range(40, 400, 23)), *(text[:k] + "#!x\n" + text[k:] for k in (text.index("\n", 150) + 1,))]
+    name = f"a.{lang}"
+    rows = [(k, "r", name, t, None, None) for k, t in enumerate(texts)]
+    whole = {k: syntax.parses(t, lang) for k, t in enumerate(texts)}
+    assert whole[0] and not all(whole.values())
+    for size in (10, 45, 130):
+        assert len(syntax.cut_outside_tokens(text, lang, size)) > 5
+        assert verdicts(spark, rows, chunk_chars=size) == whole

@@ -1,8 +1,9 @@
 """Source files that do not parse in the language they claim.
 
 Every file is reduced to token classes and bracket groups that local grammars have
-read (``treeline.parsers.grammar``). Long files are cut into chunks at line breaks. A
-chunk doesn't know in which lexer state it begins, so its summary is a map: for each
+read (``treeline.parsers.grammar``). Files over CHUNK_CHARS are cut into chunks at line
+breaks outside every token; of the map below only the entry for code is needed then. A
+chunk cut anywhere doesn't know in which lexer state it begins, so its summary is a map: for each
 state (code, inside a block comment, inside a literal that may span lines) the state at
 its end and its reduced class string. Maps compose associatively, so chunks are
 summarised anywhere in the cluster and folded per file; what is left after the last
@@ -71,9 +72,14 @@ def parses(text: str, lang: str) -> bool:
     return grammar(lang).valid(classes.token_classes(text, lang))
 
 
+def _begun(text: str, lang: str, first: bool) -> str:
+    """A chunk as the lexer of whole texts reads it: with PHP's opening, and no #! line but in the first."""
+    return text if first else {"php": "<?php ", "js": "\n", "ts": "\n", "lua": "\n"}.get(lang, "") + text
+
+
 def scan(text: str, lang: str, first: bool) -> tuple[str | None, str]:
     """(class string or None if broken, the state at the end) from the state code."""
-    whole = text if lang != "php" or first else "<?php " + text
+    whole = _begun(text, lang, first)
     got = classes.token_classes(whole, lang)
     if got is not None:
         return got, ""
@@ -147,6 +153,35 @@ def cut_at_lines(text: str, size: int) -> list[str]:
     return out
 
 
+def _gaps(text: str, lang: str) -> Iterator[tuple[int, int]]:
+    """The stretches between the tokens, comments and literals of a text."""
+    if lang == "go":
+        at = 0
+        for m in classes._GO_SCAN.finditer(text):
+            yield at, m.start()
+            at = m.end()
+        yield at, len(text)
+        return
+    rx, _, _ = classes._lexer(lang)
+    at = classes._PHP_HEAD.match(text).end() if lang == "php" else 0
+    for m in rx.finditer(text, at):
+        yield (m.start() if m.lastgroup == "L" else m.end(m.lastgroup)), m.end()
+
+
+def cut_outside_tokens(text: str, lang: str, size: int) -> list[str]:
+    """Chunks of at least ``size`` characters that end with a line break outside every
+    token, so that each chunk reads alone as it does in the whole text."""
+    out, at = [], 0
+    for start, stop in _gaps(text, lang):
+        while (end := text.find("\n", max(start, at + size - 1), stop)) >= 0:
+            start = end + 1
+            if text[start : start + 1] != "/":  # a slash is a division or a literal by what stands before it
+                out.append(text[at:start])
+                at = start
+    out.append(text[at:])
+    return out
+
+
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pd.DataFrame({"file_id": pdf["file_id"], "repo": pdf["repo"], "file": pdf["file"], "lang": pdf["lang"], "valid": [not t or parses(t, la) for t, la in zip(pdf["source"], pdf["lang"])]})
@@ -157,18 +192,18 @@ def _chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame
         rows = [
             (f, r, p, la, k, part)
             for f, r, p, la, t in zip(pdf["file_id"], pdf["repo"], pdf["file"], pdf["lang"], pdf["source"])
-            for k, part in enumerate(cut_at_lines(t.replace("\r\n", "\n"), size))
+            for k, part in enumerate(cut_outside_tokens(t.replace("\r\n", "\n"), la, size))
         ]
         yield pd.DataFrame(rows, columns=["file_id", "repo", "file", "lang", "chunk", "part"])
 
 
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [
-            (f, r, p, la, k, state, s is None, s or "", end)
-            for f, r, p, la, k, part in zip(pdf["file_id"], pdf["repo"], pdf["file"], pdf["lang"], pdf["chunk"], pdf["part"])
-            for state, (s, end) in summary(part, la, k == 0).items()
-        ]
+        rows = []
+        for f, r, p, la, k, part in zip(pdf["file_id"], pdf["repo"], pdf["file"], pdf["lang"], pdf["chunk"], pdf["part"]):
+            # no cut lies inside a construct, so only the state code is needed, and what a chunk leaves open is never closed
+            s = classes.token_classes(_begun(part, la, k == 0), la)
+            rows.append((f, r, p, la, k, "", s is None, grammar(la).reduce(s) if s else "", ""))
         yield pd.DataFrame(rows, columns=["file_id", "repo", "file", "lang", "chunk", "state", "broken", "classes", "end_state"])
 
 

@@ -88,6 +88,9 @@ def _lexer(lang: str) -> tuple[re.Pattern, dict[str, str], dict[str, str]]:
     return re.compile(f"(?:{'|'.join(out)}){space}"), words, {x: _OPS.get(x, "o") for x in ops.split()} | ({"~": "+", "::": "d", "#": "!"} if lang == "lua" else {}) | ({"@": "!", "$": "$", "<>": "o", "?->": "q", "<<<=": "="} if lang == "php" else {}) | ({":=": "=", "<-": "+", "^": "+"} if lang == "go" else {}) | ({">>": ">"} if lang == "ts" else {})
 
 
+_PHP_HEAD = re.compile(r"(?:(?!<\?(?:php\b|=))[\s\S])*+(?:<\?php\b|<\?=|\Z)\s*")
+
+
 def token_classes(text: str, lang: str) -> str | None:
     """The class string of a whole text, or None where it can't be cut into tokens."""
     rx, words, ops = _lexer(lang)
@@ -95,8 +98,7 @@ def token_classes(text: str, lang: str) -> str | None:
     add = out.append
     pos = 0
     if lang == "php":
-        m = re.compile(r"(?:(?!<\?(?:php\b|=))[\s\S])*+(?:<\?php\b|<\?=|\Z)\s*").match(text)
-        pos = m.end()
+        pos = _PHP_HEAD.match(text).end()
     else:
         pos = re.compile(r"[\s\ufeff]*").match(text).end()
     word, op = words.get, ops.get
