@@ -66,3 +66,12 @@ def test_empty_and_long(spark):
     d, i = frames(spark, [(1, "a " * 200_000 + "one two three four five six seven eight nine ten eleven twelve")], [(7, "zero one two three four five six seven eight nine ten eleven twelve more")])
     assert [(r.doc_id, r.item_id) for r in leaks.leaks(d, i).collect()] == [(1, 7)]
     assert leaks.leaks(d.limit(0), i).count() == 0 and leaks.leaks(d, i.limit(0)).count() == 0
+
+
+def test_reworded_items_of_their_own_wording(spark):
+    own = "careful gardeners prune 12 old apple trees before early spring because strong late frost harms"
+    items = [(1, own), (2, "quiet rivers carry fine sand along broad valleys until slow water drops every grain there")]
+    docs = [(1, own.replace("12", "57").replace("apple", "cherry").replace("frost", "storm")), (2, own), (3, "quick foxes cross 31 new stone roads after dark night while loud young hound barks")]
+    assert {(r.doc_id, r.item_id) for r in leaks.reworded_leaks(*frames(spark, docs, items)).collect()} == {(1, 1)}
+    docs = [(k, " ".join(f"w{k}x{j}" for j in range(400))) for k in range(50)]  # windows of slots alone join nothing
+    assert leaks.reworded_leaks(*frames(spark, docs, items)).count() == 0

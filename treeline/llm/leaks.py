@@ -34,6 +34,8 @@ WINDOW = 12
 BITS = 1 << 20
 TEMPLATE_ITEMS = 3
 TEMPLATE_WORDS = 50_000
+#: Most slots of a reworded window that hold other values than the item's.
+MOST_DIFFERENT = WINDOW // 2
 
 # Units of measure that stand for each other in re-parameterised questions.
 UNITS = frozenset("ms s sec secs second seconds min mins minute minutes hour hours day days kb mb gb tb byte bytes bit bits px cm mm m km kg g mg percent usd eur".split())
@@ -95,6 +97,24 @@ def slot_values(w: list[str], at: int, template: frozenset[str]) -> list[str]:
     return [x for x in w[at : at + WINDOW] if canonical(x, template)[0] == "\x00"]
 
 
+def keys(w: list[str], shape: np.ndarray, template: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of what windows are joined by: the template hash alone, or with each slot's
+    value where more than MOST_DIFFERENT slots mean that one at least must be equal."""
+    n = len(shape)
+    slot = np.fromiter((canonical(x, template)[0] == "\x00" for x in w), bool, len(w))
+    total = np.concatenate([[0], np.cumsum(slot)])
+    many = total[WINDOW : WINDOW + n] - total[:n] > MOST_DIFFERENT
+    plain = np.fromiter((_hash(x) for x in w), np.uint64, len(w))
+    at, key = [np.flatnonzero(~many)], [shape[~many]]
+    with np.errstate(over="ignore"):
+        for k in range(WINDOW):
+            where = np.flatnonzero(many & slot[k : k + n])
+            mixed = (shape[where] ^ plain[where + k]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
+            at.append(where)
+            key.append(mixed ^ (mixed >> np.uint64(29)))
+    return np.concatenate(at), np.concatenate(key)
+
+
 def _emit(batches: Iterator[pd.DataFrame], template: frozenset[str], bitmap: np.ndarray | None, with_slots: bool) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows: list[tuple] = []
@@ -104,13 +124,16 @@ def _emit(batches: Iterator[pd.DataFrame], template: frozenset[str], bitmap: np.
             w, shape, plain = windows(text, template)
             if not len(shape):
                 continue
-            at = np.arange(len(shape)) if bitmap is None else np.flatnonzero(bitmap[(shape % np.uint64(BITS)).astype(np.int64)])
+            at, key = keys(w, shape, template) if with_slots else (np.arange(len(shape)), shape)
+            if bitmap is not None:
+                known = bitmap[(key % np.uint64(BITS)).astype(np.int64)]
+                at, key = at[known], key[known]
             a, b = shape.view(np.int64), plain.view(np.int64)
-            rows += [(ident, int(k), int(a[k]), int(b[k]), slot_values(w, k, template) if with_slots else None) for k in at]
-        yield pd.DataFrame(rows, columns=["id", "at", "shape", "plain", "slots"])
+            rows += [(ident, int(k), int(j), int(a[k]), int(b[k]), slot_values(w, k, template) if with_slots else None) for k, j in zip(at, key.view(np.int64))]
+        yield pd.DataFrame(rows, columns=["id", "at", "key", "shape", "plain", "slots"])
 
 
-SCHEMA = "id long, at int, shape long, plain long, slots array<string>"
+SCHEMA = "id long, at int, key long, shape long, plain long, slots array<string>"
 
 
 def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,15 +156,15 @@ def joined_windows(documents: DataFrame, items: DataFrame, with_slots: bool, on:
     items = _pair(items, "item_id")
     template = template_words(items)
     # the same window may stand in many items; each (item, window) once
-    held = cut(items.mapInPandas(lambda it: _emit(it, template, None, with_slots), SCHEMA).dropDuplicates(["id", "plain", "shape"]))
-    bits = held.select(F.pmod("shape", F.lit(BITS)).cast("int").alias("b")).distinct().collect()  # at most BITS small numbers
+    held = cut(items.mapInPandas(lambda it: _emit(it, template, None, with_slots), SCHEMA).dropDuplicates(["id", "plain", "shape", "key"]))
+    bits = held.select(F.pmod("key", F.lit(BITS)).cast("int").alias("b")).distinct().collect()  # at most BITS small numbers
     bitmap = np.zeros(BITS, bool)
     bitmap[[r.b for r in bits]] = True
     found = _pair(documents, "doc_id").mapInPandas(lambda it: _emit(it, template, bitmap, with_slots), SCHEMA)
-    right = held.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "shape", F.col("plain").alias("item_plain"), F.col("slots").alias("item_slots"))
-    left = found.select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "shape", "plain", "slots").dropDuplicates(["doc_id", "shape", "plain"])
+    right = held.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "key", "shape", F.col("plain").alias("item_plain"), F.col("slots").alias("item_slots"))
+    left = found.select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "key", "shape", "plain", "slots").dropDuplicates(["doc_id", "key", "shape", "plain"])
     if on == ["shape", "plain"]:
-        return left.join(right.withColumn("plain", F.col("item_plain")), on)
+        return left.join(right.drop("key").withColumn("plain", F.col("item_plain")), on)
     # what is verbatim in one item isn't another one reworded
     return left.join(right.select(F.col("item_plain").alias("plain")).distinct(), "plain", "left_anti").join(right, on)
 
@@ -154,14 +177,14 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def reworded_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, places): template windows whose slots differ but map one to one.
+    """(doc_id, item_id, places): template windows whose slots differ, at most MOST_DIFFERENT of them, but map one to one.
 
     Windows that are verbatim in any item are left out before the join."""
-    pairs = joined_windows(documents, items, True, ["shape"])
+    pairs = joined_windows(documents, items, True, ["key", "shape"])
     z = F.arrays_zip("slots", "item_slots")
     one_to_one = (F.size(F.array_distinct(z)) == F.size(F.array_distinct("slots"))) & (F.size(F.array_distinct("slots")) == F.size(F.array_distinct("item_slots")))
-    good = pairs.filter((F.size("slots") == F.size("item_slots")) & (F.size("slots") <= WINDOW // 2) & one_to_one)
-    return good.groupBy("doc_id", "item_id").agg(F.count_distinct("doc_at").alias("places"))
+    good = pairs.filter((F.size("slots") == F.size("item_slots")) & (F.size(F.filter(z, lambda x: x["slots"] != x["item_slots"])) <= MOST_DIFFERENT) & one_to_one)
+    return good.groupBy("doc_id", "item_id").agg(F.count_distinct("plain").alias("places"))
 
 
 def item_report(found: DataFrame) -> DataFrame:
