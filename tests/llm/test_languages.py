@@ -163,3 +163,17 @@ def test_blocks_do_not_change_scores(monkeypatch):
     assert abs(f.scores(texts) - whole).max() < 0.05
     assert [p for _, ps in small(["abcdef", "gh"], 4) for p in ps] == ["abcd", "ef", "gh"]
     assert f.scores([]).shape == (0, len(doc_language.LANGS))
+
+
+def test_every_document_has_a_language(spark):
+    filters = doc_language.fit([])
+    rows = [(1, "en", "Looks good\nthank you\nvery much"), (2, None, "# Тільки цей заголовок"), (3, "de", ""), (4, "fr", None), (5, "en", "0x1 == 2"), (6, "de", "The reader reports every duplicate line before the file is written.")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in doc_language.document_languages(doc_language.prose_languages(docs, filters, every=True)).collect()}
+    assert {k: r.lang for k, r in got.items()} == {1: "en", 2: "uk", 3: "und", 4: "und", 5: "und", 6: "en"}
+    assert got[1].label_right and got[6].label_right is False and got[4].label_right is None and 0 < got[1].confidence <= 0.5 and got[3].confidence == got[3].share == 0
+
+
+def test_inline_ticks_are_no_fence():
+    text = "```x = 1``` is what the reader reports here\nevery duplicate line is reported before the file"
+    assert [k for k, _ in doc_language.prose_lines(text)] == [1, 2]

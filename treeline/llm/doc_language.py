@@ -32,6 +32,9 @@ SLOTS = 1 << 20
 GRAM = 4
 CJK_GRAM = 2
 LEAST_SCORE = 0.15
+#: The language of a document that can't be told; what its whole text counts where no prose line decides.
+UNKNOWN = "und"
+WHOLE_CONFIDENCE = 0.5
 #: Characters whose n-grams are held in memory at once.
 BLOCK_CHARS = 1_000_000
 #: An n-gram belongs to a language if it is at least this frequent there against where it is most frequent.
@@ -46,7 +49,7 @@ _NAMED = re.compile(r"[a-z][A-Z]|_")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿々ー]")
-_FENCE = re.compile(r"\s*(?:```|~~~)")
+_FENCE = re.compile(r"\s*(?:```[^`]*\Z|~~~)")
 _CODE = re.compile(r"[;{}]\s*\Z|\w\s*:?=\s*\w+[\w.]*\(|\A\s*(?:let|var|const|def|func|return|import)\s+\w+\s*[=(]|\w+\([^)]*\)\s*;?\s*\Z|\A\s*\$\w+\s*=")
 _LOG = re.compile(r"\A\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\S+\.\w+:\d+(?::\d+)?\s|(?:DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|TRACE)\b[\s:]|at [\w.$]+\()")
 _TITLE = re.compile(r"\A\s*#{1,6}\s+\S[^.!?]*\Z|\A[=-]{3,}\s*\Z")
@@ -85,6 +88,18 @@ def prose_lines(text: str) -> list[tuple[int, str]]:
     return out
 
 
+def whole(text: str) -> str:
+    """The bare words of all lines outside code fences, or of all lines where those have none."""
+    outside, fenced = [], False
+    lines = _INVISIBLE.sub("", text).split("\n")
+    for line in lines:
+        if _FENCE.match(line):
+            fenced = not fenced
+        elif not fenced:
+            outside.append(bare(line))
+    return " ".join(x for x in outside if x) or " ".join(x for x in map(bare, lines) if x)
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every n-gram, index of the text that it is from)."""
     joined = "\0".join(f" {t} " for t in texts) + "\0\0\0\0"
@@ -206,7 +221,15 @@ def fit(sample: list[tuple[str, str]]) -> Filters:
     return filters
 
 
-def _lines(batches: Iterator[pd.DataFrame], filters: Filters) -> Iterator[pd.DataFrame]:
+def _rest(pdf: pd.DataFrame, done: set[int], filters: Filters) -> pd.DataFrame:
+    """A row with line 0 for each document that no prose line decides."""
+    left = [(i, label_code(label) or "", whole(t) if t else "") for i, label, t in zip(pdf["doc_id"], pdf["lang"], pdf["text"]) if i not in done]
+    best, top, conf = filters.decide([w for _, _, w in left])
+    rows = [(i, 0, LANGS[b] if ok else UNKNOWN, label, float(c) * WHOLE_CONFIDENCE if ok else 0.0, max(1, len(w))) for (i, label, w), b, c, ok in zip(left, best, conf, top >= LEAST_SCORE)]
+    return pd.DataFrame(rows, columns=["doc_id", "line", "lang", "label", "confidence", "size"])
+
+
+def _lines(batches: Iterator[pd.DataFrame], filters: Filters, every: bool = False) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, labels, numbers, words = [], [], [], []
         for i, label, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
@@ -219,14 +242,19 @@ def _lines(batches: Iterator[pd.DataFrame], filters: Filters) -> Iterator[pd.Dat
         best, top, conf = filters.decide(words)
         ok = top >= LEAST_SCORE
         names = np.array(LANGS, dtype=object)
+        if every:
+            yield _rest(pdf, set(np.array(ids, dtype=np.int64)[ok].tolist()), filters)
         yield pd.DataFrame({"doc_id": np.array(ids, dtype=np.int64)[ok], "line": np.array(numbers, dtype=np.int32)[ok], "lang": names[best[ok]] if len(best) else np.array([], object), "label": np.array(labels, dtype=object)[ok], "confidence": conf[ok], "size": np.array([len(w) for w in words], dtype=np.int32)[ok]})
 
 
-def prose_languages(documents: DataFrame, filters: Filters) -> DataFrame:
+def prose_languages(documents: DataFrame, filters: Filters, every: bool = False) -> DataFrame:
     """(doc_id, line, lang, label, confidence, size): every prose line with its language and
-    the code that the document's label names ('' for none)."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    return rows.mapInPandas(lambda it: _lines(it, filters), "doc_id long, line int, lang string, label string, confidence double, size int")
+    the code that the document's label names ('' for none).
+
+    ``every``: documents without such a line have one row with line 0, the language of their
+    whole bare text, or UNKNOWN."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).filter("doc_id is not null" if every else "doc_id is not null and text is not null")
+    return rows.mapInPandas(lambda it: _lines(it, filters, every), "doc_id long, line int, lang string, label string, confidence double, size int")
 
 
 def wrong_lines(lines: DataFrame) -> DataFrame:
@@ -235,12 +263,14 @@ def wrong_lines(lines: DataFrame) -> DataFrame:
 
 
 def document_languages(lines: DataFrame) -> DataFrame:
-    """(doc_id, lang, confidence, share, label_right): the main language of each document."""
+    """(doc_id, lang, confidence, share, label_right): the main language of each document.
+
+    UNKNOWN has confidence and share 0, and nothing says whether its label is right."""
     per = lines.groupBy("doc_id", "label", "lang").agg(F.sum("size").alias("size"), F.avg("confidence").alias("confidence"))
     return (
         per.groupBy("doc_id", "label")
         .agg(F.max_by(F.struct("lang", "confidence", "size"), F.struct("size", "lang")).alias("m"), F.sum("size").alias("all"))
-        .select("doc_id", F.col("m.lang").alias("lang"), F.col("m.confidence").alias("confidence"), (F.col("m.size") / F.col("all")).alias("share"), (F.col("label") == F.col("m.lang")).alias("label_right"))
+        .select("doc_id", F.col("m.lang").alias("lang"), F.col("m.confidence").alias("confidence"), F.when(F.col("m.lang") == UNKNOWN, 0.0).otherwise(F.col("m.size") / F.col("all")).alias("share"), F.when(F.col("m.lang") != UNKNOWN, F.col("label") == F.col("m.lang")).alias("label_right"))
     )
 
 

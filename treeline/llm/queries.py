@@ -89,9 +89,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_copies(spark, d), table(spark, d, "mix_targets"))
 
 
-def _prose(spark: SparkSession, d: str) -> DataFrame:
+def _prose(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     documents = table(spark, d, "documents")
-    return doc_language.prose_languages(documents, doc_language.fit(labels.labelled_sample(documents)))
+    return doc_language.prose_languages(documents, doc_language.fit(labels.labelled_sample(documents)), every)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_documents(spark: SparkSession, d: str) -> DataFrame:
-    return doc_language.document_languages(_prose(spark, d))
+    return doc_language.document_languages(_prose(spark, d, every=True))
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
