@@ -10,7 +10,13 @@ def test_join_small_is_the_same_beyond_its_limit(spark, how):
     small = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (99, "d"), (None, "e")], "k long, w string")
     want = sorted(map(repr, big.join(small, "k", how).collect()))
     assert sorted(map(repr, cluster.join_small(big, small, ["k"], how).collect())) == want
-    assert sorted(map(repr, cluster.join_small(big, small, ["k"], how, salts=5, limit=2).collect())) == want
+    big = big.unionByName(spark.createDataFrame([(None, 7, [7])], big.schema))
+    want = sorted(map(repr, big.join(small, "k", how).collect()))
+    assert sorted(map(repr, cluster.join_small(big, small, ["k"], how, limit=2).collect())) == want
+    assert sorted(map(repr, cluster.join_small(big, small, ["k"], how, limit=2, even=True).collect())) == want
+    for hot in ([], [0], [0, 1, 5]):
+        there = spark.createDataFrame([(x,) for x in hot], "k long")
+        assert sorted(map(repr, cluster.join_small(big, small, ["k"], how, limit=2, hot=there).collect())) == want
     assert sorted(map(repr, cluster.join_small(big, small.limit(0), ["k"], how).collect())) == sorted(map(repr, big.join(small.limit(0), "k", how).collect()))
 
 
@@ -18,3 +24,24 @@ def test_cut_keeps_rows_and_ends_lineage(spark):
     df = cluster.cut(spark.range(10).repartition(3))
     assert df.count() == 10 and "Exchange" not in df._jdf.queryExecution().toString()
     assert cluster.shared_dir(spark) == spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def test_hot_keys_are_those_with_many_rows(spark):
+    df = spark.createDataFrame([(1, "x")] * 60 + [(k, "y") for k in range(2, 42)] + [(None, None)] * 30, "k long, v string")
+    assert [r.k for r in cluster.hot_keys(df, ["k"], share=10).collect()] == [1]
+    assert cluster.hot_keys(df.limit(0), ["k"]).collect() == []
+
+
+def test_ranked_numbers_rows_of_keys_that_span_tasks(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, rng.randrange(40)) for k in range(400)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(5)
+    got = cluster.ranked(df, ["k"], [F.col("v"), F.col("i")], "n").collect()
+    want = {}
+    for k in ("a", "b", None):
+        for n, (_, i, _) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1])), 1):
+            want[i] = n
+    assert {r.i: r.n for r in got} == want and len(got) == 400
+    assert cluster.ranked(df.limit(0), ["k"], [F.col("v")], "n").collect() == []

@@ -6,11 +6,13 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which the small side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
+#: A key with more than one in so many rows is joined apart; there are fewer such keys than this.
+HOT_SHARE = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,18 +44,63 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 16, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join where ``small`` is expected to be small but need not be.
+def hot_keys(rows: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
+    """Keys that hold more than one in ``share`` of all rows: fewer than ``share`` of them, whatever the rows."""
+    counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(known(keys)))
+    most = counts.agg((F.coalesce(F.sum("_n"), F.lit(0)) / share).alias("x")).first().x
+    return counts.filter(F.col("_n") > most).select(*keys)
 
-    Up to ``limit`` rows it is broadcast. Beyond that each of its rows is
-    repeated once per salt and the big side draws a salt by row content, so
-    that one hot key is spread over ``salts`` tasks. The result is the same.
-    ``how`` is inner, left, left_semi or left_anti."""
+
+def known(keys: list[str]) -> Column:
+    """None of the keys is null."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).isNotNull()
+    return out
+
+
+def join_split(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot: DataFrame) -> DataFrame:
+    """A join of two large sides where ``hot`` (fewer than HOT_SHARE rows) names the keys that hold much of ``big``.
+
+    Rows of hot keys stay where they are and meet a broadcast of those keys' rows of ``small``, of which there
+    must be few a key; so do rows with a null key, which match nothing. All others are shuffled."""
+    hot = F.broadcast(hot)
+    apart = big.join(hot.withColumn("_hot", F.lit(True)), keys, "left").withColumn("_hot", F.coalesce("_hot", ~known(keys)))
+    there = apart.filter("_hot").drop("_hot").join(F.broadcast(small.join(hot, keys, "left_semi")), keys, how)
+    return there.unionByName(apart.filter("not _hot").drop("_hot").join(small, keys, how))
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, hot: DataFrame | None = None, even: bool = False) -> DataFrame:
+    """Join where ``small`` is expected to be small but need not be; it has few rows a key.
+
+    Up to ``limit`` rows it is broadcast. Beyond that both sides are shuffled, apart from keys
+    that hold much of ``big``: those named by ``hot``, or else found by counting ``big`` once.
+    ``even``: no key can hold much, so nothing is counted. The result is the same.
+    ``how`` is inner, left, left_semi or left_anti. ``small`` is read twice: cut it if it is costly."""
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), keys, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    drawn = big.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in big.columns if not big.schema[c].dataType.typeName() == "map"]), F.lit(salts)).cast("int"))
-    return drawn.join(salted, [*keys, "_salt"], how).drop("_salt")
+    if even:
+        return big.join(small, keys, how)
+    return join_split(big, small, keys, how, hot_keys(big, keys) if hot is None else hot)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's number (from 1) within its keys by ``order``, however many rows a key has.
+
+    Rows are sorted over the cluster by range, so a key may span many tasks; each task numbers its own
+    rows, and only the sizes of its stretches are added up to know where the next begins."""
+    ways = {f"_o{k}": c for k, c in enumerate(order)}
+    by = [*keys, *ways]
+    rows = cut(df.withColumns(ways).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
+    sizes = rows.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # only stretches that something stands before: at most one a task
+    moved = F.broadcast(sizes.withColumn("_before", before).filter("_before > 0").drop("_n"))
+    own = rows.withColumn(name, F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*ways)))
+    same = own["_part"] == moved["_part"]
+    for k in keys:
+        same = same & own[k].eqNullSafe(moved[k])
+    return own.join(moved, same, "left").select(*[own[c] for c in df.columns], (own[name] + F.coalesce(moved["_before"], F.lit(0))).alias(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.cluster import cut, join_small
+from treeline.cluster import HOT_SHARE, cut, join_small
 
 #: Compact rows that one numpy bucket should hold.
 BUCKET_ROWS = 200_000
@@ -36,8 +36,9 @@ def plain_path(path: Column) -> Column:
 
 
 def snapshot_list(rows: DataFrame) -> DataFrame:
-    """(repo, snapshot_no, delivered_at of the last delivery, prev_no, next_no)."""
-    last = rows.groupBy("repo", "snapshot_no").agg(F.max("delivered_at").alias("delivered_at"))
+    """(repo, snapshot_no, delivered_at of the last delivery and its rows n, prev_no, next_no)."""
+    each = rows.groupBy("repo", "snapshot_no", "delivered_at").agg(F.count("*").alias("n"))
+    last = each.groupBy("repo", "snapshot_no").agg(F.max(F.struct("delivered_at", "n")).alias("x")).select("repo", "snapshot_no", "x.*")
     w = Window.partitionBy("repo").orderBy("snapshot_no")
     return last.withColumn("prev_no", F.lag("snapshot_no").over(w)).withColumn("next_no", F.lead("snapshot_no").over(w))
 
@@ -96,7 +97,9 @@ def snapshot_changes(snapshots: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Da
     # the repo is part of the key, so compact rows need no text at all
     rows = rows.withColumn("k1", F.xxhash64("repo", "file", "rule", "message")).withColumn("k2", F.xxhash64(F.concat_ws("\u0001", "message", "rule", "file", "repo"), F.lit("second")))
     listed = cut(snapshot_list(rows))
-    compact = join_small(rows.select("repo", "snapshot_no", "delivered_at", "entry_id", "k1", "k2", "n"), listed, ["repo", "snapshot_no", "delivered_at"])
+    most = listed.agg((F.coalesce(F.sum("n"), F.lit(0)) / HOT_SHARE).alias("x")).first().x
+    delivery = ["repo", "snapshot_no", "delivered_at"]
+    compact = join_small(rows.select(*delivery, "entry_id", "k1", "k2", "n"), listed.drop("n"), delivery, hot=listed.filter(F.col("n") > most).select(*delivery))
     entry = compact.groupBy("snapshot_no", "prev_no", "next_no", "k1", "k2", "entry_id").agg(F.max("n").alias("n"))
     summed = entry.groupBy("snapshot_no", "prev_no", "next_no", "k1", "k2").agg(F.sum("n").alias("n"))
     buckets = max(1, -(-snapshots.count() // bucket_rows))
@@ -110,5 +113,6 @@ def snapshot_changes(snapshots: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Da
     sieve = F.pmod(F.xxhash64("k1", "value_no"), F.lit(SIEVE)).cast("int")
     wanted = differing.select(sieve.alias("_s")).distinct()
     some = values.withColumn("_s", sieve).join(F.broadcast(wanted), "_s", "left_semi").drop("_s")
-    full = join_small(some, differing, ["value_no", "k1", "k2"])
-    return full.dropDuplicates(["snapshot_no", "k1", "k2"]).select("repo", "snapshot_no", "file", "rule", "message", "change", "old_count", "new_count")
+    # each key once a snapshot, so that none is hot, and in the same shuffle as the join
+    full = join_small(some.dropDuplicates(["value_no", "k1", "k2"]), differing, ["value_no", "k1", "k2"], even=True)
+    return full.select("repo", "snapshot_no", "file", "rule", "message", "change", "old_count", "new_count")
