@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.cluster import kept
 from treeline.functions import text as T
 
 # Lines of a window, and occurrences beyond which it is boilerplate.
@@ -47,7 +48,8 @@ def windows(facts_: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 def pairs(w: DataFrame, min_lines: int = MIN_LINES, max_occurrences: int = MAX_OCCURRENCES) -> DataFrame:
     """(a, b, first): two places with one hash, a before b, and the hash's first place.
 
-    Overlaps of a file with itself are left out."""
+    Overlaps of a file with itself are left out. Windows are kept while hashes are counted, so that texts are hashed once."""
+    w = kept(w.select("hash", "file", "pos", "line", "last_line"))
     good = w.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n").between(2, max_occurrences)).select("hash")
     place = F.struct("file", "pos", "line", "last_line")
     groups = w.join(good, "hash", "left_semi").groupBy("hash").agg(F.sort_array(F.collect_list(place)).alias("p"))

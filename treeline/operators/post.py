@@ -8,14 +8,16 @@ ones are kept by suppression, severities and baseline.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.cluster import join_small
+from treeline.cluster import cut, join_small, ranked
 from treeline.functions import text as T
 from treeline.operators.rules import line_rows
+from treeline.schemas import FIX
 
 #: The word that directives begin with, and other spellings that are read too.
 PREFIX = "treeline"
@@ -53,7 +55,7 @@ def suppress(findings: DataFrame, off: DataFrame) -> DataFrame:
 
     Directives become one small row per file and line (which rules, or all), so that two
     equi-joins decide; those sides are broadcast only while they are small."""
-    by = off.groupBy("file", "scope", "line").agg(F.max(F.col("rule").isNull()).alias("all"), F.collect_set("rule").alias("rules"))
+    by = cut(off.groupBy("file", "scope", "line").agg(F.max(F.col("rule").isNull()).alias("all"), F.collect_set("rule").alias("rules")))
     lines = by.filter("scope = 'line'").select("file", "line", F.col("all").alias("_la"), F.col("rules").alias("_lr"))
     whole = by.filter("scope = 'file'").select("file", F.col("all").alias("_fa"), F.col("rules").alias("_fr"))
     both = join_small(join_small(findings, lines, ["file", "line"], "left"), whole, ["file"], "left")
@@ -83,15 +85,14 @@ def apply_baseline(findings: DataFrame, baseline: DataFrame, order: Sequence[str
     """Findings beyond those that the baseline knows.
 
     Of each (file, rule, message) the first ``count`` in the given order are hidden: a
-    multiset difference. Only keys that the baseline knows are numbered, so the window
-    never sees the rest."""
+    multiset difference. Only keys that the baseline knows are numbered, and a key may hold
+    any part of all findings."""
     known = baseline.groupBy("file", "rule", "message").agg(F.sum(F.coalesce("count", F.lit(1))).alias("_n"))
     keys = ["file", "rule", "message"]
-    marked = findings.join(known, keys, "left")
-    w = Window.partitionBy(*keys).orderBy(*order)
+    marked = cut(join_small(findings, cut(known), keys, "left"))
     fresh = marked.filter("_n is null").select(*findings.columns)
-    beyond = marked.filter("_n is not null").withColumn("_k", F.row_number().over(w)).filter("_k > _n").select(*findings.columns)
-    return fresh.unionByName(beyond)
+    numbered = ranked(marked.filter("_n is not null"), keys, [F.col(c) if isinstance(c, str) else c for c in order], "_k")
+    return fresh.unionByName(numbered.filter("_k > _n").select(*findings.columns))
 
 
 #: The contractual order of findings.
@@ -109,15 +110,25 @@ def select_fixes(findings: DataFrame, size: Column | None = None) -> DataFrame:
     f = findings.filter("fix is not null")
     one = F.struct((-F.col("fix.start_offset")).alias("s"), F.col("k").alias("k"), F.col("fix.end_offset").alias("e"), F.col("fix.replacement").alias("r"))
     limit = F.lit((1 << 31) - 1) if size is None else size
-    per = f.groupBy("file").agg(F.sort_array(F.collect_list(one)).alias("all"), F.max(limit).alias("limit"))
-    start = F.struct(F.col("limit").cast("long").alias("lim"), F.array().cast("array<struct<start_offset:int,end_offset:int,replacement:string>>").alias("got"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = (-x["s"] >= 0) & (-x["s"] <= x["e"]) & (x["e"] <= acc["lim"])
-        fix = F.struct((-x["s"]).cast("int").alias("start_offset"), x["e"].cast("int").alias("end_offset"), x["r"].alias("replacement"))
-        return F.struct(F.when(ok, (-x["s"]).cast("long")).otherwise(acc["lim"]).alias("lim"), F.when(ok, F.concat(acc["got"], F.array(fix))).otherwise(acc["got"]).alias("got"))
-
-    return per.select("file", F.aggregate("all", start, step)["got"].alias("fixes"))
+    per = f.groupBy("file").agg(F.sort_array(F.collect_list(one)).alias("all"), F.max(limit).cast("long").alias("limit"))
+    arrays = per.select("file", "limit", F.col("all.s").alias("s"), F.col("all.e").alias("e"), F.col("all.r").alias("r"))
+    return arrays.mapInArrow(_greedy, f"file string, fixes array<{FIX}>")
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the fixes of each file, so that a file with many of them costs no more a fix."""
+    kind = pa.list_(pa.struct([("start_offset", pa.int32()), ("end_offset", pa.int32()), ("replacement", pa.string())]))
+    for batch in batches:
+        files, chosen = [], []
+        for file, limit, starts, ends, texts in zip(*(c.to_pylist() for c in batch.columns)):
+            got = []
+            for s, e, r in zip(starts, ends, texts):
+                if s is not None and e is not None and 0 <= -s <= e <= limit:
+                    got.append({"start_offset": -s, "end_offset": e, "replacement": r})
+                    limit = -s
+            files.append(file)
+            chosen.append(got)
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(chosen, kind)], names=["file", "fixes"])
 
 
 def github_annotations(findings: DataFrame, base: str = "", tool: str = PREFIX) -> DataFrame:

@@ -94,15 +94,19 @@ def nodes_of_trees(trees: DataFrame) -> DataFrame:
 
 
 def function_metrics(nodes: DataFrame) -> DataFrame:
-    """(id, node_id, name, line, cyclomatic, cognitive, statements): one row per function."""
-    funcs = nodes.filter("type = 'FunctionDecl'").select("id", "node_id", F.coalesce("name", F.lit("?")).alias("name"), "line", F.lit(0).alias("branches"), F.lit(0).alias("cost"), F.lit(0).alias("statements"))
-    b = nodes.filter(F.col("type").isin(*BRANCH) & (F.col("owner") >= 0))
-    cost = F.when(F.col("else_if"), 1).otherwise(1 + F.col("nest"))
-    none = F.lit(None)
-    branch = b.select("id", F.col("owner").alias("node_id"), none.cast("string").alias("name"), none.cast("int").alias("line"), F.lit(1).alias("branches"), cost.alias("cost"), F.lit(0).alias("statements"))
-    body = nodes.filter("first_block and parent_type = 'FunctionDecl'").select("id", F.col("parent_id").alias("node_id"), none.cast("string").alias("name"), none.cast("int").alias("line"), F.lit(0).alias("branches"), F.lit(0).alias("cost"), F.col("n_children").alias("statements"))
-    every = funcs.unionByName(branch).unionByName(body)
-    return every.groupBy("id", "node_id").agg(F.max("name").alias("name"), F.max("line").alias("line"), (1 + F.sum("branches")).cast("int").alias("cyclomatic"), F.sum("cost").cast("int").alias("cognitive"), F.sum("statements").cast("int").alias("statements"))
+    """(id, node_id, name, line, cyclomatic, cognitive, statements): one row per function.
+
+    One pass: a function counts for itself, a branch for the function that owns it, a body for its parent;
+    no node is two of these."""
+    own = F.col("type") == "FunctionDecl"
+    branch = F.col("type").isin(*BRANCH) & (F.col("owner") >= 0)
+    body = F.col("first_block") & (F.col("parent_type") == "FunctionDecl")
+    key = F.when(own, F.col("node_id")).when(branch, F.col("owner")).when(body, F.col("parent_id"))
+    part = nodes.filter(own | branch | body).select(
+        "id", key.alias("node_id"), F.when(own, F.coalesce("name", F.lit("?"))).alias("name"), F.when(own, F.col("line")).alias("line"),
+        branch.cast("int").alias("branches"), F.when(branch, F.when(F.col("else_if"), 1).otherwise(1 + F.col("nest"))).otherwise(0).alias("cost"), F.when(body, F.col("n_children")).otherwise(0).alias("statements"),
+    )
+    return part.groupBy("id", "node_id").agg(F.max("name").alias("name"), F.max("line").alias("line"), (1 + F.sum("branches")).cast("int").alias("cyclomatic"), F.sum("cost").cast("int").alias("cognitive"), F.sum("statements").cast("int").alias("statements"))
 
 
 # rules: (file, line, rule, severity, message, k1, k2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.cluster import table
@@ -20,9 +20,10 @@ SEVERITY = {"todo-tracker": "warning", "long-function": None, "empty-block": "er
 
 
 def source(spark: SparkSession, d: str) -> DataFrame:
-    """files(file, source, language) with repeated rows still in; every operator ends in a distinct."""
-    t = table(spark, d, "source_files")
-    return S.from_table(t, F.concat_ws("/", "repo", "file"), F.col("source"))
+    """files(file, source, language), each file once: its copy loaded last, of equal ones the greatest text."""
+    t = table(spark, d, "source_files").filter("file_id is not null")
+    last = t.groupBy("file_id").agg(F.max_by(F.struct("repo", "file", "source"), F.struct("loaded_at", "source")).alias("f"))
+    return S.from_table(last, F.concat_ws("/", "f.repo", "f.file"), F.col("f.source"))
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
@@ -57,37 +58,37 @@ def lines_explode(spark: SparkSession, d: str) -> Q:
 
 
 def lines_of_code(spark: SparkSession, d: str) -> Q:
-    return source(spark, d).select("file", T.lines_of_code(F.col("source")).alias("lines_of_code")).distinct()
+    return source(spark, d).select("file", T.lines_of_code(F.col("source")).alias("lines_of_code"))
 
 
 def first_non_ascii_line(spark: SparkSession, d: str) -> Q:
-    return source(spark, d).select("file", T.first_non_ascii_line(F.col("source")).cast("int").alias("line")).filter("line > 0").distinct()
+    return source(spark, d).select("file", T.first_non_ascii_line(F.col("source")).cast("int").alias("line")).filter("line > 0")
 
 
 def normalize_lines(spark: SparkSession, d: str) -> Q:
     k = source(spark, d).select("file", F.explode(duplicates.kept_lines(F.col("source"))).alias("k"))
-    return k.select("file", "k.line", "k.norm").distinct()
+    return k.select("file", "k.line", "k.norm")
 
 
 def import_lines(spark: SparkSession, d: str) -> Q:
-    return rules.line_rows(source(spark, d)).filter(T.is_import(F.col("text"))).distinct().groupBy("file").agg(F.count("*").alias("imports"))
+    return rules.line_rows(source(spark, d)).filter(T.is_import(F.col("text"))).groupBy("file").agg(F.count("*").alias("imports"))
 
 
 def cache_key(spark: SparkSession, d: str) -> Q:
-    return source(spark, d).select("file", T.cache_key(F.col("file"), F.encode("source", "UTF-8")).alias("key")).distinct()
+    return source(spark, d).select("file", T.cache_key(F.col("file"), F.encode("source", "UTF-8")).alias("key"))
 
 
 def file_ext(spark: SparkSession, d: str) -> Q:
-    return source(spark, d).select("file").distinct().groupBy(T.extension(F.col("file")).alias("ext")).agg(F.count("*").alias("files"))
+    return source(spark, d).select("file").groupBy(T.extension(F.col("file")).alias("ext")).agg(F.count("*").alias("files"))
 
 
 def has_bom(spark: SparkSession, d: str) -> Q:
     marked = F.when(F.pmod(F.length("source"), F.lit(3)) == 0, F.concat(F.lit("\ufeff"), F.col("source"))).otherwise(F.col("source"))
-    return source(spark, d).select("file", T.has_bom(F.encode(marked, "UTF-8")).alias("bom")).distinct()
+    return source(spark, d).select("file", T.has_bom(F.encode(marked, "UTF-8")).alias("bom"))
 
 
 def language_of(spark: SparkSession, d: str) -> Q:
-    return source(spark, d).select("file", "language").distinct()
+    return source(spark, d).select("file", "language")
 
 
 def skip_dirs(spark: SparkSession, d: str) -> Q:
@@ -99,7 +100,7 @@ def exclude_glob(spark: SparkSession, d: str) -> Q:
 
 
 def relative_path(spark: SparkSession, d: str) -> Q:
-    return source(spark, d).select("file", T.relative(F.concat(F.lit("/work/"), F.col("file")), "/work/velkora").alias("path")).distinct()
+    return source(spark, d).select("file", T.relative(F.concat(F.lit("/work/"), F.col("file")), "/work/velkora").alias("path"))
 
 
 def github_escape(spark: SparkSession, d: str) -> Q:
@@ -113,11 +114,11 @@ def severity_level(spark: SparkSession, d: str) -> Q:
 
 
 def todo_tracker(spark: SparkSession, d: str) -> Q:
-    return rules.todo_tracker(source(spark, d)).select("file", "line", "message").distinct()
+    return rules.todo_tracker(source(spark, d)).select("file", "line", "message")
 
 
 def hardcoded_secret(spark: SparkSession, d: str) -> Q:
-    return rules.hardcoded_secret(source(spark, d)).select("file", "line", "rule").distinct()
+    return rules.hardcoded_secret(source(spark, d)).select("file", "line", "rule")
 
 
 def windows_script_encoding(spark: SparkSession, d: str) -> Q:
@@ -132,7 +133,7 @@ def windows_script_encoding(spark: SparkSession, d: str) -> Q:
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.facts(source(spark, d)).dropDuplicates(["file"])
+    return duplicates.facts(source(spark, d))
 
 
 def window_hashes(spark: SparkSession, d: str) -> Q:
@@ -202,18 +203,20 @@ SELECT file, st AS line, en AS end_line, 'Duplicated code: lines ' || st || '-'
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
     """Documents with directives put in by line number, as files."""
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "x"))
-    n = F.pmod(F.col("doc_id") + F.col("pos"), F.lit(13))
-    added = (
-        F.when(n == 0, F.concat(F.col("x"), F.lit(" // treeline-disable-line deep-nesting, todo-tracker -- checked")))
-        .when(n == 3, F.concat(F.lit("# treeline-disable-next-line empty-catch "), F.col("x")))
-        .when((n == 5) & (F.col("pos") > 2), F.concat(F.lit("/* treeline-disable-file long-function */ "), F.col("x")))
-        .when(n == 7, F.concat(F.col("x"), F.lit(" treeline:ignore")))
-        .when(n == 9, F.concat(F.lit("-- treeline-disable-next-line"), F.lit("")))
-        .otherwise(F.col("x"))
-    )
-    lines = t.select("doc_id", "pos", added.alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("l"))
-    return lines.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("file"), F.array_join(F.col("l.x"), "\n").alias("source"))
+
+    def added(x: Column, pos: Column) -> Column:
+        n = F.pmod(F.col("doc_id") + pos, F.lit(13))
+        return (
+            F.when(n == 0, F.concat(x, F.lit(" // treeline-disable-line deep-nesting, todo-tracker -- checked")))
+            .when(n == 3, F.concat(F.lit("# treeline-disable-next-line empty-catch "), x))
+            .when((n == 5) & (pos > 2), F.concat(F.lit("/* treeline-disable-file long-function */ "), x))
+            .when(n == 7, F.concat(x, F.lit(" treeline:ignore")))
+            .when(n == 9, F.lit("-- treeline-disable-next-line"))
+            .otherwise(x)
+        )
+
+    t = table(spark, d, "documents").filter("text is not null")
+    return t.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("file"), F.array_join(F.transform(T.lines(F.col("text")), added), "\n").alias("source"))
 
 
 def suppression_parse(spark: SparkSession, d: str) -> Q:
@@ -221,7 +224,7 @@ def suppression_parse(spark: SparkSession, d: str) -> Q:
 
 
 def suppress(spark: SparkSession, d: str) -> Q:
-    """Three findings on every fourth line of every document, without those that a directive covers."""
+    """Three findings on every line of every document, without those that a directive covers."""
     t = table(spark, d, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "x"))
     f = t.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("file"), (F.col("pos") + 1).alias("line"), F.explode(F.array(*[F.lit(x) for x in ("deep-nesting", "empty-catch", "long-function")])).alias("rule"))
     return post.suppress(f, post.suppressions(_marked(spark, d)))

@@ -73,28 +73,19 @@ def complex_function(spark: SparkSession, d: str) -> Q:
 # parsed source files ----------------------------------------------------------------------
 
 
-def _parsed(spark: SparkSession, d: str, *want: str) -> DataFrame:
-    return S.parse_files(source(spark, d), want=want)
-
-
-def _once(spark: SparkSession, d: str) -> DataFrame:
-    """Node rows with each file once; a file's text is smaller than its nodes, so copies go before parsing."""
-    return S.parse_files(source(spark, d).dropDuplicates(["file"]), want=("node",))
-
-
 def parse_error(spark: SparkSession, d: str) -> Q:
-    return S.parse_errors(_parsed(spark, d)).select("file", "line", "message").distinct()
+    return S.parse_errors(S.parse_files(source(spark, d), want=())).select("file", "line", "message")
 
 
 def source_metrics(spark: SparkSession, d: str) -> Q:
     """Metrics of every function of every source file."""
-    n = S.node_rows(_once(spark, d))
+    n = S.node_rows(S.parse_files(source(spark, d), want=("node",)))
     return tree.function_metrics(n)
 
 
 def source_structure(spark: SparkSession, d: str) -> Q:
     """Structural findings per rule over all source files, from one parse."""
-    n = kept(S.node_rows(_once(spark, d)))
+    n = kept(S.node_rows(S.parse_files(source(spark, d), want=("node",))))
     rules = (tree.dead_code_after_return(n), tree.deep_nesting(n), tree.empty_block(n), tree.empty_catch(n), tree.empty_function(n), tree.long_function(n), tree.complex_function(tree.function_metrics(n), 5))
     out = rules[0]
     for r in rules[1:]:
@@ -109,17 +100,17 @@ def genuinely_empty(spark: SparkSession, d: str) -> Q:
     bare = F.when(F.pmod(F.length("source"), F.lit(2)) == 0, "$1{ }").otherwise("$1{ /* nothing to do */ }")
     emptied = source(spark, d).withColumn("source", F.regexp_replace("source", F.lit(r"(catch \([^)]*\) )\{[^{}]*\}"), bare))
     n = S.node_rows(S.parse_files(emptied, want=("node",))).filter("type = 'Block' and n_children = 0 and parent_empty is not null")
-    return n.select(F.col("id").alias("file"), "node_id", "parent_type", "parent_line", F.col("parent_empty").alias("empty")).distinct()
+    return n.select(F.col("id").alias("file"), "node_id", "parent_type", "parent_line", F.col("parent_empty").alias("empty"))
 
 
 def unused_variable(spark: SparkSession, d: str) -> Q:
-    return tree.unused_variable(S.php_rows(S.parse_files(source(spark, d).filter("language = 'PHP'"), want=("php",)))).select("file", "line", "message", "k1", "k2").distinct()
+    return tree.unused_variable(S.php_rows(S.parse_files(source(spark, d).filter("language = 'PHP'"), want=("php",)))).select("file", "line", "message", "k1", "k2")
 
 
 def promotable_return_type(spark: SparkSession, d: str) -> Q:
     """Source files whose doc comments all document a return type."""
     s = source(spark, d).filter("language = 'PHP'").withColumn("source", F.regexp_replace("source", r"\n \*/\nfunction", "\n * @return int|null\n */\nfunction"))
-    return tree.promotable_return_type(S.php_rows(S.parse_files(s, want=("php",)))).select("file", "line", "message", "fix").distinct()
+    return tree.promotable_return_type(S.php_rows(S.parse_files(s, want=("php",)))).select("file", "line", "message", "fix")
 
 
 def scan_files(spark: SparkSession, d: str) -> Q:
