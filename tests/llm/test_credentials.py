@@ -132,3 +132,26 @@ def test_redacted_query_holds_files_and_messages(spark, tmp_path):
     spark.createDataFrame([(1, f"leaked password: {PW}"), (1, f"leaked password: {PW}"), (2, "x"), (3, None)], "finding_id long, message string").write.parquet(f"{tmp_path}/findings.parquet")
     got = sorted(map(tuple, queries.p3_redacted(spark, str(tmp_path)).select("origin", "record_id", "text", "redacted").collect()))
     assert got == [("message", 1, f"leaked password: {C.MASK}", 1), ("source", 1, f'let password = "{C.MASK}";', 1)]
+
+
+@pytest.mark.parametrize("size", [40, 200, 4096, 4097, 9000])
+def test_no_length_decides(size):
+    token = body(size // 64 + 1, seed=8).replace("\n", "").replace("/", "x")[:size]
+    for line in (f'x = "{token}"', f"y: {token}", f'u = "https://bob:{token}@h.test/x"', f'password = "{token}"'):
+        out, n = C.redact(f"a\n{line}\nb\n", True)
+        assert n == 1 and not any(token[k : k + 12] in out for k in range(0, size - 12, 7))
+    assert C.lines_with(f'logo = "iVBORw0KGgo{token}"\n', False) == []
+
+
+def test_no_distance_decides():
+    far = "n" * 300
+    assert C.lines_with(f'u = "https://h.example/x?{far}_token={RAW}"', False) == [1]
+    assert C.lines_with(f'// curl -H "X-Trace: {far}" -u bob:{PW} https://h.test/x', False) == [1]
+    assert C.lines_with(f'p = getSetting("{far}_PASSWORD", "{PW}")', False) == [1]
+    assert C.lines_with(f'{far}_password = lookup("{far}", "{PW}")', False) == [1]
+    assert C.lines_with(f'{far}_checksum_{far} = "{RAW}"', False) == C.lines_with(f'checksum_{far} = "{RAW}"', False) == []
+
+
+def test_names_are_not_needed(monkeypatch):
+    monkeypatch.setattr(C, "_KEYED", {})
+    assert [C.lines_with(x, False) for x in NEUTRAL[:5]] == [[1]] * 5

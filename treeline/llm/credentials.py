@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,8 +30,6 @@ from pyspark.sql import functions as F
 from treeline.parsers.spans import language_of
 
 MASK = "[REDACTED]"
-#: Under a neutral name a longer string is taken for encoded data.
-DATA_CHARS = 4096
 
 # Parts of names that speak of a credential (several languages), in lower case.
 _SECRET_WORDS = (
@@ -69,9 +68,9 @@ _KEYED = {w: re.compile(re.escape(w) + _AFTER) for w in _SECRET_WORDS}
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _TOKEN = re.compile(rf"(?<![A-Za-z0-9_])(?:{_ISSUED})(?![A-Za-z0-9])")
 _USERINFO = re.compile(r"://[^\s:/@\"'`<>()]*:([^\s/\"'`]+?)@(?=[\w\[])")
-_PARAM = re.compile(r"[?&]([\w.-]{1,40})=([^\s&;\"'`<>#)\]]{12,})")
+_PARAM = re.compile(r"[?&]([\w.-]++)=([^\s&;\"'`<>#)\]]{12,})")
 _HEADER = re.compile(r"(?i:authorization[\"']?\s*[:=]\s*[\"']?(?:basic|bearer|token)|\bbearer|x-(?:api|auth)[\w-]*[\"']?\s*:)\s+[\"']?([A-Za-z0-9+/_.~=-]{8,})")
-_COMMAND = re.compile(r"\b(?:curl|wget|http)\b[^\n]{0,120}?(?:\s-u\s*|\s--user[= ])[\"']?[^\s:\"']+:([^\s\"']+)")
+_COMMAND = re.compile(r"\b(?:curl|wget|http)\b(?:(?!\s-u|\s--user[= ])[^\n])*+(?:\s-u\s*|\s--user[= ])[\"']?[^\s:\"']+:([^\s\"']+)")
 _OPTION = re.compile(r"\s--(?:password|passwd|token|secret|api-key)[= ][\"']?([^\s\"'<$]{6,})")
 _LOGIN = re.compile(r"(?i:connect|login|logon|session|authenticate|sign_?in|dial|auth|unlock|credentials?)\w*[ \t]*\(([^()\n]*)\)")
 # Which search is worth running: a needle in lower case that must stand in the text.
@@ -81,11 +80,11 @@ _SEARCHES = (
     ("connect", "login", _LOGIN), ("log", "login", _LOGIN), ("session", "login", _LOGIN), ("auth", "login", _LOGIN), ("sign", "login", _LOGIN), ("dial", "login", _LOGIN), ("unlock", "login", _LOGIN), ("credential", "login", _LOGIN),
 )
 _PREFIXES = ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk_live_", "sk_test_", "rk_live_", "npm_", "aiza", "ya29.", "eyj", "sg.", "pypi-", "sk-", "dop_v1_", "hf_")
-_NAME_BEFORE = re.compile(r"[\w.$-]*\Z")
+_NAME_CHAR = re.compile(r"[\w.$-]")
 _STRING = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 _JOIN = re.compile(r"\s*(?:\+|\.\.?|\|\|)?\s*(?=[\"'`])")
 _BARE = re.compile(r"[^\s\"'`;,)\]}<>(){}]+")
-_DEFAULT = re.compile(r"\A(?:[A-Za-z_$][\w$]*(?:\.|->|::))*(?i:get|env|config|setting|lookup|fetch|read|param|option)\w*\s*\(\s*" + r"(?:\"[^\"\n]*\"|'[^'\n]*')\s*,\s*")
+_DEFAULT = re.compile(r"(?:[A-Za-z_$][\w$]*(?:\.|->|::))*(?i:get|env|config|setting|lookup|fetch|read|param|option)\w*\s*\(\s*" + r"(?:\"[^\"\n]*\"|'[^'\n]*')\s*,\s*")
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16}")
 # Between the lines of a key: line breaks, written out or not, quotes, signs of comments and of joining; a header of the key; a line.
 _KEY_PIECE = re.compile(r"(?:\\[nrt]|[+/]+(?=\s)|[^\w+/=\\-]|-(?!----))*+(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n\\\"'`]*+|([A-Za-z0-9+/=]+))")
@@ -93,6 +92,8 @@ _FALLBACK = re.compile(r"(?i:get|env|config|setting|lookup|option|param)\w*\s*\(
 # Every long token, inside quotes or bare, whatever stands before it.
 _LONG = re.compile(r"[A-Za-z0-9+/_~.-]{16,}+={0,2}")
 _BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----[\s\S]*?-----END \1-----")
+# How files of known formats (pictures, fonts, archives, documents, modules) begin in base64.
+_DATA = re.compile(r"iVBORw0|R0lGOD|/9j/|UklGR|Qk[0-3]|AAABAA|d09G|T1RUTw|AAEAAA|H4sI|UEsD|N3q8ryc|QlpoO|/Td6WFoA|KLUv|JVBERi0|AGFzbQ|SUQz|T2dnUw|PHN2Zy|PD94bWw|yv66vg")
 _PIECES = re.compile(r"[^A-Za-z0-9]+")
 _WORD = re.compile(r"[A-Z]?[a-z]{3,}")
 _ID_BEFORE = re.compile(
@@ -132,7 +133,7 @@ def threshold(value: str, keyed: bool) -> float:
 def is_literal(value: str, keyed: bool = True) -> bool:
     """Whether a value is a credential rather than a placeholder, mask, reference, hash or label."""
     v = value.strip().strip("\"'`")
-    if len(v) < (6 if keyed else 16) or not keyed and len(v) > DATA_CHARS:
+    if len(v) < (6 if keyed else 16) or not keyed and _DATA.match(v):
         return False
     kind, _ = alphabet(v)
     # a long encoded value may begin with a slash or hold a run of one letter by what it encodes
@@ -168,6 +169,27 @@ def joined(text: str, at: int) -> tuple[str, list[tuple[int, int]]] | None:
     return out, places
 
 
+def name_before(text: str, at: int) -> str:
+    """The part of a name that ends at ``at``."""
+    start = at
+    while start and _NAME_CHAR.match(text, start - 1):
+        start -= 1
+    return text[start:at]
+
+
+def head_of(text: str, at: int) -> int:
+    """Where the name before a value begins: four stretches of name characters back on the same line."""
+    start, stretches, inside = at, 0, False
+    while start and text[start - 1] != "\n":
+        name = text[start - 1].isalnum() or text[start - 1] in "_-."
+        stretches += name and not inside
+        if stretches > 4:
+            break
+        inside = name
+        start -= 1
+    return start
+
+
 def ordinary(value: str) -> bool:
     """Whether every piece of a value is a word, a number or hexadecimal: a name, path, version or id."""
     for piece in _PIECES.split(value):
@@ -226,8 +248,7 @@ def unkeyed(text: str) -> list[tuple[int, int]]:
     for start, end in got:
         if (start, end) in data:
             continue
-        head = text[max(0, start - 90) : start]
-        if _ID_BEFORE.search(head[head.rfind("\n") + 1 :]):
+        if _ID_BEFORE.search(text[head_of(text, start) : start]):
             continue
         if blocks is None:
             blocks = [m.span() for m in _BLOCK.finditer(text)]
@@ -276,7 +297,7 @@ def find(text: str, loose: bool) -> list[tuple[int, list[tuple[int, int]]]]:
     if any(x in low for x in _PREFIXES):
         for m in _TOKEN.finditer(text):
             body = re.sub(r"\A(?:[A-Za-z]{2,4}[_-](?:live_|test_)?|AKIA|ASIA|AIza|glpat-|npm_)", "", m.group())
-            if len(set(body)) > 4 and not _MASKED.search(body):
+            if len(set(body)) > 4 and not _MASKED.search(body) and entropy(body) >= threshold(body, True):
                 out.append((m.start(), [m.span()]))
     if '("' in low or "('" in low:
         for m in _FALLBACK.finditer(text):
@@ -286,17 +307,30 @@ def find(text: str, loose: bool) -> list[tuple[int, list[tuple[int, int]]]]:
     for w, rx in _KEYED.items():
         if w in low:
             for m in rx.finditer(low):
-                before = _NAME_BEFORE.search(text, max(0, m.start() - 80), m.start())
-                key = (before.group() if before else "") + text[m.start() : m.start("sep")].rstrip(" \t\"']")
+                key = name_before(text, m.start()) + text[m.start() : m.start("sep")].rstrip(" \t\"']")
                 got = _keyed(text, key, m["sep"], m.end(), loose)
                 if got:
                     out.append((got[0][0], got))
+    taken = union(p for _, places in out for p in places)
+    ends = [b for _, b in taken]
     for start, end in unkeyed(text):
-        if not any(a < end and start < b for _, places in out for a, b in places):
+        k = bisect_right(ends, start)
+        if k == len(taken) or taken[k][0] >= end:
             out.append((start, [(start, end)]))
     return sorted(out)
 
 
+def union(places: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping places as one, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(set(places)):
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
 def _keyed(text: str, key: str, sep: str, start: int, loose: bool) -> list[tuple[int, int]] | None:
     if _ABOUT.search(key):
         return None
@@ -307,10 +341,9 @@ def _keyed(text: str, key: str, sep: str, start: int, loose: bool) -> list[tuple
         return lit[1]
     if sep == "(":
         return None
-    head = text[start : start + 200]
-    d = _DEFAULT.match(head)
+    d = _DEFAULT.match(text, start)
     if d:
-        lit = joined(text, start + d.end())
+        lit = joined(text, d.end())
         return lit[1] if lit and is_literal(lit[0]) else None
     b = _BARE.match(text, start)
     if not b or sep in ("=>", ":=", "==") or text[b.end() : b.end() + 1] in ("(", "["):
@@ -329,29 +362,22 @@ def _keyed(text: str, key: str, sep: str, start: int, loose: bool) -> list[tuple
 
 def lines_with(text: str, loose: bool) -> list[int]:
     """1-based lines where a credential begins."""
-    out: list[int] = []
+    out: dict[int, None] = {}
     line = at = 0
     for place, _ in find(text, loose):
-        line += text.count("\n", at, place) if place >= at else -text.count("\n", place, at)
+        line += text.count("\n", at, place)
         at = place
-        if line + 1 not in out:
-            out.append(line + 1)
-    return out
+        out[line + 1] = None
+    return list(out)
 
 
 def redact(text: str | None, loose: bool) -> tuple[str | None, int]:
     """The text with every credential's characters replaced, and how many there were."""
     if not text:
         return text, 0
-    found = list(find(text, loose))
-    cut: list[tuple[int, int]] = []
-    for start, end in sorted({p for _, places in found for p in places}):
-        if cut and start < cut[-1][1]:
-            cut[-1] = cut[-1][0], max(end, cut[-1][1])
-        else:
-            cut.append((start, end))
+    found = find(text, loose)
     out, at = [], 0
-    for start, end in cut:
+    for start, end in union(p for _, places in found for p in places):
         piece = text[start:end]
         # line breaks inside a value stay, so that no line number moves
         out += [text[at:start], MASK, "\n" * piece.count("\n")]
@@ -384,8 +410,12 @@ def credential_lines(df: DataFrame, ident: str, text: str, file: str | None = No
     return _rows(df, ident, text, file).filter("text is not null").mapInPandas(_scan, "record_id long, line int").dropDuplicates()
 
 
-def redacted_texts(df: DataFrame, ident: str, text: str, file: str | None = None) -> DataFrame:
+def redacted_texts(df: DataFrame, ident: str, text: str, file: str | None = None, only_changed: bool = False) -> DataFrame:
     """(record_id, text, redacted): every text without its credentials, and how many were taken out.
 
-    Copies of an id are told apart by nothing but their text; one of each is kept."""
-    return _rows(df, ident, text, file).mapInPandas(_redact, "record_id long, text string, redacted int").dropDuplicates(["record_id", "text"])
+    Copies of an id are told apart by nothing but their text; one of each is kept.
+    ``only_changed`` leaves out texts without credentials before anything is shuffled."""
+    out = _rows(df, ident, text, file).mapInPandas(_redact, "record_id long, text string, redacted int")
+    if only_changed:
+        out = out.filter("redacted > 0")
+    return out.withColumn("_d", F.sha2("text", 256)).dropDuplicates(["record_id", "_d"]).drop("_d")

@@ -52,9 +52,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Files and messages that held credentials, with the redacted text."""
-    source = credentials.redacted_texts(table(spark, d, "source_files"), "file_id", "source", "file").withColumn("origin", F.lit("source"))
-    message = credentials.redacted_texts(table(spark, d, "findings"), "finding_id", "message").withColumn("origin", F.lit("message"))
-    return source.unionByName(message).filter("redacted > 0").select("origin", "record_id", "text", "redacted")
+    source = credentials.redacted_texts(table(spark, d, "source_files"), "file_id", "source", "file", True).withColumn("origin", F.lit("source"))
+    message = credentials.redacted_texts(table(spark, d, "findings"), "finding_id", "message", only_changed=True).withColumn("origin", F.lit("message"))
+    return source.unionByName(message).select("origin", "record_id", "text", "redacted")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
