@@ -7,8 +7,13 @@ Windows of 12 template places are hashed on both sides and joined; then the slot
 if every slot holds the same value the passage is verbatim, if the values differ but map
 one to one the question was re-parameterised.
 
-Windows of documents pass a bitmap of the items' hashes before anything is shuffled. Its
-size is fixed, so what is broadcast doesn't grow with items or documents.
+A template has at most MOST_DIFFERENT slots, so that windows of rare words alone don't all
+meet: for verbatim passages the words beyond count as written, for reworded ones the window
+has a key for each of its slots, with that slot's value (one of them at least must be equal).
+
+Template words and item windows are known by bitmaps of fixed size, so what is broadcast
+doesn't grow with items or documents. A word taken for a template word by chance is one on
+both sides.
 
 Defined results: null or empty texts have no windows, as have texts under 12 words; rows
 with null ids are left out; a document that repeats a passage counts once per item; an
@@ -19,7 +24,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.cluster import cut
+from treeline.cluster import BROADCAST_ROWS, cut, join_small
 
 WINDOW = 12
-#: Bits of the bitmap, items in which a template word occurs at least, most template words.
-BITS = 1 << 20
+#: Bits of the bitmaps of item windows and of template words; items in which a template word occurs at least.
+BITS = 1 << 23
+WORD_BITS = 1 << 22
 TEMPLATE_ITEMS = 3
-TEMPLATE_WORDS = 50_000
-#: Most slots of a reworded window that hold other values than the item's.
+#: Most slots of a reworded window that hold other values than the item's, and of any template.
 MOST_DIFFERENT = WINDOW // 2
 
 # Units of measure that stand for each other in re-parameterised questions.
@@ -43,7 +48,9 @@ UNITS = frozenset("ms s sec secs second seconds min mins minute minutes hour hou
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\ufe00-\ufe0f\ufeff]")
 _LIST_NUMBER = re.compile(r"(?m)^[ \t>*#/-]*\d{1,3}[.)][ \t]+")
 _WORD = re.compile(r"[^\W_]+")
-_HASHES: dict[str, int] = {}
+_HASHES: dict[str, tuple[int, int]] = {}
+#: What stands for a number, a unit, a name.
+NUMBER, UNIT, NAME = (np.uint64(xxhash.xxh64_intdigest("\0" + x)) for x in ("number", "unit", "name"))
 
 
 def words(text: str) -> list[str]:
@@ -53,137 +60,177 @@ def words(text: str) -> list[str]:
     return _WORD.findall(_LIST_NUMBER.sub(" ", text).casefold())
 
 
-def _hash(word: str) -> int:
+def _known(word: str) -> tuple[int, int]:
+    """(hash, kind) of a word; kind is 1 for a number, 2 for a unit."""
     h = _HASHES.get(word)
     if h is None:
         if len(_HASHES) > 500_000:
             _HASHES.clear()
-        h = _HASHES[word] = xxhash.xxh64_intdigest(word)
+        h = _HASHES[word] = xxhash.xxh64_intdigest(word), 1 if word.isdigit() else 2 if word in UNITS else 0
     return h
 
 
-def canonical(word: str, template: frozenset[str]) -> str:
-    if word.isdigit():
-        return "\x00number"
-    if word in UNITS:
-        return "\x00unit"
-    return word if word in template else "\x00name"
+def hashed(w: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, kind) of every word."""
+    got = np.array([_known(x) for x in w], dtype=np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(got[:, 0]), got[:, 1]
+
+
+class Bits:
+    """A set of hashes as a bitmap, each known by ``len(shifts)`` bits."""
+
+    def __init__(self, size: int, shifts: tuple[int, ...]) -> None:
+        self.size, self.shifts = size, shifts
+        self.packed = np.zeros(size // 8, np.uint8)
+
+    @staticmethod
+    def of(hashes: DataFrame, size: int, shifts: tuple[int, ...]) -> Bits:
+        """From a column ``h``; at most ``size`` small numbers come to the driver."""
+        out = Bits(size, shifts)
+        at = hashes.select(F.explode(F.array(*[F.pmod(F.shiftrightunsigned("h", k), F.lit(size)).cast("int") for k in shifts])).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)
+        full = np.zeros(size, bool)
+        full[at] = True
+        out.packed = np.packbits(full, bitorder="little")
+        return out
 
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for k in self.shifts:
+            b = ((h >> np.uint64(k)) & np.uint64(self.size - 1)).astype(np.int64)
+            out &= (self.packed[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+        return out
 
-def rolling(h: np.ndarray) -> np.ndarray:
-    """A hash of every run of WINDOW values."""
-    n = len(h) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+
+WORD_SHIFTS, KEY_SHIFTS = (9, 37), (17,)
+
+
+def rolling(values: Callable[[int], np.ndarray], n: int) -> np.ndarray:
+    """A hash of every run of WINDOW values; ``values(k)`` has the k-th of each of the ``n`` runs."""
     out = np.zeros(n, np.uint64)
     m = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         for k in range(WINDOW):
-            out = (out ^ (out >> np.uint64(31))) * m + h[k : k + n]
+            out = (out ^ (out >> np.uint64(31))) * m + values(k)
     return out
 
 
-def windows(text: str, template: frozenset[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words, template hash and verbatim hash of every window)."""
-    w = words(text)
-    if len(w) < WINDOW:
-        return w, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    plain = np.fromiter((_hash(x) for x in w), np.uint64, len(w))
-    shape = np.fromiter((_hash(canonical(x, template)) for x in w), np.uint64, len(w))
-    return w, rolling(shape), rolling(plain)
+class Windows:
+    """All windows of one text."""
 
+    def __init__(self, text: str, template: Bits) -> None:
+        w = words(text)
+        self.n = n = max(0, len(w) - WINDOW + 1)
+        if n:
+            self.word, kind = hashed(w)
+            self.slot = (kind > 0) | ~template.has(self.word)
+            self.canon = np.where(kind == 1, NUMBER, np.where(kind == 2, UNIT, np.where(self.slot, NAME, self.word)))
+            self.before = np.concatenate([[0], np.cumsum(self.slot)])
 
-def slot_values(w: list[str], at: int, template: frozenset[str]) -> list[str]:
-    return [x for x in w[at : at + WINDOW] if canonical(x, template)[0] == "\x00"]
+    def template(self) -> np.ndarray:
+        """Hash of each window's template; slots after the MOST_DIFFERENT first count as written."""
+        start = self.before[: self.n]
 
+        def value(k: int) -> np.ndarray:
+            beyond = self.slot[k : k + self.n] & (self.before[k : k + self.n] - start >= MOST_DIFFERENT)
+            return np.where(beyond, self.word[k : k + self.n], self.canon[k : k + self.n])
 
-def keys(w: list[str], shape: np.ndarray, template: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(place, key) of what windows are joined by: the template hash alone, or with each slot's
-    value where more than MOST_DIFFERENT slots mean that one at least must be equal."""
-    n = len(shape)
-    slot = np.fromiter((canonical(x, template)[0] == "\x00" for x in w), bool, len(w))
-    total = np.concatenate([[0], np.cumsum(slot)])
-    many = total[WINDOW : WINDOW + n] - total[:n] > MOST_DIFFERENT
-    plain = np.fromiter((_hash(x) for x in w), np.uint64, len(w))
-    at, key = [np.flatnonzero(~many)], [shape[~many]]
-    with np.errstate(over="ignore"):
-        for k in range(WINDOW):
-            where = np.flatnonzero(many & slot[k : k + n])
-            mixed = (shape[where] ^ plain[where + k]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
-            at.append(where)
-            key.append(mixed ^ (mixed >> np.uint64(29)))
-    return np.concatenate(at), np.concatenate(key)
+        return rolling(value, self.n)
+
+    def plain(self) -> np.ndarray:
+        return rolling(lambda k: self.word[k : k + self.n], self.n)
+
+    def verbatim_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, key): one a window."""
+        return np.arange(self.n), self.template()
+
+    def reworded_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, key): the template's hash alone, or with each slot's value where there are more than MOST_DIFFERENT."""
+        shape = rolling(lambda k: self.canon[k : k + self.n], self.n)
+        many = self.before[WINDOW : WINDOW + self.n] - self.before[: self.n] > MOST_DIFFERENT
+        at, key = [np.flatnonzero(~many)], [shape[~many]]
+        with np.errstate(over="ignore"):
+            for k in range(WINDOW):
+                where = np.flatnonzero(many & self.slot[k : k + self.n])
+                mixed = (shape[where] ^ self.word[where + k]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
+                at.append(where)
+                key.append(mixed ^ (mixed >> np.uint64(29)))
+        return np.concatenate(at), np.concatenate(key)
+
+    def slots(self, at: int) -> np.ndarray:
+        """Hashes of the values in a window's slots, in order."""
+        return self.word[at : at + WINDOW][self.slot[at : at + WINDOW]].view(np.int64)
 
 
-def _emit(batches: Iterator[pd.DataFrame], template: frozenset[str], bitmap: np.ndarray | None, with_slots: bool) -> Iterator[pd.DataFrame]:
+def _emit(batches: Iterator[pd.DataFrame], template: Bits, known: Bits | None, reworded: bool) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows: list[tuple] = []
         for ident, text in zip(pdf["id"], pdf["text"]):
-            if not text:
+            win = Windows(text, template) if text else None
+            if win is None or not win.n:
                 continue
-            w, shape, plain = windows(text, template)
-            if not len(shape):
-                continue
-            at, key = keys(w, shape, template) if with_slots else (np.arange(len(shape)), shape)
-            if bitmap is not None:
-                known = bitmap[(key % np.uint64(BITS)).astype(np.int64)]
-                at, key = at[known], key[known]
-            a, b = shape.view(np.int64), plain.view(np.int64)
-            rows += [(ident, int(k), int(j), int(a[k]), int(b[k]), slot_values(w, k, template) if with_slots else None) for k, j in zip(at, key.view(np.int64))]
-        yield pd.DataFrame(rows, columns=["id", "at", "key", "shape", "plain", "slots"])
+            at, key = win.reworded_keys() if reworded else win.verbatim_keys()
+            if known is not None:
+                held = known.has(key)
+                at, key = at[held], key[held]
+            if len(at):
+                plain = win.plain().view(np.int64)
+                rows += [(ident, j, int(plain[k]), win.slots(k)) for k, j in zip(at.tolist(), key.view(np.int64).tolist())]
+        yield pd.DataFrame(rows, columns=["id", "key", "plain", "slots"])
 
 
-SCHEMA = "id long, at int, key long, shape long, plain long, slots array<string>"
+SCHEMA = "id long, key long, plain long, slots array<long>"
 
 
 def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame([(i, x) for i, t in zip(pdf["id"], pdf["text"]) if t for x in set(words(t))], columns=["id", "word"])
+        rows = [(i, x) for i, t in zip(pdf["id"], pdf["text"]) if t for x in np.unique(hashed(words(t))[0]).view(np.int64).tolist()]
+        yield pd.DataFrame(rows, columns=["id", "h"])
 
 
-def template_words(items: DataFrame) -> frozenset[str]:
-    """Words of at least TEMPLATE_ITEMS items, the TEMPLATE_WORDS most frequent ones."""
-    per = items.mapInPandas(_words_of, "id long, word string").groupBy("word").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= TEMPLATE_ITEMS)
-    return frozenset(r.word for r in per.orderBy(F.desc("n"), "word").limit(TEMPLATE_WORDS).collect())
+def template_words(items: DataFrame) -> Bits:
+    """Words of at least TEMPLATE_ITEMS items."""
+    per = items.mapInPandas(_words_of, "id long, h long").groupBy("h").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= TEMPLATE_ITEMS)
+    return Bits.of(per, WORD_BITS, WORD_SHIFTS)
 
 
 def _pair(df: DataFrame, ident: str) -> DataFrame:
     return df.select(F.col(ident).cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null and text is not null")
 
 
-def joined_windows(documents: DataFrame, items: DataFrame, with_slots: bool, on: list[str]) -> DataFrame:
-    """Windows of documents and items that agree on ``on``: (doc_id, doc_at, item_id, item_at, ...)."""
+def candidates(documents: DataFrame, items: DataFrame, reworded: bool) -> tuple[DataFrame, DataFrame]:
+    """(windows of documents whose key some item has, windows of items).
+
+    A key may be in any part of all documents, but in few items."""
     items = _pair(items, "item_id")
     template = template_words(items)
     # the same window may stand in many items; each (item, window) once
-    held = cut(items.mapInPandas(lambda it: _emit(it, template, None, with_slots), SCHEMA).dropDuplicates(["id", "plain", "shape", "key"]))
-    bits = held.select(F.pmod("key", F.lit(BITS)).cast("int").alias("b")).distinct().collect()  # at most BITS small numbers
-    bitmap = np.zeros(BITS, bool)
-    bitmap[[r.b for r in bits]] = True
-    found = _pair(documents, "doc_id").mapInPandas(lambda it: _emit(it, template, bitmap, with_slots), SCHEMA)
-    right = held.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "key", "shape", F.col("plain").alias("item_plain"), F.col("slots").alias("item_slots"))
-    left = found.select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "key", "shape", "plain", "slots").dropDuplicates(["doc_id", "key", "shape", "plain"])
-    if on == ["shape", "plain"]:
-        return left.join(right.drop("key").withColumn("plain", F.col("item_plain")), on)
-    # what is verbatim in one item isn't another one reworded
-    return left.join(right.select(F.col("item_plain").alias("plain")).distinct(), "plain", "left_anti").join(right, on)
+    held = cut(items.mapInPandas(lambda it: _emit(it, template, None, reworded), SCHEMA).dropDuplicates(["id", "plain", "key"]))
+    known = Bits.of(held.select(F.col("key").alias("h")), BITS, KEY_SHIFTS)
+    shared = items.sparkSession.sparkContext.broadcast((template, known))
+    found = _pair(documents, "doc_id").mapInPandas(lambda it: _emit(it, *shared.value, reworded), SCHEMA).withColumnRenamed("id", "doc_id")
+    if held.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        found = cut(found)  # its keys are counted before it is joined
+    return found, held.select(F.col("id").alias("item_id"), "key", F.col("plain").alias("item_plain"), F.col("slots").alias("item_slots"))
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): the document holds WINDOW consecutive words of the item.
 
-    Template windows are joined and all slots must hold the same values."""
-    return joined_windows(documents, items, False, ["shape", "plain"]).select("doc_id", "item_id").distinct()
+    Template windows are joined, and all slots must hold the same values."""
+    return join_small(*candidates(documents, items, False), ["key"]).filter(F.col("slots") == F.col("item_slots")).select("doc_id", "item_id").distinct()
 
 
 def reworded_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, places): template windows whose slots differ, at most MOST_DIFFERENT of them, but map one to one.
 
     Windows that are verbatim in any item are left out before the join."""
-    pairs = joined_windows(documents, items, True, ["key", "shape"])
+    found, held = candidates(documents, items, True)
+    # what is verbatim in one item isn't another one reworded
+    fresh = join_small(found, held.select(F.col("item_plain").alias("plain")).distinct(), ["plain"], "left_anti")
     z = F.arrays_zip("slots", "item_slots")
     one_to_one = (F.size(F.array_distinct(z)) == F.size(F.array_distinct("slots"))) & (F.size(F.array_distinct("slots")) == F.size(F.array_distinct("item_slots")))
-    good = pairs.filter((F.size("slots") == F.size("item_slots")) & (F.size(F.filter(z, lambda x: x["slots"] != x["item_slots"])) <= MOST_DIFFERENT) & one_to_one)
+    few = F.size(F.filter(z, lambda x: x["slots"] != x["item_slots"])) <= MOST_DIFFERENT
+    good = join_small(fresh, held, ["key"]).filter((F.size("slots") == F.size("item_slots")) & few & one_to_one)
     return good.groupBy("doc_id", "item_id").agg(F.count_distinct("plain").alias("places"))
 
 

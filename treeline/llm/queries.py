@@ -121,7 +121,17 @@ b AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT file_id) > 1),
 s AS (SELECT w.file_id, pos FROM w JOIN b USING (h)),
 l AS (SELECT DISTINCT s.file_id, lines[pos + 1 + k] AS line FROM s JOIN one USING (file_id), LATERAL (SELECT unnest(range(min_lines)) AS k) WHERE lines[pos + 1 + k] IS NOT NULL)
 """
+_P8 = r"""
+WITH t AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM eval_items),
+w AS (SELECT side, id, regexp_extract_all(lower(regexp_replace(nfc_normalize(regexp_replace(text,
+        '[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{206a}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]', '', 'g')),
+        '(?m)^[ \t>*#/-]*\d{1,3}[.)][ \t]+', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM t WHERE id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT side, id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT side, id, w, unnest(range(1, len(w) - 10)) AS k FROM w WHERE len(w) >= 12)),
+f AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g AND d.side = 0 AND i.side = 1)
+"""
 SQL = {
+    "p8_found": _P8 + "SELECT doc_id, item_id FROM f",
+    "p8_items": _P8 + "SELECT item_id, count(*) AS documents FROM f GROUP BY 1",
     "p6_found": _P6 + "SELECT file_id, line FROM l",
     "p6_shares": _P6
     + """SELECT file_id, max(len(lines)) AS code_lines, coalesce(max(n), 0) AS shared_lines, CASE WHEN max(len(lines)) > 0 THEN coalesce(max(n), 0) / max(len(lines)) ELSE 0.0 END AS share
