@@ -45,3 +45,18 @@ def test_ranked_numbers_rows_of_keys_that_span_tasks(spark):
             want[i] = n
     assert {r.i: r.n for r in got} == want and len(got) == 400
     assert cluster.ranked(df.limit(0), ["k"], [F.col("v")], "n").collect() == []
+
+
+def test_sieve_keeps_every_wanted_row(spark):
+    big, small = spark.range(1000).select(F.col("id").alias("k")), spark.range(0, 1000, 50).select(F.col("id").alias("k"))
+    for size in (1, 7, 1 << 20):
+        got = cluster.sieved(big, small, ["k"], size)
+        assert got.join(small, "k").count() == 20 and (size < 8 or got.count() < 40)
+
+
+def test_current_copies(spark):
+    rows = [(1, 1, "a"), (1, 3, "b"), (1, 2, "c"), (2, 1, "x"), (2, 2, "x"), (3, 1, "p"), (3, 1, "q")]
+    df = spark.createDataFrame(rows, "id long, at int, t string")
+    got = sorted(map(tuple, cluster.current(df, "id", "at", ["t"]).collect()))
+    assert [r for r in got if r[0] < 3] == [(1, 3, "b"), (2, 1, "x"), (2, 2, "x")] and len([r for r in got if r[0] == 3]) == 1
+    assert cluster.current(df.limit(0), "id", "at", ["t"]).collect() == []

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 #: A key with more than one in so many rows is joined apart; there are fewer such keys than this.
 HOT_SHARE = 10_000
+#: Different numbers in the sieve that keeps rows out of a shuffle.
+SIEVE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,6 +86,26 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     return join_split(big, small, keys, how, hot_keys(big, keys) if hot is None else hot)
 
 
+def sieved(big: DataFrame, small: DataFrame, keys: list[str], size: int = SIEVE) -> DataFrame:
+    """``big`` without rows whose keys surely aren't in ``small``, so that they aren't shuffled for a join.
+
+    At most ``size`` small numbers are broadcast; with far more keys than that it keeps nothing out."""
+    number = F.pmod(F.xxhash64(*keys), F.lit(size)).cast("int")
+    wanted = small.select(number.alias("_s")).distinct()
+    return big.withColumn("_s", number).join(F.broadcast(wanted), "_s", "left_semi").drop("_s")
+
+
+def current(df: DataFrame, ident: str, order: str, content: list[str]) -> DataFrame:
+    """``df`` without rows that a later copy with other ``content`` replaces; equal copies stay.
+
+    Only digests are shuffled, and rows only where an id has copies that differ."""
+    digest = df.withColumn("_d", F.xxhash64(*content))
+    each = digest.groupBy(ident, "_d").agg(F.max(order).alias("_at"))
+    best = each.groupBy(ident).agg(F.max(F.struct("_at", "_d")).alias("_b"), F.count("*").alias("_n")).filter("_n > 1")
+    stale = cut(each.join(best, ident).filter("_d != _b._d").select(ident, "_d"))
+    return join_small(digest, stale, [ident, "_d"], "left_anti", even=True).drop("_d")
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """``df`` with each row's number (from 1) within its keys by ``order``, however many rows a key has.
 

@@ -19,14 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.cluster import HOT_SHARE, cut, join_small
+from treeline.cluster import HOT_SHARE, cut, join_small, sieved
 
 #: Compact rows that one numpy bucket should hold.
 BUCKET_ROWS = 200_000
 
-#: Different numbers in the sieve that keeps unchanged values out of the last shuffle.
-SIEVE = 1 << 20
-
 DIFF_SCHEMA = "k1 long, k2 long, snapshot_no int, value_no int, change string, old_count long, new_count long"
 
 
@@ -109,10 +106,8 @@ def snapshot_changes(snapshots: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Da
         .applyInPandas(lambda pdf: compare_bucket(pdf.drop(columns="_bucket")), DIFF_SCHEMA)
     )
     values = rows.select("repo", F.col("snapshot_no").alias("value_no"), "k1", "k2", "file", "rule", "message")
-    # what surely isn't wanted goes before texts are shuffled: at most SIEVE small numbers are broadcast
-    sieve = F.pmod(F.xxhash64("k1", "value_no"), F.lit(SIEVE)).cast("int")
-    wanted = differing.select(sieve.alias("_s")).distinct()
-    some = values.withColumn("_s", sieve).join(F.broadcast(wanted), "_s", "left_semi").drop("_s")
+    # what surely isn't wanted goes before texts are shuffled
+    some = sieved(values, differing, ["k1", "value_no"])
     # each key once a snapshot, so that none is hot, and in the same shuffle as the join
     full = join_small(some.dropDuplicates(["value_no", "k1", "k2"]), differing, ["value_no", "k1", "k2"], even=True)
     return full.select("repo", "snapshot_no", "file", "rule", "message", "change", "old_count", "new_count")
