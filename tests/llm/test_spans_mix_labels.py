@@ -50,6 +50,61 @@ def test_shared_lines_equal_brute_force(spark, monkeypatch, limit):
     assert shared_spans.shared_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_components_of_files_equal_union_find(spark, monkeypatch, limit):
+    monkeypatch.setattr(shared_spans, "BROADCAST_ROWS", limit)
+    rng = random.Random(5)
+    rows = [(f, 2, list(range(30)), [f"{rng.randint(1, 900):016x}" for _ in range(rng.randint(1, 25))], "c") for f in range(70)]
+    for f in range(80, 95):  # files with long spans of others
+        a, b = rng.sample(rows[:70], 2)
+        rows.append((f, 2, list(range(60)), a[3][3:] + b[3][:9], "c"))
+    parent = {}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    where = {}
+    for f, _, _, hs, _ in rows:
+        for h in hs:
+            where.setdefault(h, set()).add(f)
+    for fs in where.values():
+        if len(fs) > 1:
+            for f in fs:
+                parent.setdefault(f, f)
+            least = min(map(root, fs))
+            for f in fs:
+                parent[root(f)] = least
+    got = {r.file_id: r.component for r in shared_spans.file_components(spark.createDataFrame(rows, FACTS)).collect()}
+    assert got == {f: root(f) for f in parent} and len(got) > 60
+
+
+def test_banding_finds_most_and_the_rest_is_exact(spark):
+    rng = random.Random(11)
+    pool = [[f"{rng.getrandbits(64):016x}" for _ in range(90)] for _ in range(20)]
+    rows = []
+    for f in range(120):
+        hs = [f"{rng.getrandbits(64):016x}" for _ in range(rng.randint(5, 60))]
+        for _ in range(rng.randint(0, 2)):
+            p, size = rng.choice(pool), rng.choice([1, 20, 80])
+            a = rng.randrange(90 - size)
+            hs[rng.randrange(len(hs)) : 0] = p[a : a + size]
+        rows.append((f, 3, list(range(1, len(hs) + 3)), hs, "c"))
+    df = spark.createDataFrame(rows, FACTS)
+    assert {(r.file_id, r.line) for r in shared_spans.line_rows(shared_spans.shared_lines(df)).collect()} == brute_lines(rows)
+    one = shared_spans.band_recall(df).first()
+    assert one.recall >= 0.8 and one.by_bands < one.all
+    assert shared_spans.band_recall(df.limit(0)).first().recall == 1.0
+
+
+def test_the_latest_copy_counts(spark):
+    h = [f"{k:016x}" for k in range(6)]
+    rows = [(1, 2, [1, 2, 3], [h[0], h[1]], 5), (1, 2, [7, 8], [h[5]], 9), (2, 2, [1, 2, 3], [h[0], h[1]], 1), (3, 2, [4, 5], [h[5]], 1)]
+    df = spark.createDataFrame(rows, "file_id long, min_lines int, lines array<int>, hashes array<string>, collected_at int")
+    assert sorted(map(tuple, shared_spans.line_rows(shared_spans.shared_lines(df)).collect())) == [(1, 7), (1, 8), (3, 4), (3, 5)]
+
+
 def test_repeats_inside_one_file_do_not_count(spark):
     h = [f"{k:016x}" for k in (1, 1, 2)]
     df = spark.createDataFrame([(1, 2, [1, 2, 3, 4], h, None), (2, 2, [5, 6, 7], [f"{3:016x}", f"{2:016x}"], None)], FACTS)

@@ -69,6 +69,10 @@ def p6_components(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.file_components(table(spark, d, "duplicate_facts"))
 
 
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.band_recall(table(spark, d, "duplicate_facts"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -107,7 +111,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_shares, p2_found, p2_labels, p3_found, p3_redacted, p6_found, p6_shares, p6_components, p7_found, p7_rates,
+    p1_found, p1_shares, p2_found, p2_labels, p3_found, p3_redacted, p6_found, p6_shares, p6_components, p6_recall, p7_found, p7_rates,
     p8_found, p8_items, p8_reworded, p9_copies, p9_shares, p10_found, p10_documents, p10_segments,
 )
 QUERIES = {f.__name__: f for f in _ALL}
