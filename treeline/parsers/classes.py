@@ -49,7 +49,7 @@ _LEX = {
           "<<= >>= ... -> ++ -- << >> <= >= == != && || += -= *= /= %= &= |= ^= + - * / % & | ^ ! ~ < > = ? : ; , . ( ) [ ] { }"),
     "go": (rf"{_LINE}|/\*[^\n]*?\*/", rf"{_DQ}|{_SQ}|`[^`]*+`", _NAME, _NUM,
            "&^= <<= >>= ... := <- ++ -- && || == != <= >= << >> &^ += -= *= /= %= &= |= ^= + - * / % & | ^ ! ~ < > = : ; , . ( ) [ ] { }"),
-    "java": (rf"{_LINE}|{_BLOCK}", rf'"""[\s\S]*?"""|{_DQ}|{_SQ}', r"[^\W\d]\w*+|\$[\w$]*+", _NUM,
+    "java": (rf"{_LINE}|{_BLOCK}", rf'"""[\s\S]*?"""|(?!"""){_DQ}|{_SQ}', r"[^\W\d]\w*+|\$[\w$]*+", _NUM,
              ">>>= <<= >>= ... -> :: ++ -- && || == != <= >= << += -= *= /= %= &= |= ^= + - * / % & | ^ ! ~ < > = ? : ; , . @ ( ) [ ] { }"),
     "js": (rf"{_LINE}|{_BLOCK}|\A#![^\n]*", rf"{_DQ}|{_SQ}|{_REGEX}", r"#?(?:[^\W\d]|\$)[\w$]*+", _NUM,
            ">>>= === !== **= <<= >>= >>> &&= ||= ??= ... => == != <= >= && || ?? ?. ++ -- += -= *= /= %= &= |= ^= ** << >> + - * / % & | ^ ! ~ < > = ? : ; , . @ ( ) [ ] { }"),
@@ -78,7 +78,7 @@ def _lexer(lang: str) -> tuple[re.Pattern, dict[str, str], dict[str, str]]:
     if lang == "php":
         parts += [("H", r"\?>(?:(?!<\?(?:php\b|=))[\s\S])*+(?:<\?php\b|<\?=|\Z)"), ("V", r"\$+[^\W\d]\w*+")]
     # an opening that nothing closes is no operator
-    opening = r"(?!--\[=*\[|\[=*\[)" if lang == "lua" else r"(?!/\*)"
+    opening = r"(?!--\[=*\[|\[=*\[)" if lang == "lua" else r"(?!/\*|<<<[ \t]*[\"']?[^\W\d]\w*[\"']?\r?\n)" if lang == "php" else r"(?!/\*)"
     parts += [("I", name), ("D", num), ("O", f"{opening}(?:{op})")]
     parts.append(("L", r"\n"))
     parts.append(("B", r"[^\s\ufeff]"))
