@@ -12,6 +12,7 @@ TEXTS = {
     "c": C_TEXT * 40, "go": "package a\n\n" + "func f(a int) int {\n\ts := `x {\n y`\n\treturn g(a,\n\t\ts)\n}\n\n" * 40, "js": "function f(a) {\n  const t = `x ${a\n  } {`\n  /* { */\n  return g(a,\n    t)\n}\n\n" * 40,
     "lua": "local function f(a)\n  --[[ x (\n  ]]\n  local s = [==[ { \n ]==]\n  if a then\n    return g(a,\n      s)\n  end\nend\n" * 40, "php": "<?php\n" + "function f($a)\n{\n    $s = 'x {\n y';\n    /* ( \n */\n    return g($a, $s);\n}\n" * 40,
     "java": "class A {\n" + "  void f(int a) {\n    String s = \"\"\"\n      { x\n      \"\"\";\n    g(a,\n      s);\n  }\n" * 40 + "}\n", "ts": "export function f(a: number): string {\n  return `x\n ${a}`;\n}\n" * 40,
+    "python": "import a\n@a.b(\n  1)\n# x (\ndef f(a):\n    s = \"\"\"x ' (\n@ y\n\"\"\"\n    t = 'a\\\n(b'\n    return g(a,\nb)\nif f(1):\n    pass\nelse:\n    x = {1: [\n2], 3:\n4}\n@a\n@b\nclass A:\n    def f(self): return f'{1}'\n" * 12,
 }
 
 
@@ -20,14 +21,17 @@ TEXTS = {
 def test_chunks_fold_to_the_whole(lang, size):
     rng = random.Random(size)
     for text in (TEXTS[lang], TEXTS[lang][:-9], TEXTS[lang].replace("return", "return )", 1), TEXTS[lang][: rng.randint(50, 900)]):
-        maps = [syntax.summary(part, lang, k == 0) for k, part in enumerate(syntax.cut_at_lines(text, size))]
-        assert syntax.folded(maps, lang) == syntax.parses(text, lang)
+        for many in (1, 4, 10_000):
+            maps = [m for _, m in syntax.runs(text, lang, size, many)]
+            assert syntax.decided(syntax.folded(maps, lang), lang) == syntax.parses(text, lang)
 
 
-def test_composition_is_associative():
-    maps = [syntax.summary(p, "c", k == 0) for k, p in enumerate(syntax.cut_at_lines(C_TEXT * 3, 25))]
-    a, b, c = maps[0], maps[1], maps[2]
-    assert syntax.compose(syntax.compose(a, b, "c"), c, "c") == syntax.compose(a, syntax.compose(b, c, "c"), "c")
+@pytest.mark.parametrize("lang", ["c", "python"])
+def test_composition_is_associative(lang):
+    text = C_TEXT * 3 if lang == "c" else TEXTS["python"][:900]
+    maps = [m for _, m in syntax.runs(text, lang, 25, 1)]
+    for a, b, c in zip(maps, maps[1:], maps[2:]):
+        assert syntax.compose(syntax.compose(a, b, lang), c, lang) == syntax.compose(a, syntax.compose(b, c, lang), lang)
 
 
 def verdicts(spark, rows, results=None, **kw):
@@ -40,17 +44,17 @@ def test_edge_cases(spark):
     rows = [
         (1, "r", "a.php", "<?php f(", None, None), (2, "r", "a.py", "def f(:", None, None), (3, "r", "a.py", None, None, None), (4, "r", "a.js", "", None, None), (5, "r", "a.yml", "{{{", None, None), (6, "r", None, "x", None, None),
         (None, "r", "a.js", "(", None, None), (7, None, "a.lua", "x = 1\r\n", None, None), (7, None, "a.lua", "x = 1\r\n", None, None), (8, "r", "A.JS", "let a = 1", None, None), (9, "r", "a.py", "return 1", None, None), (10, "r", "a.py", "x = '\0'", None, None),
-        (11, "r", "a.c", "int x; " * 200_000, None, None), (12, "r", "a.py", "(" * 5000, None, None),
+        (11, "r", "a.c", "int x; " * 200_000, None, None), (12, "r", "a.py", "(" * 5000, None, None), (13, "r", "a.py", "x = " + "(" * 5000 + "1" + ")" * 5000, None, None), (14, "r", "a.c", "int x;\n" * 30_000, None, None),
     ]
-    got = verdicts(spark, rows, chunk_chars=50_000)
-    assert 12 in got and got.pop(12) in (True, False)
-    assert got == {1: False, 2: False, 3: True, 4: True, 7: True, 8: True, 9: False, 10: False, 11: True}
+    got = verdicts(spark, rows)
+    assert got == {1: False, 2: False, 3: True, 4: True, 7: True, 8: True, 9: False, 10: False, 11: True, 12: False, 13: False, 14: True}
     assert verdicts(spark, []) == {}
 
 
 def test_long_files_give_the_same_through_chunks(spark):
-    rows = [(k, "r", f"a.{'php' if la == 'php' else la}", t, None, None) for k, (la, t) in enumerate(TEXTS.items())] + [(100 + k, "r", f"a.{la}", t[:-15], None, None) for k, (la, t) in enumerate(TEXTS.items())]
-    assert verdicts(spark, rows, chunk_chars=200) == verdicts(spark, rows) == {**{k: True for k in range(len(TEXTS))}, **{100 + k: False for k in range(len(TEXTS))}}
+    name = lambda la: "a.py" if la == "python" else f"a.{la}"
+    rows = [(k, "r", name(la), t, None, None) for k, (la, t) in enumerate(TEXTS.items())] + [(100 + k, "r", name(la), t[:-4] if la == "python" else t[:-15], None, None) for k, (la, t) in enumerate(TEXTS.items())]
+    assert verdicts(spark, rows, chunk_chars=20) == verdicts(spark, rows) == {**{k: True for k in range(len(TEXTS))}, **{100 + k: False for k in range(len(TEXTS))}}
 
 
 def test_stated_language_wins(spark):
@@ -59,6 +63,14 @@ def test_stated_language_wins(spark):
     results = [(1, "a.js", " LUA", t), (1, "a.js", "JavaScript", datetime(2025, 1, 1)), (2, "a.lua", None, t), (2, "a.lua", "??", t)]
     assert verdicts(spark, rows) == {1: False, 2: True}
     assert verdicts(spark, rows, results) == {1: True, 2: True}
+    assert verdicts(spark, rows, results[:0]) == {1: False, 2: True}
+    assert verdicts(spark, [*rows, (3, "r", "a.txt", "local x =", None, None)], [*results, (3, "a.txt", "lua", t)]) == {1: True, 2: True, 3: False}
+
+
+def test_the_copy_loaded_last_counts(spark):
+    rows = [(1, "r", "a.c", "int x;", 2), (1, "r", "a.c", "int x", 1), (1, "r", "a.c", "int x", 1), (2, "r", "b.c", "int x;", 1), (2, "r", "b.c", "int", 3)]
+    df = spark.createDataFrame([(*r[:4], datetime(2026, 1, r[4])) for r in rows], "file_id long, repo string, file string, source string, loaded_at timestamp")
+    assert {r.file_id: r.valid for r in syntax.syntax_verdicts(df).collect()} == {1: True, 2: False}
 
 
 def test_rates(spark):
@@ -81,7 +93,7 @@ SPANNING = {
 
 
 @pytest.mark.parametrize("lang", SPANNING)
-def test_cuts_lie_outside_constructs(spark, lang):
+def test_cuts_may_lie_inside_constructs(spark, lang):
     head, text = ("package a\n", SPANNING[lang].removeprefix("package a\n") * 20) if lang == "go" else ("", SPANNING[lang] * 20)
     text = head + (text if lang != "php" else SPANNING[lang] + SPANNING[lang].removeprefix("<?php\n") * 19)
     texts = [text, text[:-4], text + "`\n", text + "f(\n", *(text[:k] for k in range(40, 400, 23)), *(text[:k] + "#!x\n" + text[k:] for k in (text.index("\n", 150) + 1,))]
@@ -90,5 +102,6 @@ def test_cuts_lie_outside_constructs(spark, lang):
     whole = {k: syntax.parses(t, lang) for k, t in enumerate(texts)}
     assert whole[0] and not all(whole.values())
     for size in (10, 45, 130):
-        assert len(syntax.cut_outside_tokens(text, lang, size)) > 5
+        assert {k: syntax.decided(syntax.folded([m for _, m in syntax.runs(t, lang, size, 2)], lang), lang) for k, t in enumerate(texts)} == whole
+        assert len(syntax.cut_at_lines(text, size)) > 5
         assert verdicts(spark, rows, chunk_chars=size) == whole

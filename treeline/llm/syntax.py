@@ -1,54 +1,54 @@
 """Source files that do not parse in the language they claim.
 
-Every file is reduced to token classes and bracket groups that local grammars have
-read (``treeline.parsers.grammar``). Files over CHUNK_CHARS are cut into chunks at line
-breaks outside every token; of the map below only the entry for code is needed then. A
-chunk cut anywhere doesn't know in which lexer state it begins, so its summary is a map: for each
-state (code, inside a block comment, inside a literal that may span lines) the state at
-its end and its reduced class string. Maps compose associatively, so chunks are
-summarised anywhere in the cluster and folded per file; what is left after the last
-fold must be balanced and read as the language's top level. Python texts go to the
-interpreter's own parser as a whole.
+A file is cut into chunks at line breaks, wherever those lie, and every chunk is summarised alone.
+It doesn't know in which lexer state it begins, so its summary is a map: for each state (code, or
+inside a comment, literal, template, heredoc, page text; for Python also how many brackets are
+open) what the chunk comes to and the state at its end. Maps compose associatively: chunks are
+composed to runs where the file is read, and runs of a file anywhere in the cluster.
+
+* Seven languages: a chunk comes to a string of token classes in which every balanced bracket group
+  is replaced by what the language's local grammar found it to be (``treeline.parsers.grammar``);
+  brackets without a partner stay until a neighbour closes them. What is left of a whole file must be
+  balanced and read as the language's top level.
+* Python: a chunk comes to the open ends of the statements that begin before or end after it; the
+  statements of the top level that lie inside are balanced and read one by one by the interpreter's
+  grammar, as is each one that a composition completes.
+
+Every file takes this way, whatever its length. Texts are read once; files that the results state to
+be of another language than their extension are known by a bitmap of their ids, so no text is joined.
 
 Defined results: a null or empty ``source`` is valid; a file whose language is none of
-the eight is no source file and gives no row; copies of a file_id count once; a null
+the eight is no source file and gives no row; of copies of a file_id the one loaded last counts (if
+there is a ``loaded_at``), of equal ones that with the greatest digest; a null
 file_id gives no row; the language is that of file_results' latest analysis when it
-names one of the eight, else that of the extension.
+names one of the eight, else that of the extension; what is nested too deeply for the parser doesn't parse.
 """
 
 from __future__ import annotations
 
 import ast
+import json
 import re
 import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.cluster import join_small
+from treeline.cluster import cut, join_small
+from treeline.llm.bits import Bits
 from treeline.parsers import classes
 from treeline.parsers.grammar import _LEFT, grammar
 from treeline.parsers.spans import EXTENSIONS, PROGRAMMING, language_of
 
-#: Texts longer than this are cut into chunks.
-CHUNK_CHARS = 1 << 20
+#: Least characters of a chunk, and chunks of a run.
+CHUNK_CHARS = 2048
+RUN_CHUNKS = 32
 
 _AT_MARGIN = re.compile(r"^(?:return|yield|break|continue|await)\b", re.M)
 
-#: What closes a construct that may span lines, by its opening; a string stands for "s", a comment for nothing.
-_OPEN = {
-    "c": {"/*": (r"\*/", "")},
-    "go": {"/*": (r"\*/", ""), "`": (r"[^`]*`", "s")},
-    "java": {"/*": (r"\*/", ""), '"""': (r'"""', "s")},
-    "js": {"/*": (r"\*/", ""), "`": (r"(?:[^`\\]|\\[\s\S])*+`", "t")},
-    "lua": {"--[[": (r"\]\]", ""), "--[=[": (r"\]=\]", ""), "--[==[": (r"\]==\]", ""), "[[": (r"\]\]", "s"), "[=[": (r"\]=\]", "s"), "[==[": (r"\]==\]", "s")},
-    "php": {"/*": (r"\*/", ""), '"': (r'(?:[^"\\]|\\[\s\S])*+"', "s"), "'": (r"(?:[^'\\]|\\[\s\S])*+'", "s")},
-}
-_OPEN["ts"] = _OPEN["js"]
-_STAND_IN = {"": "", "s": '""', "t": "``"}
-
 
 def python_parses(text: str) -> bool:
     with warnings.catch_warnings():
@@ -58,10 +58,8 @@ def python_parses(text: str) -> bool:
                 compile(text, "<text>", "exec", dont_inherit=True)
             else:
                 ast.parse(text)
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
             return False
-        except (RecursionError, MemoryError):
-            return True  # too deep for the parser, which says nothing about validity
     return True
 
 
@@ -72,145 +70,292 @@ def parses(text: str, lang: str) -> bool:
     return grammar(lang).valid(classes.token_classes(text, lang))
 
 
-def _begun(text: str, lang: str, first: bool) -> str:
-    """A chunk as the lexer of whole texts reads it: with PHP's opening, and no #! line but in the first."""
-    return text if first else {"php": "<?php ", "js": "\n", "ts": "\n", "lua": "\n"}.get(lang, "") + text
+# chunks ---------------------------------------------------------------------------------------
+
+#: (broken, what the chunk comes to, for Python its other open end or None where no statement begins, the state at its end)
+Entry = tuple[bool, str, "str | None", str]
+Map = dict[str, Entry]
 
 
-def scan(text: str, lang: str, first: bool) -> tuple[str | None, str]:
-    """(class string or None if broken, the state at the end) from the state code."""
-    whole = _begun(text, lang, first)
-    got = classes.token_classes(whole, lang)
+def cut_at_lines(text: str, size: int) -> list[str]:
+    """Chunks of at least ``size`` characters that end with a line break. A line that goes on (a backslash) isn't
+    cut, nor is one before a slash, which is a division or a literal by what stands before it."""
+    out, at, look = [], 0, size
+    while (end := text.find("\n", at + look - 1)) >= 0 and end + 1 < len(text):
+        if text[end - 1] == "\\" or text[end + 1] == "/":
+            look = end + 2 - at
+            continue
+        out.append(text[at : end + 1])
+        at, look = end + 1, size
+    out.append(text[at:])
+    return out
+
+
+#: How the constructs begin that may go on over lines; the opening is the name of the state. A template's states also say what is open in it.
+_OPENING = {
+    "c": re.compile(r"/\*"), "go": re.compile(r"/\*|`"), "java": re.compile(r'/\*|"""'), "js": re.compile(r"/\*|`"), "lua": re.compile(r"--\[=*\[|\[=*\["),
+    "php": re.compile(r"/\*|[\"'`]|\?>|<<<[ \t]*[\"']?[^\W\d]\w*[\"']?\n"),
+}
+_OPENING["ts"] = _OPENING["js"]
+_INSIDE = r"(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*+"
+_TEXT = rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{{_INSIDE}\}})*+"
+_TEMPLATE = tuple((state, re.compile(_TEXT + rest + r"\Z")) for state, rest in (("`", ""), ("`${", rf"\$\{{{_INSIDE}"), ("`${{", rf"\$\{{{_INSIDE}\{{[^{{}}]*+"), ("`${`", rf"\$\{{{_INSIDE}`[^`]*+")))
+_NO_PHP = re.compile(r"\?>(?:(?!<\?(?:php\b|=))[\s\S])*\Z")
+
+
+def states_of(text: str, lang: str) -> list[str]:
+    """The states that a chunk of this file may begin in."""
+    if lang == "python":
+        return ["", "'''", '"""']
+    found = set(_OPENING[lang].findall(text))
+    if "`" in found and lang in ("js", "ts"):
+        found.update(state for state, _ in _TEMPLATE)
+    if lang == "php" and not re.match(r"<\?(?:php\b|=)", text):
+        found.add("?>")
+    return ["", *sorted(found)]
+
+
+def _begun(text: str, lang: str, state: str, first: bool) -> tuple[str, int]:
+    """A chunk as the lexer of whole texts reads it in a state, and how many characters were put before it."""
+    if first:
+        return text, 0
+    lead = {"php": "<?php ", "js": "\n", "ts": "\n", "lua": "\n"}.get(lang, "")
+    lead = "" if state == "?>" else lead + state
+    return lead + text, len(lead)
+
+
+def _stuck(text: str, lang: str) -> int | None:
+    """Where the lexer can't go on."""
+    if lang == "go":
+        at = 0
+        for m in classes._GO_SCAN.finditer(text):
+            if gap := _OPENING["go"].search(text, at, m.start()):
+                return gap.start()
+            at = m.end()
+        gap = _OPENING["go"].search(text, at)
+        return gap.start() if gap else None
+    rx, _, _ = classes._lexer(lang)
+    start = classes._PHP_HEAD.match(text).end() if lang == "php" else 0
+    return next((m.start("B") for m in rx.finditer(text, start) if m.lastgroup == "B"), None)
+
+
+def _unclosed(text: str, lang: str) -> tuple[str, int] | None:
+    """(state, place) of the construct that the text leaves open."""
+    at = _stuck(text, lang)
+    if at is None:
+        return None
+    m = _OPENING[lang].match(text, at)
+    if not m:
+        return None
+    if m.group() == "`" and lang in ("js", "ts"):
+        return next(((state, at) for state, rx in _TEMPLATE if rx.match(text, at)), None)
+    return m.group(), at
+
+
+def scan(text: str, lang: str) -> tuple[str | None, str]:
+    """(class string or None if broken, the state at the end) of a text that begins in code."""
+    got = classes.token_classes(text, lang)
     if got is not None:
+        if lang == "php" and ("<?php" not in text and "<?=" not in text or _NO_PHP.search(text) and _ends_in_page(text)):
+            return got, "?>"
         return got, ""
-    for m in reversed(list(re.finditer("|".join(re.escape(x) for x in sorted(_OPEN[lang], key=len, reverse=True)), whole))):
-        closing, stands = _OPEN[lang][m.group()]
-        if not re.compile(closing if stands in ("t", "s") and len(m.group()) == 1 else f"[\\s\\S]*?(?:{closing})").match(whole, m.end()):
-            # the literal itself is counted by the chunk that closes it; what stands before it is cut as if it were there
-            stand_in = _STAND_IN[stands]
-            before = classes.token_classes(whole[: m.start()] + stand_in, lang)
-            if before is not None:
-                return before.rstrip(";")[:-1] if stand_in and lang == "go" else before[: len(before) - bool(stand_in)], m.group()
-    return None, ""
-
-
-def summary(text: str, lang: str, first: bool) -> dict[str, tuple[str | None, str]]:
-    """The lexer-state map of a chunk: state at its start -> (reduced classes, state at its end)."""
-    g = grammar(lang)
-    out: dict[str, tuple[str | None, str]] = {}
-    for state in ("",) if first else ("", *_OPEN[lang]):
-        rest, was_first = text, first
-        if state:
-            closing = _OPEN[lang][state][0]
-            m = re.compile(closing if len(state) == 1 else f"[\\s\\S]*?(?:{closing})").match(text)
-            if not m:
-                out[state] = ("", state)
+    left = _unclosed(text, lang)
+    if not left:
+        return None, ""
+    state, at = left
+    if state[:2] in ("/*", "--"):
+        return classes.token_classes(text[:at], lang), state
+    # the literal itself is counted by the chunk that closes it; what stands before it is cut as if it were there
+    before = classes.token_classes(text[:at] + ("``" if lang in ("js", "ts") else '""'), lang)
+    return before and (before.rstrip(";") if lang == "go" else before)[:-1], state
+
+
+def _ends_in_page(text: str) -> bool:
+    rx, _, _ = classes._lexer("php")
+    last = None
+    for last in rx.finditer(text, classes._PHP_HEAD.match(text).end()):
+        pass
+    return last is not None and last.lastgroup == "H"
+
+
+def summary(text: str, lang: str, first: bool, states: list[str]) -> Map:
+    """The lexer-state map of a chunk."""
+    if lang == "python":
+        return _python_summary(text, first, states)
+    out: Map = {}
+    for state in ("",) if first else states:
+        s, end = scan(_begun(text, lang, state, first)[0], lang)
+        out[state] = (True, "", None, "") if s is None else (False, grammar(lang).reduce(s), None, end)
+    return out
+
+
+_PY = re.compile(
+    r"""(?P<c>#[^\n]*+|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*+\"\"\"|(?!'''|\"\"\")(?:'(?:[^'\\\n]|\\[\s\S])*+'|"(?:[^"\\\n]|\\[\s\S])*+")|\\\n)"""
+    r"""|(?P<t>'''|\"\"\")|(?P<o>[\[({])|(?P<e>[\])}])|(?P<n>\n(?=[^\s#)\]}]))"""
+)
+_GOES_ON = re.compile(r"(?:else|elif|except|finally)\b")
+_BEGINS = re.compile(r"(?:def|class|async)\b|@")
+
+
+def _python_lines(text: str, state: str) -> tuple[list[tuple[int, int]], int, int, str]:
+    """([(place, brackets open)] of the lines where a statement of the top level may begin, least and last number of open brackets, state at the end)."""
+    lead = state or "\n"
+    found: list[tuple[int, int]] = []
+    depth = low = 0
+    end = ""
+    seen: dict[int, bool] = {}  # by depth: whether the line before is a decorator
+    for m in _PY.finditer(lead + text):
+        k = m.lastgroup
+        if k == "o":
+            depth += 1
+        elif k == "e":
+            depth -= 1
+            low = min(low, depth)
+        elif k == "t":
+            end = m.group()
+            break
+        elif k == "n":
+            at = m.end() - len(lead)
+            begins = _BEGINS.match(text, at)
+            # the line before the chunk may be a decorator
+            if not (_GOES_ON.match(text, at) or seen.get(depth, bool(begins))):
+                found.append((at, depth))
+            seen[depth] = text[at] == "@"
+    return found, low, depth, end
+
+
+def _python_summary(text: str, first: bool, states: list[str]) -> Map:
+    out: Map = {}
+    known: dict[str, bool] = {}
+    for state in ("",) if first else states:
+        if state and state not in text:
+            out[f"{state}|*"] = (False, text, None, f"{state}|0")
+            continue
+        found, low, last, end = _python_lines(text, state)
+        for depth in range(1 if first else 1 - low):
+            at = [a for a, d in found if d == -depth]
+            there = f"{end}|{depth + last}"
+            if not at:
+                out[f"{state}|{depth}"] = (False, text, None, there)
                 continue
-            rest, was_first = _STAND_IN[_OPEN[lang][state][1]] + text[m.end() :], False
-        s, end = scan(rest, lang, was_first)
-        out[state] = (g.reduce(s) if s is not None else None, end)
+            bad = False
+            for a, b in zip(at, at[1:]):
+                part = text[a:b]
+                if part not in known:
+                    known[part] = python_parses(part)
+                bad = bad or not known[part]
+            out[f"{state}|{depth}"] = (bad, text[: at[0]], text[at[-1] :], there)
+        if not first:  # more brackets open than the chunk closes: no statement begins in it
+            out[f"{state}|*"] = (False, text, None, f"{end}|{last}")
     return out
 
 
-def compose(a: dict, b: dict, lang: str) -> dict:
+def compose(a: Map, b: Map, lang: str) -> Map:
     """The map of two neighbouring chunks from theirs."""
-    out = {}
-    for state, (s, end) in a.items():
-        t, last = b.get(end, (None, ""))
-        if s is None or t is None:
-            out[state] = (None, "")
+    if lang == "python":
+        return _python_compose(a, b)
+    out: Map = {}
+    for state, (broken, s, _, end) in a.items():
+        other, t, _, last = b.get(end, (True, "", None, ""))
+        if broken or other:
+            out[state] = (True, "", None, "")
             continue
         glue = ""
-        if lang in ("js", "ts") and s and t:
+        if lang in ("js", "ts") and s and t and end in ("", "/*"):
             enders = classes._JS_ENDERS if lang == "js" else classes._TS_ENDERS
             tail = s[-1] if ord(s[-1]) < 0x2000 else ")"
             head = t[0] if ord(t[0]) < 0x2000 else "{" if ord(t[0]) >= 0x2200 else "i"
-            literal = end and _OPEN[lang][end][1]
-            glue = "N" if tail in enders and head not in classes._JS_NEVER and not literal else ""
-        out[state] = (grammar(lang).reduce(s + glue + t), last)
+            glue = "N" if tail in enders and head not in classes._JS_NEVER else ""
+        out[state] = (False, grammar(lang).reduce(s + glue + t), None, last)
     return out
 
 
-def folded(maps: list[dict], lang: str) -> bool:
-    """Whether the chunks, in order, make a valid file."""
-    whole = maps[0]
-    for m in maps[1:]:
-        whole = compose(whole, m, lang)
-    s, end = whole[""]
-    return s is not None and not end and not _LEFT.search(s) and grammar(lang).top(s)
+def _joined(a: Entry, b: Entry, end: str) -> Entry:
+    if a[2] is None:
+        return a[0] or b[0], a[1] + b[1], b[2], end
+    if b[2] is None:
+        return a[0] or b[0], a[1], a[2] + b[1], end
+    return a[0] or b[0] or not python_parses(a[2] + b[1]), a[1], b[2], end
+
+
+def _python_compose(a: Map, b: Map) -> Map:
+    out: Map = {}
+    never: Entry = (True, "", None, "|0")
+    for state, x in a.items():
+        quote, _, depth = x[3].partition("|")
+        beyond = b.get(f"{quote}|*", never)
+        if not state.endswith("*"):
+            y = b.get(x[3])
+            if y is None:
+                y = beyond
+                q, _, more = y[3].partition("|")
+                out[state] = _joined(x, y, f"{q}|{int(depth) + int(more)}")
+            else:
+                out[state] = _joined(x, y, y[3])
+            continue
+        # depths that only the second chunk comes back from
+        for other, y in b.items():
+            q, _, d = other.partition("|")
+            if q == quote and d != "*" and (k := int(d) - int(depth)) >= 0 and f"{state[:-1]}{k}" not in a:
+                out[f"{state[:-1]}{k}"] = _joined(x, y, y[3])
+        q, _, more = beyond[3].partition("|")
+        out[state] = _joined(x, beyond, f"{q}|{int(depth) + int(more)}")
+    return out
 
 
-def cut_at_lines(text: str, size: int) -> list[str]:
-    """Chunks of at least ``size`` characters that end with a line break."""
-    out, at = [], 0
-    while len(text) - at > size:
-        end = text.find("\n", at + size)
-        if end < 0:
-            break
-        out.append(text[at : end + 1])
-        at = end + 1
-    out.append(text[at:])
-    return out
+def decided(whole: Map, lang: str) -> bool:
+    """Whether the map of a whole file is that of a valid one."""
+    if lang == "python":
+        broken, head, tail, _ = whole["|0"]
+        return not broken and python_parses(head) and (tail is None or python_parses(tail))
+    broken, s, _, end = whole[""]
+    return not broken and end in ("", "?>") and not _LEFT.search(s) and grammar(lang).top(s)
 
 
-def _gaps(text: str, lang: str) -> Iterator[tuple[int, int]]:
-    """The stretches between the tokens, comments and literals of a text."""
-    if lang == "go":
-        at = 0
-        for m in classes._GO_SCAN.finditer(text):
-            yield at, m.start()
-            at = m.end()
-        yield at, len(text)
-        return
-    rx, _, _ = classes._lexer(lang)
-    at = classes._PHP_HEAD.match(text).end() if lang == "php" else 0
-    for m in rx.finditer(text, at):
-        yield (m.start() if m.lastgroup == "L" else m.end(m.lastgroup)), m.end()
-
-
-def cut_outside_tokens(text: str, lang: str, size: int) -> list[str]:
-    """Chunks of at least ``size`` characters that end with a line break outside every
-    token, so that each chunk reads alone as it does in the whole text."""
-    out, at = [], 0
-    for start, stop in _gaps(text, lang):
-        while (end := text.find("\n", max(start, at + size - 1), stop)) >= 0:
-            start = end + 1
-            if text[start : start + 1] != "/":  # a slash is a division or a literal by what stands before it
-                out.append(text[at:start])
-                at = start
-    out.append(text[at:])
-    return out
+def folded(maps: list[Map], lang: str) -> Map:
+    """The map of all chunks, in order."""
+    whole = maps[0]
+    for m in maps[1:]:
+        whole = compose(whole, m, lang)
+    return whole
 
 
-def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"file_id": pdf["file_id"], "repo": pdf["repo"], "file": pdf["file"], "lang": pdf["lang"], "valid": [not t or parses(t, la) for t, la in zip(pdf["source"], pdf["lang"])]})
+def runs(text: str, lang: str, size: int = CHUNK_CHARS, many: int = RUN_CHUNKS) -> Iterator[tuple[int, Map]]:
+    """(number, map) of every run of ``many`` chunks of a file."""
+    text = text.replace("\r\n", "\n")
+    parts = cut_at_lines(text, size)
+    states = states_of(text, lang) if len(parts) > 1 else [""]
+    for k in range(0, len(parts), many):
+        yield k // many, folded([summary(part, lang, k + j == 0, states) for j, part in enumerate(parts[k : k + many])], lang)
 
 
-def _chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [
-            (f, r, p, la, k, part)
-            for f, r, p, la, t in zip(pdf["file_id"], pdf["repo"], pdf["file"], pdf["lang"], pdf["source"])
-            for k, part in enumerate(cut_outside_tokens(t.replace("\r\n", "\n"), la, size))
-        ]
-        yield pd.DataFrame(rows, columns=["file_id", "repo", "file", "lang", "chunk", "part"])
+_RUNS = "file_id long, repo string, file string, ext string, lang string, at timestamp, digest long, valid boolean, run struct<n:int,map:string>"
 
 
-def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _summaries(batches: Iterator[pd.DataFrame], relabelled: Bits | None, size: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for f, r, p, la, k, part in zip(pdf["file_id"], pdf["repo"], pdf["file"], pdf["lang"], pdf["chunk"], pdf["part"]):
-            # no cut lies inside a construct, so only the state code is needed, and what a chunk leaves open is never closed
-            s = classes.token_classes(_begun(part, la, k == 0), la)
-            rows.append((f, r, p, la, k, "", s is None, grammar(la).reduce(s) if s else "", ""))
-        yield pd.DataFrame(rows, columns=["file_id", "repo", "file", "lang", "chunk", "state", "broken", "classes", "end_state"])
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    one = pdf.iloc[0]
-    maps = [{x.state: (None if x.broken else x.classes, x.end_state) for x in part.itertuples()} for _, part in pdf.sort_values("chunk").groupby("chunk", sort=True)]
-    return pd.DataFrame([(one.file_id, one.repo, one.file, one.lang, folded(maps, one.lang))], columns=["file_id", "repo", "file", "lang", "valid"])
+        other = relabelled.has(pdf["h"].to_numpy(np.int64).view(np.uint64)) if relabelled else np.zeros(len(pdf), bool)
+        for ident, repo, file, ext, text, at, digest, many in zip(pdf["file_id"], pdf["repo"], pdf["file"], pdf["ext"], pdf["source"], pdf["at"], pdf["digest"], other):
+            for lang in PROGRAMMING if many else (ext,):
+                if lang is None:
+                    continue
+                got = list(runs(text, lang, size)) if text else []
+                if len(got) < 2:  # nothing left to compose with
+                    rows.append((ident, repo, file, ext, lang, at, digest, not got or decided(got[0][1], lang), None))
+                else:
+                    rows += [(ident, repo, file, ext, lang, at, digest, None, (n, json.dumps(m))) for n, m in got]
+        yield pd.DataFrame(rows, columns=["file_id", "repo", "file", "ext", "lang", "at", "digest", "valid", "run"])
+
+
+def _reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        valid = []
+        for lang, known, parts in zip(pdf["lang"], pdf["valid"], pdf["runs"]):
+            if parts is not None and len(parts):
+                known = decided(folded([{k: tuple(v) for k, v in json.loads(x["map"]).items()} for x in sorted(parts, key=lambda x: x["n"])], lang), lang)
+            valid.append(bool(known))
+        yield pdf.drop(columns=["valid", "runs"]).assign(valid=valid)
 
 
 def extension_language(file: Column) -> Column:
@@ -233,16 +378,28 @@ def stated_language(results: DataFrame) -> DataFrame:
 
 def syntax_verdicts(files: DataFrame, results: DataFrame | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(file_id, repo, file, lang, valid) of every source file of the eight languages."""
-    rows = files.select("file_id", "repo", "file", F.col("source").cast("string").alias("source"), extension_language(F.col("file")).alias("lang")).filter("file_id is not null")
+    at = F.col("loaded_at") if "loaded_at" in files.columns else F.lit(None)
+    rows = files.select("file_id", "repo", "file", extension_language(F.col("file")).alias("ext"), F.col("source").cast("string").alias("source"), at.cast("timestamp").alias("at")).filter("file_id is not null")
+    stated, bits = None, None
     if results is not None:
-        rows = join_small(rows, stated_language(results), ["file_id"], "left").withColumn("lang", F.coalesce("stated", "lang")).drop("stated")
-    rows = rows.filter("lang is not null").select("file_id", "repo", "file", "lang", "source")
-    out = "file_id long, repo string, file string, lang string, valid boolean"
-    long = (F.length("source") > chunk_chars) & (F.col("lang") != "python")
-    short = rows.filter(~F.coalesce(long, F.lit(False))).mapInPandas(_check, out)
-    chunks = rows.filter(long).dropDuplicates(["file_id"]).mapInPandas(lambda it: _chunks(it, chunk_chars), "file_id long, repo string, file string, lang string, chunk int, part string")
-    maps = chunks.repartition("file_id", "chunk").mapInPandas(_summaries, "file_id long, repo string, file string, lang string, chunk int, state string, broken boolean, classes string, end_state string")
-    return short.unionByName(maps.groupBy("file_id").applyInPandas(_fold, out)).dropDuplicates(["file_id"])
+        stated = cut(stated_language(results))
+        # about 64 bits an id, up to 16 MB
+        size = 1 << min(27, max(16, (64 * stated.count()).bit_length()))
+        bits = Bits.of(stated.select(F.xxhash64("file_id").alias("h")), size, (5, 33))
+    shared = files.sparkSession.sparkContext.broadcast(bits)
+    rows = rows.withColumn("digest", F.xxhash64("source")).withColumn("h", F.xxhash64("file_id"))
+    if stated is None:
+        rows = rows.filter("ext is not null")
+    per_run = rows.mapInPandas(lambda it: _summaries(it, shared.value, chunk_chars), _RUNS)
+    # copies of one content first, then the content loaded last
+    each = per_run.groupBy("file_id", "ext", "lang", "at", "digest").agg(F.max(F.struct("repo", "file")).alias("f"), F.max("valid").alias("valid"), F.collect_set("run").alias("runs"))
+    last = each.groupBy("file_id", "lang").agg(F.max_by(F.struct("ext", "f", "valid", "runs"), F.struct("at", "digest")).alias("x"))
+    flat = last.select("file_id", "lang", "x.ext", "x.f.repo", "x.f.file", "x.valid", "x.runs")
+    done = flat.mapInPandas(_reduce, "file_id long, lang string, ext string, repo string, file string, valid boolean")
+    if stated is None:
+        return done.select("file_id", "repo", "file", "lang", "valid")
+    # each file once among the stated ones and at most eight times among the others
+    return join_small(done, stated, ["file_id"], "left", even=True).filter(F.col("lang") == F.coalesce("stated", "ext")).select("file_id", "repo", "file", "lang", "valid")
 
 
 def broken_rates(verdicts: DataFrame) -> DataFrame:
