@@ -219,6 +219,9 @@ def test_evidence_of_single_files():
         assert max(range(5), key=lambda k: e[k]) == label, (label, e)
 
 
+TABLES = ([[1.0 + (3 * a + 2 * b) % 5 + 4 * (a == b) for b in range(5)] for a in range(5)], [[2.0 + (a + 3 * b) % 4 + 5 * (a == b) for b in range(5)] for a in range(5)])
+
+
 def brute_beliefs(files):
     """Sum-product by enumeration of all directory labels: psi over (dir, parent) and (file, dir)."""
     import itertools
@@ -230,8 +233,8 @@ def brute_beliefs(files):
         w = 1.0
         for d in dirs:
             if d:
-                w *= provenance.AFFINITY_DIR if at[d] == at[d.rpartition("/")[0]] else 1.0
-        local = {f: np.exp(e) * np.where(np.arange(5) == at[d], provenance.AFFINITY_FILE, 1.0) for f, d, e in files}
+                w *= TABLES[1][at[d.rpartition("/")[0]]][at[d]]
+        local = {f: np.exp(e) * np.array(TABLES[0][at[d]]) for f, d, e in files}
         total = w * np.prod([v.sum() for v in local.values()])
         for f, v in local.items():
             out[f] += total * v / v.sum()
@@ -243,7 +246,7 @@ def test_propagation_equals_enumeration(spark):
     where = ["", "a", "a/b", "a/b", "c/d", "c/d", "a"]
     files = [(k, d, rng.normal(0, 1.5, 5)) for k, d in enumerate(where)]
     df = spark.createDataFrame([(k, "r", d, True, *map(float, e)) for k, d, e in files], "file_id long, repo string, dir string, valid boolean, " + ", ".join(f"{c} double" for c in provenance.E))
-    got = {r.file_id: (r.label, r.confidence) for r in provenance.propagate(df).collect()}
+    got = {r.file_id: (r.label, r.confidence) for r in provenance.propagate(df, TABLES).collect()}
     for k, p in brute_beliefs(files).items():
         assert got[k][0] == provenance.LABELS[int(p.argmax())] and abs(got[k][1] - p.max()) < 1e-6
     assert provenance.propagate(df.limit(0)).count() == 0
@@ -258,8 +261,26 @@ def test_file_labels(spark):
 
 def test_siblings_pull_an_unsure_file(spark):
     cols = "file_id long, repo string, dir string, valid boolean, " + ", ".join(f"{c} double" for c in provenance.E)
+    tables = provenance.EVEN, provenance.EVEN
     sure, unsure = [-5.0, 0.0, -5.0, -5.0, -5.0], [0.3, 0.0, -5.0, -5.0, -5.0]
     alone = spark.createDataFrame([(1, "r", "d", True, *unsure)], cols)
     many = spark.createDataFrame([(1, "r", "d", True, *unsure)] + [(k, "r", "d", True, *sure) for k in range(2, 8)], cols)
-    assert provenance.propagate(alone).first().label == "handwritten"
-    assert provenance.propagate(many).filter(F.col("file_id") == 1).first().label == "generated"
+    assert provenance.propagate(alone, tables).first().label == "handwritten"
+    assert provenance.propagate(many, tables).filter(F.col("file_id") == 1).first().label == "generated"
+
+
+def test_compatibilities_are_counted(spark):
+    n = lambda *x: [float(v) for v in x]
+    rows = [("r", "", "", n(4, 0, 0, 0, 0)), ("r", "a", "", n(6, 0, 0, 0, 0)), ("r", "a/v", "a", n(0, 0, 0, 5, 0)), ("r", "a/v/w", "a/v", n(0, 0, 0, 2, 0)), ("s", "g", "", n(1, 1, 0, 0, 0)), ("s", "h", "", n(0, 1, 0, 0, 0))]
+    of_file, of_dir = provenance.compatibilities(spark.createDataFrame(rows, "repo string, dir string, parent string, n array<double>"))
+    assert of_file[3][3] > 1 > of_file[3][0] and of_file[0][0] > 1 and all(1 / provenance.MOST_RATIO <= x <= provenance.MOST_RATIO for t in (of_file, of_dir) for r in t for x in r)
+    assert of_dir[3][3] > of_dir[0][3] and provenance.ratios([[0.0] * 5] * 5) == [[1.0] * 5] * 5
+
+
+def test_directory_names_reach_files_below(spark):
+    cols = "file_id long, repo string, dir string, valid boolean, " + ", ".join(f"{c} double" for c in provenance.E)
+    unsure = [0.4, -9.0, -9.0, 0.0, -9.0]
+    df = spark.createDataFrame([(1, "r", "third_party/x", True, *unsure), (2, "r", "src/x", True, *unsure)], cols)
+    got = {r.file_id: (r.alone, r.label) for r in provenance.propagate(df, (provenance.EVEN, provenance.EVEN)).collect()}
+    assert got == {1: ("handwritten", "vendored"), 2: ("handwritten", "handwritten")}
+    assert sorted(map(tuple, provenance.changes(provenance.propagate(df, (provenance.EVEN, provenance.EVEN))).collect())) == [("handwritten", "handwritten", 1, 0), ("handwritten", "vendored", 1, 1)]

@@ -2,20 +2,23 @@
 propagation over directory trees.
 
 Each file gives log evidence for the five labels from its text (density of white space,
-share of literals, repetition of line shapes, banners) and its name. Each directory has a
-hidden label of the same kind; a file's label is compatible with its directory's, a
-directory's with its parent's. The tree is exact for sum-product: messages go up level by
+share of literals, repetition of line shapes, banners) and its own name. Each directory has a
+hidden label of the same kind, with evidence of its own from its name; a file's label is compatible
+with its directory's, a directory's with its parent's, in both directions by a table of its own.
+The tables are counted, over all data: how often files that are sure alone stand beside others, and
+directories below others, against chance. The tree is exact for sum-product: messages go up level by
 level (sums per directory, pre-aggregated before the shuffle), then down, and every file's
 belief is its evidence times the message that its directory sends. Siblings speak to each
 other through their directory.
 
-Rows of files are only ever grouped by (repo, directory) into five sums, so neither a repo
+Rows of files are only ever grouped by (repo, directory) into sums, so neither a repo
 nor a directory with a third of all files is gathered in one task.
 
-Defined results: null or empty texts give no evidence and are handwritten; configuration
-files, unknown kinds and rows with null ids are left out; a null repo or path counts as an
-empty one; copies of a file_id count once; files that don't parse keep their label but
-are no findings (only files that may become findings are parsed).
+Defined results: null or empty texts give no evidence and are handwritten, as far as their directory
+lets them; configuration files, unknown kinds and rows with null ids are left out; a null repo or path
+counts as an empty one; of copies of a file_id the one loaded last counts (if there is a ``loaded_at``);
+the language is the one that the results state, else that of the extension; files that don't parse keep
+their label but are no findings; only files that may become findings are parsed, ``valid`` is null for others.
 """
 
 from __future__ import annotations
@@ -23,21 +26,25 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.cluster import cut, join_small
-from treeline.llm.syntax import extension_language, parses
+from treeline.cluster import HOT_SHARE, cut, join_small
+from treeline.llm.bits import Bits
+from treeline.llm.syntax import asked_languages, of_stated_language, parses, with_languages
 from treeline.parsers.spans import spans
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-#: Prior of each label, and how much likelier neighbours share a label than not.
+#: Prior of each label; least belief of a file that is sure alone; how far a compatibility may be from chance, and what is added to each count.
 PRIOR = (0.80, 0.07, 0.04, 0.06, 0.03)
-AFFINITY_FILE = 2.5
-AFFINITY_DIR = 3.0
+SURE = 0.95
+MOST_RATIO = 6.0
+SMOOTHING = 1.0
+#: What a directory of a telling name says.
+NAMED = 1.5
 
 # Words of banners that tools write, in several languages.
 _TOOL = re.compile(
@@ -46,10 +53,11 @@ _TOOL = re.compile(
 _KEEP_OFF = re.compile(r"(?i)do not (?:edit|modify)|don't edit|edit the (?:template|source)|manual (?:edits|changes)|overwritten|will be lost|nicht von hand|nie zmieniaj|не редагуйте|не редактируйте|ne (?:pas|le) modifi|no (?:lo )?edit|não (?:o )?edite|请勿|編集しない|@generated")
 _RELEASE = re.compile(r"\A\W*([A-Za-z][\w.-]*)\s+v?\d+\.\d+(?:\.\d+)?\b")
 _LICENCE = re.compile(r"\b(?:MIT|BSD|Apache|ISC|GPL|LGPL|MPL)\b(?:-\d)?")
-_VENDOR_DIR = re.compile(r"(?:^|/)(?:vendor|third[_-]?party|node_modules|ext|externals?|deps|bower_components|contrib)/")
+# Names of directories for third-party copies, and for what tools make.
+_VENDOR_DIR = r"(?:^|/)(?:vendor|third[_-]?party|node_modules|ext|externals?|deps|bower_components|contrib)$"
+_GEN_DIR = r"(?:^|/)(?:generated|gen|target)$"
 _MIN_NAME = re.compile(r"[.\-](?:min|bundle|prod|packed)\.\w+$")
 _GEN_NAME = re.compile(r"(?:\.pb|_pb2|\.gen|\.g|_generated|\.generated)\.\w+$")
-_GEN_DIR = re.compile(r"(?:^|/)(?:generated|gen)/|(?:^|/)target/")
 _DATA_NAME = re.compile(r"_(?:table|data|blob|dump)\.\w+$")
 
 _KEPT = frozenset("if for while return function def func int const class local let var try catch except raise throw import from use package static final export double void else in range then do print new".split())
@@ -136,46 +144,96 @@ def evidence(text: str | None, lang: str, file: str) -> list[float]:
                 vend += 2
         if not vend:
             vend -= 3
-    if _VENDOR_DIR.search(file):
-        vend += 2.5
     if _MIN_NAME.search(file):
         small += 1.5
     if _GEN_NAME.search(file):
         gen += 1.5
-    if _GEN_DIR.search(file):
-        gen += 1.0
     if _DATA_NAME.search(file):
         blob += 1.0
     return [math.log(p) + e for p, e in zip(PRIOR, (hand, gen, small, vend, blob))]
 
 
 E = [f"e{k}" for k in range(len(LABELS))]
-EVIDENCE_SCHEMA = "file_id long, repo string, dir string, valid boolean, " + ", ".join(f"{e} double" for e in E)
+EVIDENCE_SCHEMA = "file_id long, repo string, dir string, ext string, lang string, at timestamp, digest long, valid boolean, " + ", ".join(f"{e} double" for e in E)
 
 
-def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _evidence(batches: Iterator[pd.DataFrame], relabelled: Bits | None) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for ident, repo, file, lang, text in zip(pdf["file_id"], pdf["repo"], pdf["file"], pdf["lang"], pdf["source"]):
-            e = evidence(text, lang, file)
-            # what a directory says can shift a file's log odds by log(AFFINITY_FILE) at most; only files that may become findings need to parse
-            ok = not text or e[0] > max(e[1:]) + math.log(AFFINITY_FILE) or parses(text, lang)
-            rows.append((ident, repo, file.rpartition("/")[0], ok, *e))
-        yield pd.DataFrame(rows, columns=["file_id", "repo", "dir", "valid", *E])
+        for ident, repo, file, ext, at, digest, text, langs in asked_languages(pdf, relabelled, ["file_id", "repo", "file", "ext", "at", "digest", "source"]):
+            for lang in langs:
+                e = evidence(text, lang, file)
+                # no directory can make more than this of a file; the others are surely handwritten
+                ok = True if not text else parses(text, lang) if e[0] <= max(e[1:]) + 2 * math.log(MOST_RATIO) else None
+                rows.append((ident, repo, file.rpartition("/")[0], ext, lang, at, digest, ok, *e))
+        yield pd.DataFrame(rows, columns=["file_id", "repo", "dir", "ext", "lang", "at", "digest", "valid", *E]).astype({"valid": object})
 
 
-def file_evidence(files: DataFrame) -> DataFrame:
+def file_evidence(files: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """(file_id, repo, dir, valid, e0 .. e4): one row per source file of a programming language."""
     path = F.replace(F.coalesce("file", F.lit("")), F.lit("\\"), F.lit("/"))
-    rows = files.select("file_id", F.coalesce("repo", F.lit("")).alias("repo"), path.alias("file"), extension_language(path).alias("lang"), F.col("source").cast("string").alias("source"))
-    return rows.filter("file_id is not null and lang is not null").mapInPandas(_evidence, EVIDENCE_SCHEMA).dropDuplicates(["file_id"])
+    rows, stated, shared = with_languages(files.withColumns({"repo": F.coalesce("repo", F.lit("")), "file": path}), results)
+    each = rows.mapInPandas(lambda it: _evidence(it, shared.value), EVIDENCE_SCHEMA)
+    last = each.groupBy("file_id", "lang").agg(F.max_by(F.struct("ext", "repo", "dir", "valid", *E), F.struct("at", "digest")).alias("x")).select("file_id", "lang", "x.*")
+    return of_stated_language(last, stated).select("file_id", "repo", "dir", "valid", *E)
 
 
-def message(x: Column, affinity: float) -> Column:
-    """Log message over a compatibility: for each label log(sum over labels of psi * exp(x)), on arrays by label."""
+# compatibilities ------------------------------------------------------------------------------
+
+Table = list[list[float]]
+EVEN: Table = [[MOST_RATIO if a == b else 1.0 for b in range(len(LABELS))] for a in range(len(LABELS))]
+
+
+def softmax(x: Column | str) -> Column:
+    """Beliefs from log beliefs."""
+    x = F.col(x) if isinstance(x, str) else x
     top = F.array_max(x)
     total = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    return F.transform(x, lambda v: F.log(total + (affinity - 1) * F.exp(v - top)) + top)
+    return F.transform(x, lambda v: F.exp(v - top) / total)
+
+
+def ratios(counts: Table) -> Table:
+    """How much likelier two labels stand together than by chance, within MOST_RATIO either way."""
+    n = range(len(LABELS))
+    c = [[counts[a][b] + SMOOTHING for b in n] for a in n]
+    rows, cols = [sum(c[a]) for a in n], [sum(c[a][b] for a in n) for b in n]
+    total = sum(rows)
+    return [[min(MOST_RATIO, max(1 / MOST_RATIO, c[a][b] * total / (rows[a] * cols[b]))) for b in n] for a in n]
+
+
+def _pairs(df: DataFrame, cell: Callable[[int, int], Column]) -> Table:
+    """25 sums: one row comes to the driver."""
+    n = range(len(LABELS))
+    row = df.agg(*[F.coalesce(F.sum(cell(a, b)), F.lit(0.0)).alias(f"c{a}{b}") for a in n for b in n]).first()
+    return [[float(row[f"c{a}{b}"]) for b in n] for a in n]
+
+
+def compatibilities(local: DataFrame) -> tuple[Table, Table]:
+    """(directory's label by file's, parent's by child's) from local(repo, dir, parent, n): how many files of each
+    directory are sure alone, by label. A file's directory is known by its other files, each directory counts once."""
+    size = F.aggregate("n", F.lit(0.0), lambda a, v: a + v)
+    dirs = local.withColumn("size", size)
+    file_table = _pairs(dirs.filter("size > 1"), lambda a, b: F.col("n")[a] * (F.col("n")[b] - (1 if a == b else 0)) / (F.col("size") * (F.col("size") - 1)))
+    above = dirs.filter("size > 0").select("repo", F.col("dir").alias("parent"), F.col("n").alias("pn"), F.col("size").alias("ps"))
+    below = dirs.filter("size > 0 and dir != ''").join(above, ["repo", "parent"])
+    dir_table = _pairs(below, lambda a, b: F.col("pn")[a] * F.col("n")[b] / (F.col("ps") * F.col("size")))
+    return ratios(file_table), ratios(dir_table)
+
+
+def message(x: Column, table: Table, up: bool) -> Column:
+    """Log message over a compatibility table (upper label by lower label), on arrays by label: to the upper
+    end log(sum over lower labels of psi * exp(x)), or the other way round."""
+    top = F.array_max(x)
+    n = range(len(LABELS))
+    p = F.transform(x, lambda v: F.exp(v - top))
+
+    def cell(k: int) -> Column:
+        out = F.lit(0.0)
+        for j in n:
+            out = out + F.lit(table[k][j] if up else table[j][k]) * p[j]
+        return F.log(out) + top
+
+    return F.array(*[cell(k) for k in n])
 
 
 def summed(name: str) -> Column:
@@ -191,40 +249,61 @@ def minus(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
-def propagate(evidence: DataFrame) -> DataFrame:
-    """(file_id, label, confidence, valid): every file's belief after exact sum-product."""
+def _label(x: Column | str) -> Column:
+    x = F.col(x) if isinstance(x, str) else x
+    return F.element_at(F.array(*[F.lit(la) for la in LABELS]), F.array_position(x, F.array_max(x)).cast("int"))
+
+
+def _parent(d: str) -> Column:
+    return F.when(F.contains(d, F.lit("/")), F.regexp_extract(d, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
+
+
+def propagate(evidence: DataFrame, tables: tuple[Table, Table] | None = None) -> DataFrame:
+    """(file_id, label, confidence, alone, valid): every file's belief after exact sum-product, and its label without the tree.
+
+    ``tables`` are the compatibilities of directories and files, and of parents and children; they are counted if not given."""
     zero = F.array(*[F.lit(0.0)] * len(LABELS))
-    files = evidence.select("file_id", "repo", "dir", "valid", F.array(*E).alias("e")).withColumn("m", message(F.col("e"), AFFINITY_FILE))
-    local = files.groupBy("repo", "dir").agg(summed("m").alias("s"))
+    files = evidence.select("file_id", "repo", "dir", "valid", F.array(*E).alias("e"))
+    if tables is None:
+        sure = F.transform(softmax("e"), lambda p: F.when(p >= SURE, 1.0).otherwise(0.0))
+        alone = cut(files.withColumn("sure", sure).groupBy("repo", "dir").agg(summed("sure").alias("n")).withColumn("parent", _parent("dir")))
+        tables = compatibilities(alone)
+    of_file, of_dir = tables
+    files = files.withColumn("m", message(F.col("e"), of_file, True))
+    local = cut(files.groupBy("repo", "dir").agg(summed("m").alias("s"), F.count("*").alias("n")))
     # directories without files of their own stand between others and the root
     parts = F.split("dir", "/")
     every = local.select("repo", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir")).distinct()
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
-    parent = F.when(F.col("dir").contains("/"), F.regexp_extract("dir", r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
-    dirs = cut(every.join(local, ["repo", "dir"], "left").select("repo", "dir", depth.alias("depth"), parent.alias("parent"), F.coalesce("s", zero).alias("s")))
+    named = F.array(*[F.when(F.col("dir").rlike(rx), F.lit(NAMED)).otherwise(F.lit(0.0)) if rx else F.lit(0.0) for rx in (None, _GEN_DIR, None, _VENDOR_DIR, None)])
+    dirs = cut(every.join(local, ["repo", "dir"], "left").select("repo", "dir", depth.alias("depth"), _parent("dir").alias("parent"), plus(F.coalesce("s", zero), named).alias("s"), "n"))
     deepest = dirs.agg(F.max("depth")).first()[0] or 0
     levels = {deepest: dirs.filter(F.col("depth") == deepest)}
     for d in range(deepest, 0, -1):  # up: what the children say is added to the parent
-        sent = levels[d].select("repo", F.col("parent").alias("dir"), message(F.col("s"), AFFINITY_DIR).alias("m")).groupBy("repo", "dir").agg(summed("m").alias("m"))
-        levels[d - 1] = cut(dirs.filter(F.col("depth") == d - 1).join(sent, ["repo", "dir"], "left").select("repo", "dir", "depth", "parent", plus("s", F.coalesce("m", zero)).alias("s")))
-    beliefs = levels[0].select("repo", "dir", F.col("s").alias("b"))
+        sent = levels[d].select("repo", F.col("parent").alias("dir"), message(F.col("s"), of_dir, True).alias("m")).groupBy("repo", "dir").agg(summed("m").alias("m"))
+        levels[d - 1] = cut(dirs.filter(F.col("depth") == d - 1).join(sent, ["repo", "dir"], "left").select("repo", "dir", "depth", "parent", plus("s", F.coalesce("m", zero)).alias("s"), "n"))
+    beliefs = levels[0].select("repo", "dir", F.col("s").alias("b"), "n")
     out = beliefs
     for d in range(1, deepest + 1):  # down: the parent's belief without what this child said
         above = beliefs.select("repo", F.col("dir").alias("parent"), F.col("b").alias("p"))
-        own = levels[d].select("repo", "dir", "parent", "s", message(F.col("s"), AFFINITY_DIR).alias("m"))
-        joined = own.join(above, ["repo", "parent"]).select("repo", "dir", "s", minus("p", "m").alias("x"))
-        beliefs = cut(joined.select("repo", "dir", plus("s", message(F.col("x"), AFFINITY_DIR)).alias("b")))
+        own = levels[d].select("repo", "dir", "parent", "s", "n", message(F.col("s"), of_dir, True).alias("m"))
+        joined = own.join(above, ["repo", "parent"]).select("repo", "dir", "s", "n", minus("p", "m").alias("x"))
+        beliefs = cut(joined.select("repo", "dir", plus("s", message(F.col("x"), of_dir, False)).alias("b"), "n"))
         out = out.unionByName(beliefs)
-    both = join_small(files, out, ["repo", "dir"]).select("file_id", "valid", "e", minus("b", "m").alias("x"))
-    final = both.select("file_id", "valid", plus("e", message(F.col("x"), AFFINITY_FILE)).alias("f"))
-    top = F.array_max("f")
-    names = F.array(*[F.lit(x) for x in LABELS])
-    total = F.aggregate("f", F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    return final.select("file_id", F.element_at(names, F.array_position("f", top).cast("int")).alias("label"), (1 / total).alias("confidence"), "valid")
+    most = local.agg((F.coalesce(F.sum("n"), F.lit(0)) / HOT_SHARE).alias("x")).first().x
+    hot = local.filter(F.col("n") > most).select("repo", "dir")
+    both = join_small(files, out.drop("n"), ["repo", "dir"], hot=hot).select("file_id", "valid", "e", minus("b", "m").alias("x"))
+    final = both.select("file_id", "valid", "e", plus("e", message(F.col("x"), of_file, False)).alias("f"))
+    return final.select("file_id", _label("f").alias("label"), F.array_max(softmax("f")).alias("confidence"), _label("e").alias("alone"), "valid")
+
+
+def file_labels(files: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    return propagate(cut(file_evidence(files, results)))
 
 
-def file_labels(files: DataFrame) -> DataFrame:
-    return propagate(cut(file_evidence(files)))
+def changes(labels: DataFrame) -> DataFrame:
+    """(alone, label, files, findings): what the tree makes of what files are alone."""
+    return labels.groupBy("alone", "label").agg(F.count("*").alias("files"), F.count_if(F.coalesce("valid", F.lit(False)) & (F.col("label") != "handwritten")).alias("findings"))
 
 
 def not_handwritten(labels: DataFrame) -> DataFrame:

@@ -36,12 +36,16 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return hidden_text.language_shares(hidden_text.source_text(table(spark, d, "source_files"), _encoders(spark, d))).withColumnRenamed("record_id", "file_id")
 
 
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.file_labels(table(spark, d, "source_files"), table(spark, d, "file_results"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.not_handwritten(provenance.file_labels(table(spark, d, "source_files"))).select("file_id")
+    return provenance.not_handwritten(p2_labels(spark, d)).select("file_id")
 
 
-def p2_labels(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.file_labels(table(spark, d, "source_files"))
+def p2_changes(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.changes(p2_labels(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +115,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_shares, p2_found, p2_labels, p3_found, p3_redacted, p6_found, p6_shares, p6_components, p6_recall, p7_found, p7_rates,
+    p1_found, p1_shares, p2_found, p2_labels, p2_changes, p3_found, p3_redacted, p6_found, p6_shares, p6_components, p6_recall, p7_found, p7_rates,
     p8_found, p8_items, p8_reworded, p9_copies, p9_shares, p10_found, p10_documents, p10_segments,
 )
 QUERIES = {f.__name__: f for f in _ALL}

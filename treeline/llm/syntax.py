@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -335,11 +336,8 @@ _RUNS = "file_id long, repo string, file string, ext string, lang string, at tim
 def _summaries(batches: Iterator[pd.DataFrame], relabelled: Bits | None, size: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        other = relabelled.has(pdf["h"].to_numpy(np.int64).view(np.uint64)) if relabelled else np.zeros(len(pdf), bool)
-        for ident, repo, file, ext, text, at, digest, many in zip(pdf["file_id"], pdf["repo"], pdf["file"], pdf["ext"], pdf["source"], pdf["at"], pdf["digest"], other):
-            for lang in PROGRAMMING if many else (ext,):
-                if lang is None:
-                    continue
+        for ident, repo, file, ext, text, at, digest, langs in asked_languages(pdf, relabelled, ["file_id", "repo", "file", "ext", "source", "at", "digest"]):
+            for lang in langs:
                 got = list(runs(text, lang, size)) if text else []
                 if len(got) < 2:  # nothing left to compose with
                     rows.append((ident, repo, file, ext, lang, at, digest, not got or decided(got[0][1], lang), None))
@@ -376,30 +374,50 @@ def stated_language(results: DataFrame) -> DataFrame:
     return last.select("file_id", "x.*").filter("ext is null or stated != ext").select("file_id", "stated")
 
 
-def syntax_verdicts(files: DataFrame, results: DataFrame | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(file_id, repo, file, lang, valid) of every source file of the eight languages."""
+def with_languages(files: DataFrame, results: DataFrame | None) -> tuple[DataFrame, DataFrame | None, Broadcast]:
+    """(rows with ``ext``, ``source``, ``at``, ``digest``, ``h``; stated languages; a bitmap of the ids that have one).
+
+    A worker can't know a stated language, only that there may be one: see ``asked_languages`` and ``of_stated_language``."""
     at = F.col("loaded_at") if "loaded_at" in files.columns else F.lit(None)
     rows = files.select("file_id", "repo", "file", extension_language(F.col("file")).alias("ext"), F.col("source").cast("string").alias("source"), at.cast("timestamp").alias("at")).filter("file_id is not null")
+    rows = rows.withColumn("digest", F.xxhash64("source")).withColumn("h", F.xxhash64("file_id"))
     stated, bits = None, None
-    if results is not None:
+    if results is None:
+        rows = rows.filter("ext is not null")
+    else:
         stated = cut(stated_language(results))
         # about 64 bits an id, up to 16 MB
         size = 1 << min(27, max(16, (64 * stated.count()).bit_length()))
         bits = Bits.of(stated.select(F.xxhash64("file_id").alias("h")), size, (5, 33))
-    shared = files.sparkSession.sparkContext.broadcast(bits)
-    rows = rows.withColumn("digest", F.xxhash64("source")).withColumn("h", F.xxhash64("file_id"))
+    return rows, stated, files.sparkSession.sparkContext.broadcast(bits)
+
+
+def asked_languages(pdf: pd.DataFrame, relabelled: Bits | None, columns: list[str]) -> Iterator[tuple]:
+    """The columns' values and the languages to read each file in: its extension's, or all where another may be stated."""
+    many = relabelled.has(pdf["h"].to_numpy(np.int64).view(np.uint64)) if relabelled else np.zeros(len(pdf), bool)
+    for *row, ext, m in zip(*(pdf[c] for c in columns), pdf["ext"], many):
+        langs = PROGRAMMING if m else (ext,) if ext else ()
+        if langs:
+            yield *row, langs
+
+
+def of_stated_language(rows: DataFrame, stated: DataFrame | None) -> DataFrame:
+    """Of rows(file_id, ext, lang) those in the language that counts; each file has eight rows at most."""
     if stated is None:
-        rows = rows.filter("ext is not null")
+        return rows
+    return join_small(rows, stated, ["file_id"], "left", even=True).filter(F.col("lang") == F.coalesce("stated", "ext"))
+
+
+def syntax_verdicts(files: DataFrame, results: DataFrame | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(file_id, repo, file, lang, valid) of every source file of the eight languages."""
+    rows, stated, shared = with_languages(files, results)
     per_run = rows.mapInPandas(lambda it: _summaries(it, shared.value, chunk_chars), _RUNS)
     # copies of one content first, then the content loaded last
     each = per_run.groupBy("file_id", "ext", "lang", "at", "digest").agg(F.max(F.struct("repo", "file")).alias("f"), F.max("valid").alias("valid"), F.collect_set("run").alias("runs"))
     last = each.groupBy("file_id", "lang").agg(F.max_by(F.struct("ext", "f", "valid", "runs"), F.struct("at", "digest")).alias("x"))
     flat = last.select("file_id", "lang", "x.ext", "x.f.repo", "x.f.file", "x.valid", "x.runs")
     done = flat.mapInPandas(_reduce, "file_id long, lang string, ext string, repo string, file string, valid boolean")
-    if stated is None:
-        return done.select("file_id", "repo", "file", "lang", "valid")
-    # each file once among the stated ones and at most eight times among the others
-    return join_small(done, stated, ["file_id"], "left", even=True).filter(F.col("lang") == F.coalesce("stated", "ext")).select("file_id", "repo", "file", "lang", "valid")
+    return of_stated_language(done, stated).select("file_id", "repo", "file", "lang", "valid")
 
 
 def broken_rates(verdicts: DataFrame) -> DataFrame:
