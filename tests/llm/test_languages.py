@@ -1,5 +1,6 @@
 """Hidden text and document languages: held-out sentences, edge cases."""
 
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,28 @@ def test_every_document_has_a_language(spark):
 def test_inline_ticks_are_no_fence():
     text = "```x = 1``` is what the reader reports here\nevery duplicate line is reported before the file"
     assert [k for k, _ in doc_language.prose_lines(text)] == [1, 2]
+
+
+def test_code_is_told_by_its_dictionary():
+    rng = random.Random(3)
+    word = lambda: rng.choice("offset window token ledger buffer policy header cursor record marker".split())
+    name = lambda: rng.choice(["merge", "count", "bind", "trim"]) + word().title() + rng.choice(["Vuve", "Boda", "Suli"])
+    shapes = ["let {a}: number = {x} + {y};", "int {a}(int {x}, int {y}, int {z}) {{", "export function {a}({x}: number, {y}: number): number {{", "for (const {x} of {y}) {{ return {a}({x}, {z}); }}"]
+    line = lambda: rng.choice(shapes).format(a=name(), x=word(), y=word(), z=word())
+    files = [("a.ts", "\n".join([line() for _ in range(60)] + ["// " + s for _, s in CASES[:3]])) for _ in range(40)]
+    assert not any(s in x for x in hidden_text.code_lines(files) for _, s in CASES[:3])
+    enc = hidden_text.fit([], code=files)
+    assert hidden_text.MARGINS[0] <= enc.margin <= hidden_text.MARGINS[1]
+    held_out = [hidden_text.bare_text(line()) for _ in range(300)]
+    passed = [x for x in held_out if hidden_text.enough(x) and enc.language(x)]
+    assert len(passed) <= 0.1 * len(held_out)
+    assert sum(enc.language(s) is not None for _, s in CASES) >= 0.95 * len(CASES)
+    # words of code in a sentence, and a sentence beside code
+    assert list(hidden_text.text_lines(enc, [(1, "function can be split into smaller steps here")])) and list(hidden_text.text_lines(enc, [(1, "x_1 y_2() z.q the report is written after every run of the tool")]))
+
+
+def test_share_of_the_whole_file(spark):
+    text = "x = 1\n# this comment explains what the next line does\n"
+    df = spark.createDataFrame([(1, "a.py", text)], "file_id long, file string, source string")
+    got = hidden_text.language_shares(hidden_text.source_text(df, hidden_text.fit([]))).first()
+    assert got.share == 1.0 and abs(got.file_share - len("this comment explains what the next line does") / len(text)) < 1e-9

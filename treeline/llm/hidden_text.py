@@ -1,12 +1,14 @@
 """Natural language in comments and string literals, and its language.
 
 Each line of a comment or literal is encoded with one zstandard dictionary per
-language (and one of code); the shortest encoding names the language. A line is kept only
-if that encoding beats the code dictionary by a margin and enough words are left once
+language and one of code; the shortest encoding names the language. A line is code, and left out,
+if the code dictionary's encoding is shorter by a margin; others need the least number of words once
 identifiers, paths, tags and numbers are taken away.
 
-The dictionaries hold own seed texts plus lines of a bounded labelled sample
-(``labels.SAMPLE_ROWS`` documents) whose label the seed dictionaries confirm.
+The dictionaries of languages hold own seed texts plus lines of a bounded labelled sample
+(``labels.SAMPLE_ROWS`` documents) whose label the seed dictionaries confirm. That of code holds own
+seeds (queries, commands) plus what stands outside comments and literals in ``labels.SAMPLE_FILES``
+source files. The margin is fitted on lines of code that the dictionary doesn't hold.
 
 Defined results: null or empty texts and files of unknown kinds give no rows; files whose
 content is not of the kind that their extension names give no rows; copies of an id count
@@ -15,10 +17,12 @@ once; rows with null ids are left out; a line with two languages gives one row f
 
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,13 +30,17 @@ from pyspark.sql import functions as F
 
 from treeline.llm.kinds import content_kind
 from treeline.llm.labels import LANGS, SEEDS
-from treeline.parsers.spans import language_of, span_lines
+from treeline.parsers.spans import PROGRAMMING, language_of, span_lines, spans
 
-#: Bytes of each dictionary, least words or characters of a text, and the margins of the decision.
+#: Bytes of each dictionary, least words or characters of a text.
 DICT_BYTES = 24_000
 MIN_WORDS = 4
 MIN_CHARS = 8
+#: How many bytes a character the code dictionary's encoding must be shorter than the best language's for a line to
+#: be code: the value without a sample of code, the bounds of the fitted one, and the share of code lines it lets pass.
 CODE_MARGIN = 0.0
+MARGINS = (0.01, 0.3)
+CODE_PASSES = 0.05
 
 CODE_SEED = """SELECT id, name FROM users WHERE created > 10 ORDER BY name DESC
 SELECT id, total FROM orders
@@ -88,19 +96,19 @@ def enough(text: str) -> bool:
     """Whether enough natural words are left."""
     if _HIGH.search(text) and len(_CJK.findall(text)) >= MIN_CHARS:
         return True
-    good = sum(1 for w in _WORD.findall(text) if not _CAMEL.search(w))
-    return good >= MIN_WORDS and good * 2 > len(text.split())
+    return sum(1 for w in _WORD.findall(text) if not _CAMEL.search(w)) >= MIN_WORDS
 
 
 class Encoders:
     """One zstandard dictionary per language, and one of code."""
 
-    def __init__(self, content: dict[str, bytes]) -> None:
+    def __init__(self, content: dict[str, bytes], margin: float = CODE_MARGIN) -> None:
         self.content = content
+        self.margin = margin
         self.made: dict[str, zstandard.ZstdCompressor] | None = None
 
     def __getstate__(self) -> dict:
-        return {"content": self.content, "made": None}
+        return {"content": self.content, "margin": self.margin, "made": None}
 
     def compressors(self) -> dict[str, zstandard.ZstdCompressor]:
         if self.made is None:
@@ -126,11 +134,16 @@ class Encoders:
 
     def language(self, text: str) -> str | None:
         """The language of the shortest encoding, or None for what looks like code."""
+        best, lead = self.against_code(text)
+        return best if lead >= -self.margin else None
+
+    def against_code(self, text: str) -> tuple[str, float]:
+        """(language of the shortest encoding, by how many bytes a character it is shorter than that by the code dictionary)."""
         names = self.candidates(text)
         sizes = self.sizes(text, (*names, "code"))
         code = sizes.pop("code")
         best = min(sizes, key=lambda x: (sizes[x], LANGS.index(x)))
-        return best if sizes[best] + CODE_MARGIN * len(text) <= code else None
+        return best, (code - sizes[best]) / max(1, len(text))
 
     def lead(self, text: str, code: str) -> float:
         """How much shorter the encoding in ``code`` is than in any other language, as a share."""
@@ -154,34 +167,68 @@ def seed_encoders() -> Encoders:
     return Encoders({k: v.encode() for k, v in EVEN_SEEDS.items()} | {"code": CODE_SEED.lower().encode()})
 
 
-def fit(sample: list[tuple[str, str]], bytes_each: int = DICT_BYTES) -> Encoders:
-    """Dictionaries from the seed texts and the labelled lines that they confirm.
+def code_lines(files: list[tuple[str, str]]) -> list[str]:
+    """Distinct lines of code of programming languages, without comments and literals."""
+    out: dict[str, None] = {}
+    for file, text in files:
+        lang = language_of(file)
+        if lang not in PROGRAMMING:
+            continue
+        at, parts = 0, []
+        for _, a, b in spans(text, lang):
+            parts.append(text[at:a])
+            at = b
+        out |= dict.fromkeys(x for line in "".join([*parts, text[at:]]).split("\n") if len(x := line.strip()) >= MIN_CHARS)
+    return list(out)
+
+
+def fit(sample: list[tuple[str, str]], bytes_each: int = DICT_BYTES, code: list[tuple[str, str]] = ()) -> Encoders:
+    """Dictionaries from the seed texts and the labelled lines that they confirm, and from code.
 
     A line counts for its label only if that language's encoding is clearly the shortest;
     a second pass asks the dictionaries of the first, as labels may be wrong."""
     enc = seed_encoders()
     lines: dict[str, list[str]] = defaultdict(list)
     held: dict[str, int] = defaultdict(int)
-    for code, text in sample:
-        for line in text.split("\n") if held[code] < 4 * bytes_each else ():
+    for lang, text in sample:
+        for line in text.split("\n") if held[lang] < 4 * bytes_each else ():
             bare = bare_text(line)
             if enough(bare):
-                lines[code].append(bare)
-                held[code] += len(bare.encode())
+                lines[lang].append(bare)
+                held[lang] += len(bare.encode())
+    source = code_lines(code)
+    random.Random(1).shuffle(source)
+    in_code, rest = _upto(source, bytes_each)
+    code_text = (" ".join(x.lower() for x in in_code) + " " + CODE_SEED.lower()).encode()
     for least in (0.08, 0.2):
-        content = {"code": CODE_SEED.lower().encode()}
-        for code in LANGS:
+        content = {"code": code_text}
+        for lang in LANGS:
             # distinct lines, the seed last: what stands at a dictionary's end is cheapest to refer to
-            fresh, size = [], 0
-            for x in dict.fromkeys(lines[code]):
-                if size < bytes_each and enc.lead(x, code) >= least:
-                    fresh.append(x.lower())
-                    size += len(x.encode())
-            content[code] = (" ".join(fresh) + " " + EVEN_SEEDS[code]).encode()
+            sure = [x for x in dict.fromkeys(lines[lang]) if enc.lead(x, lang) >= least]
+            fresh, _ = _upto(sure, bytes_each)
+            content[lang] = (" ".join(x.lower() for x in fresh) + " " + EVEN_SEEDS[lang]).encode()
         enc = Encoders(content)
+    enc.margin = fitted_margin([enc.against_code(x)[1] for x in map(bare_text, rest) if enough(x)])
     return enc
 
 
+def _upto(lines: list[str], size: int) -> tuple[list[str], list[str]]:
+    """The first lines up to a size in bytes, and the others."""
+    held = 0
+    for k, x in enumerate(lines):
+        if held >= size:
+            return lines[:k], lines[k:]
+        held += len(x.encode())
+    return lines, []
+
+
+def fitted_margin(code: list[float]) -> float:
+    """The widest margin that lets at most CODE_PASSES of code lines pass, within MARGINS.
+
+    Natural text needs the room: a short sentence of words that code uses too is no code."""
+    return float(np.clip(-np.quantile(code, 1 - CODE_PASSES), *MARGINS)) if code else CODE_MARGIN
+
+
 def text_lines(enc: Encoders, lines: Iterable[tuple[int, str]]) -> Iterator[tuple[int, str, int]]:
     """(line, language, characters) of the lines that are natural language."""
     for number, raw in lines:
@@ -202,8 +249,8 @@ def _scan_files(batches: Iterator[pd.DataFrame], enc: Encoders) -> Iterator[pd.D
             found: dict[tuple[int, str], int] = {}
             for number, natural, size in text_lines(enc, ((n, t) for _, n, t in span_lines(text, lang))):
                 found[number, natural] = found.get((number, natural), 0) + size
-            out += [(ident, n, la, size) for (n, la), size in found.items()]
-        yield pd.DataFrame(out, columns=["record_id", "line", "lang", "chars"])
+            out += [(ident, n, la, size, len(text)) for (n, la), size in found.items()]
+        yield pd.DataFrame(out, columns=["record_id", "line", "lang", "chars", "text_chars"])
 
 
 def _scan_messages(batches: Iterator[pd.DataFrame], enc: Encoders) -> Iterator[pd.DataFrame]:
@@ -211,15 +258,15 @@ def _scan_messages(batches: Iterator[pd.DataFrame], enc: Encoders) -> Iterator[p
         out = []
         for ident, text in zip(pdf["finding_id"], pdf["message"]):
             if text:
-                out += [(ident, 1, la, size) for _, la, size in text_lines(enc, [(1, text.replace("\n", " "))])]
-        yield pd.DataFrame(out, columns=["record_id", "line", "lang", "chars"])
+                out += [(ident, 1, la, size, len(text)) for _, la, size in text_lines(enc, [(1, text.replace("\n", " "))])]
+        yield pd.DataFrame(out, columns=["record_id", "line", "lang", "chars", "text_chars"])
 
 
-OUT = "record_id long, line int, lang string, chars int"
+OUT = "record_id long, line int, lang string, chars int, text_chars int"
 
 
 def source_text(files: DataFrame, enc: Encoders) -> DataFrame:
-    """(record_id, line, lang, chars) for every line of a source file with natural language."""
+    """(record_id, line, lang, chars, text_chars) for every line of a source file with natural language."""
     rows = files.select("file_id", "file", F.col("source").cast("string").alias("source")).filter("file_id is not null and file is not null and source is not null")
     return rows.mapInPandas(lambda it: _scan_files(it, enc), OUT).dropDuplicates(["record_id", "line", "lang"])
 
@@ -230,11 +277,12 @@ def message_text(findings: DataFrame, enc: Encoders) -> DataFrame:
 
 
 def language_shares(found: DataFrame) -> DataFrame:
-    """(record_id, lang, lines, share of the file's natural-language characters)."""
+    """(record_id, lang, lines, share of the file's natural-language characters, share of all its characters)."""
     from pyspark.sql import Window
 
-    per = found.groupBy("record_id", "lang").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"))
-    return per.withColumn("share", F.col("chars") / F.sum("chars").over(Window.partitionBy("record_id"))).select("record_id", "lang", "lines", "share")
+    per = found.groupBy("record_id", "lang").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), F.max("text_chars").alias("all"))
+    share = F.col("chars") / F.sum("chars").over(Window.partitionBy("record_id"))
+    return per.select("record_id", "lang", "lines", share.alias("share"), (F.col("chars") / F.col("all")).alias("file_share"))
 
 
 __all__ = ["Encoders", "fit", "language_shares", "message_text", "source_text"]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 LANGS = ("en", "uk", "ru", "de", "fr", "es", "pt", "pl", "zh", "ja")
 
-#: Rows of the labelled sample that language models are fitted on, and the longest text among them.
+#: Rows of the labelled samples of documents and of source files that models are fitted on, and the longest text among them.
 SAMPLE_ROWS = 4000
+SAMPLE_FILES = 1000
 SAMPLE_CHARS = 20_000
 
 # Notations of each language besides its two-letter code (ISO 639-2, English and own names).
@@ -57,9 +58,18 @@ def labelled_sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int =
 
     The bound holds whatever the size of the table; the labels may be wrong."""
     known = documents.select("doc_id", "lang", F.col("text").cast("string").alias("text")).filter(F.col("lang").isNotNull() & F.length("text").between(20, chars))
+    got = _some(known, "doc_id", documents.count(), rows).select("lang", "text").collect()
+    return [(code, r.text) for r in got if (code := label_code(r.lang))]
+
+
+def code_sample(files: DataFrame, rows: int = SAMPLE_FILES, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """(file, text) of at most ``rows`` source files, the same ones each time: code is what stands outside comments and literals."""
+    known = files.select("file_id", "file", F.col("source").cast("string").alias("source")).filter(F.col("file").isNotNull() & F.length("source").between(20, chars))
+    return [(r.file, r.source) for r in _some(known, "file_id", files.count(), rows).select("file", "source").collect()]
+
+
+def _some(known: DataFrame, ident: str, size: int, rows: int) -> DataFrame:
     # a share of the ids first, so that no more than about ``rows`` texts ever leave the executors
     parts = 1_000_000
-    below = min(parts, int(parts * rows / max(1, documents.count())) + 1)
-    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < below)
-    got = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("lang", "text").collect()
-    return [(code, r.text) for r in got if (code := label_code(r.lang))]
+    below = min(parts, int(parts * rows / max(1, size)) + 1)
+    return known.filter(F.pmod(F.xxhash64(ident), F.lit(parts)) < below).orderBy(F.xxhash64(ident), ident).limit(rows)

@@ -22,7 +22,7 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _encoders(spark: SparkSession, d: str) -> hidden_text.Encoders:
-    return hidden_text.fit(labels.labelled_sample(table(spark, d, "documents")))
+    return hidden_text.fit(labels.labelled_sample(table(spark, d, "documents")), code=labels.code_sample(table(spark, d, "source_files")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
