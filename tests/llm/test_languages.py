@@ -161,8 +161,8 @@ def test_blocks_do_not_change_scores(monkeypatch):
     whole = f.scores(texts)
     small = doc_language.blocks
     monkeypatch.setattr(doc_language, "blocks", lambda t: small(t, 200))
-    assert abs(f.scores(texts) - whole).max() < 0.05
-    assert [p for _, ps in small(["abcdef", "gh"], 4) for p in ps] == ["abcd", "ef", "gh"]
+    assert abs(f.scores(texts) - whole).max() < 1e-12
+    assert [p for _, ps, _ in small(["abcdef", "gh"], 4) for p in ps] == [" abc", "abcdef", "def ", " gh "]
     assert f.scores([]).shape == (0, len(doc_language.LANGS))
 
 
@@ -203,3 +203,14 @@ def test_share_of_the_whole_file(spark):
     df = spark.createDataFrame([(1, "a.py", text)], "file_id long, file string, source string")
     got = hidden_text.language_shares(hidden_text.source_text(df, hidden_text.fit([]))).first()
     assert got.share == 1.0 and abs(got.file_share - len("this comment explains what the next line does") / len(text)) < 1e-9
+
+
+@pytest.mark.parametrize("size", [4, 5, 7, 30])
+def test_pieces_have_every_gram_once(size):
+    texts = ["abc defg hij klmno", "", "今年房子后面的花园里abc长满了红苹果", "x", "ab今c年d房子e"]
+    want = sorted(zip(*map(list, doc_language.grams(texts))))
+    got = []
+    for at, pieces, on in doc_language.blocks(texts, size):
+        h, owner = doc_language.grams(pieces, on)
+        got += list(zip(h, at[owner]))
+    assert sorted(got) == want

@@ -133,14 +133,26 @@ def test_components_equal_union_find(spark):
 # mixing
 
 
-def test_plan():
+def planned(spark, sizes, targets, total=None):
+    held = spark.createDataFrame(list(sizes.items()), "source string, tokens long")
+    want = spark.createDataFrame([(k, *v) for k, v in targets.items()], "source string, share double, cap int")
+    return {r.source: r["copies"] for r in mixing.plan(held, want, total).collect()}
+
+
+def test_plan(spark):
     sizes = {"a": 1000, "b": 100, "c": 10}
-    p = mixing.plan(sizes, {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 4), "none": (0.0, 1), "gone": (0.1, 3)})
+    p = planned(spark, sizes, {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 4), "none": (0.0, 1), "gone": (0.1, 3)})
     tokens = {s: p[s] * sizes[s] for s in p}
     assert math.isclose(tokens["a"] / tokens["b"], 5 / 3) and math.isclose(p["c"], 4) and all(v <= {"a": 1, "b": 2, "c": 4}[s] + 1e-9 for s, v in p.items())
-    big = mixing.plan(sizes, {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 4)}, 700)
+    big = planned(spark, sizes, {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 4)}, 700)
     assert big["c"] == 4 and big["b"] == 2 and math.isclose(big["a"] * 1000, 700 - 200 - 40)
-    assert mixing.plan({}, {"a": (1.0, 1)}) == {} and mixing.plan({"a": 5}, {"a": (1.0, 0)}) == {}
+    assert planned(spark, {}, {"a": (1.0, 1)}) == {} and planned(spark, {"a": 5}, {"a": (1.0, 0)}) == {}
+    assert planned(spark, sizes, {"a": (0.5, 1), "b": (0.3, 2)}, 10**9) == {"a": 1, "b": 2}
+
+
+def test_targets_of_one_name_add_up(spark):
+    t = spark.createDataFrame([("A-b", 0.2, 3), (" a_B", 0.3, 2), (None, 0.1, 1), ("c", None, None)], "source string, target_share double, max_repeats int")
+    assert sorted(map(tuple, mixing.read_targets(t).collect())) == [("a_b", 0.5, 2), ("c", 0.0, 0)]
 
 
 def test_pivotal_keeps_sums_and_probabilities():
@@ -167,8 +179,13 @@ def test_mix_amounts(spark, chunk):
     sizes = {s: sum(t for _, x, t in rows if x == s) for s in ("hot", "b", "c")}
     docs = {s: sum(1 for _, x, _ in rows if x == s) for s in ("hot", "b", "c")}
     targets = {"hot": (0.5, 1), "b": (0.3, 2), "c": (0.2, 4)}
-    copies = mixing.plan(sizes, targets)
-    got = mixing.mix(sized(spark, rows), copies, docs, chunk_docs=chunk).collect()
+    copies = planned(spark, sizes, targets)
+    table = spark.createDataFrame([(s, copies[s], docs[s]) for s in copies], "source string, copies double, docs long")
+    chosen = mixing.mix(sized(spark, rows), table, chunk_docs=chunk).cache()
+    got = chosen.collect()
+    want = spark.createDataFrame([(s, *v) for s, v in targets.items()], "source string, target_share double, max_repeats int")
+    for r in mixing.shares(chosen, want, chunk).collect():
+        assert math.isclose(r.wanted_share, targets[r.source][0]) and r.share_error <= r.error_bound and math.isclose(r.share_error, abs(r.actual_share - r.wanted_share))
     assert sorted(r.doc_id for r in got) == sorted(k for k, _, _ in rows)
     tokens = {s: sum(r.tokens * r["copies"] for r in got if r.source == s) for s in sizes}
     for s, (share, cap) in targets.items():
@@ -182,12 +199,12 @@ def test_mix_amounts(spark, chunk):
 def test_mix_whole(spark):
     docs = spark.createDataFrame([(1, "A-b ", "hello world", "x"), (2, "a_b", "", "x"), (3, None, "text", "x"), (4, "c", None, "x"), (None, "a_b", "text", "x"), (5, "zzz", "text", "x")], "doc_id long, source string, text string, tokens string")
     targets = spark.createDataFrame([("a_b", 0.5, 2), ("c", 0.3, 1), ("d", 0.2, None)], "source string, target_share double, max_repeats int")
-    chosen, _ = mixing.mixed(docs, targets)
+    chosen = mixing.mixed(docs, targets)
     assert {r.doc_id: r["copies"] for r in chosen.collect()} == {1: 2, 2: 0, 4: 0}
     s = {r.source: r for r in mixing.shares(chosen, targets).collect()}
     assert s["a_b"].actual_share == 1.0 and s["d"].docs == 0 and s["c"].actual_share == 0.0
-    assert mixing.mixed(docs.limit(0), targets)[0].count() == 0
-    assert mixing.mixed(docs, targets.limit(0))[0].count() == 0
+    assert mixing.mixed(docs.limit(0), targets).count() == 0
+    assert mixing.mixed(docs, targets.limit(0)).count() == 0
 
 
 def test_tokens_equal_the_tokenizer_itself():

@@ -100,11 +100,14 @@ def whole(text: str) -> str:
     return " ".join(x for x in outside if x) or " ".join(x for x in map(bare, lines) if x)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every n-gram, index of the text that it is from)."""
-    joined = "\0".join(f" {t} " for t in texts) + "\0\0\0\0"
+def grams(texts: list[str], goes_on: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every n-gram, index of the text that it is from).
+
+    A text that ``goes_on`` from the one before begins with that one's last GRAM - 1 characters."""
+    joined = "\0".join(texts if goes_on is not None else [f" {t} " for t in texts]) + "\0\0\0\0"
     c = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    owner = np.cumsum(c == 0)
+    zero = c == 0
+    owner = np.cumsum(zero)
     n = len(c) - GRAM
     m = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
@@ -112,31 +115,37 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         four = ((two + c[2 : n + 2]) * m + c[3 : n + 3]) * m
     wide = ((c >= 0x3040) & (c <= 0x30FF)) | ((c >= 0x3400) & (c <= 0x9FFF))
     cjk = wide[:n] & wide[1 : n + 1]
-    zero = c == 0
+    if goes_on is not None and any(goes_on):  # its first two-letter grams were counted before
+        start = np.concatenate([[0], np.flatnonzero(zero)[: len(texts) - 1] + 1])[np.array(goes_on)]
+        for k in range(GRAM - CJK_GRAM):
+            cjk[start + k] = False
     four_ok = ~(zero[:n] | zero[1 : n + 1] | zero[2 : n + 2] | zero[3 : n + 3]) & ~(wide[:n] | wide[1 : n + 1] | wide[2 : n + 2] | wide[3 : n + 3])
-    h = np.where(cjk, two ^ np.uint64(0xABCDEF), four)
+    h = np.where(wide[:n] & wide[1 : n + 1], two ^ np.uint64(0xABCDEF), four)
     keep = cjk | four_ok
     return h[keep], owner[:n][keep]
 
 
-def blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """(index of the text of each piece, pieces): all texts in blocks of about ``chars`` characters.
+def blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[tuple[np.ndarray, list[str], list[bool]]]:
+    """(index of the text of each piece, pieces, whether a piece goes on from the one before): all texts in blocks of about ``chars`` characters.
 
-    A text that is longer than a block is cut; only the n-grams across a cut are lost."""
+    Pieces of one text overlap, so that every n-gram lies in exactly one."""
     at: list[int] = []
     pieces: list[str] = []
+    on: list[bool] = []
     size = 0
     for k, t in enumerate(texts):
-        for a in range(0, max(1, len(t)), chars):
-            piece = t[a : a + chars]
+        t = f" {t} "
+        for a in range(0, len(t), chars):
+            piece = t[max(0, a - GRAM + 1) : a + chars]
             at.append(k)
             pieces.append(piece)
+            on.append(a > 0)
             size += len(piece)
             if size >= chars:
-                yield np.array(at), pieces
-                at, pieces, size = [], [], 0
+                yield np.array(at), pieces, on
+                at, pieces, on, size = [], [], [], 0
     if pieces:
-        yield np.array(at), pieces
+        yield np.array(at), pieces, on
 
 
 def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,8 +182,8 @@ class Filters:
         """Per text and language the corrected share of n-grams held."""
         total = np.zeros(len(texts))
         hits = np.zeros((len(texts), len(LANGS)))
-        for at, pieces in blocks(texts):
-            h, owner = grams(pieces)
+        for at, pieces, on in blocks(texts):
+            h, owner = grams(pieces, on)
             mask, whose = self.masks(h), at[owner]
             total += np.bincount(whose, minlength=len(texts))
             for k in range(len(LANGS)):

@@ -9,10 +9,14 @@ document's own probability. Neighbours in size are paired, so token totals hold
 Chunks of a source are rounded on their own; the one open document that each leaves
 goes up a reduction tree until one is left per source.
 
+Sources may be any number: their plan is a table, made by sums over them, and one number a step
+comes to the driver.
+
 Defined results: source names are compared in lower case with '-' and blanks as '_';
 documents of other or null sources, with null ids or without tokens get no copies; a source
 without documents gets nothing and the others keep their mutual ratio; a target share or
-cap that is null or not positive wants nothing; an empty table gives an empty mix.
+cap that is null or not positive wants nothing; of targets of one name the shares add up and the
+least cap holds; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.cluster import cut
+from treeline.cluster import cut, join_small
 
 #: Where the public tokenizers' vocabularies are, which one counts, and how many documents a chunk holds.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -61,36 +65,39 @@ def _count(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["text"]]})
 
 
-def token_sizes(documents: DataFrame, wanted: list[str], tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_sizes(documents: DataFrame, wanted: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens) of the documents of the wanted sources."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source")).alias("source"), F.col("text").cast("string").alias("text"))
-    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("source").isin(wanted))
+    rows = join_small(rows.filter("doc_id is not null and source is not null"), wanted.select("source"), ["source"], "left_semi")
     return rows.mapInPandas(lambda it: _count(it, f"{tokenizer_dir}/{vocabulary}"), "doc_id long, source string, tokens long")
 
 
-def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
-    """Expected copies per document of each source.
+def read_targets(targets: DataFrame) -> DataFrame:
+    """(source, share, cap) of the wanted sources, each once."""
+    rows = targets.select(source_name(F.col("source")).alias("source"), F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("share"), F.coalesce(F.col("max_repeats").cast("int"), F.lit(0)).alias("cap")).filter("source is not null")
+    return rows.groupBy("source").agg(F.sum(F.greatest("share", F.lit(0.0))).alias("share"), F.min("cap").alias("cap"))
+
+
+def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """(source, copies) expected per document, of the sources that get any, from sizes(source, tokens) and targets(source, share, cap).
 
     Without ``total`` the mix is as large as exact shares allow. With a larger total the
     sources that hit their cap stay there and the rest is shared by the others."""
-    live = {s: t for s, t in targets.items() if sizes.get(s, 0) > 0 and t[0] > 0 and t[1] > 0}
-    if not live:
-        return {}
-    share_sum = sum(t[0] for t in live.values())
+    open_ = cut(targets.join(sizes.select("source", "tokens"), "source").filter("tokens > 0 and share > 0 and cap > 0"))
+    most = F.col("tokens") * F.col("cap")
     if total is None:
-        total = min(sizes[s] * cap / (share / share_sum) for s, (share, cap) in live.items())
-    out: dict[str, float] = {}
-    left, open_ = float(total), dict(live)
-    while open_:
-        weight = sum(t[0] for t in open_.values())
-        full = [s for s, (share, cap) in open_.items() if left * share / weight > sizes[s] * cap * (1 + EPS)]
-        if not full:
-            out |= {s: min(float(cap), left * share / weight / sizes[s]) for s, (share, cap) in open_.items()}
-            break
-        for s in full:
-            out[s] = float(open_.pop(s)[1])
-            left -= sizes[s] * out[s]
-    return out
+        total = open_.agg(F.min(most / F.col("share")).alias("level"), F.sum("share").alias("weight")).select(F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0)).alias("t")).first().t
+    left, done = float(total), open_.limit(0).select("source", F.lit(0.0).alias("copies"))
+    while True:
+        weight = open_.agg(F.sum("share").alias("w")).first().w
+        if not weight:
+            return done
+        full = left / weight * F.col("share") > most * (1 + EPS)
+        held = open_.filter(full).agg(F.sum(most).alias("t")).first().t
+        if held is None:
+            return done.unionByName(open_.select("source", F.least(F.col("cap").cast("double"), left / weight * F.col("share") / F.col("tokens")).alias("copies")))
+        done = cut(done.unionByName(open_.filter(full).select("source", F.col("cap").cast("double").alias("copies"))))
+        open_, left = cut(open_.filter(~full)), left - float(held)
 
 
 def pivotal(p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
@@ -138,18 +145,17 @@ def _round(seed: int, level: int):  # noqa: ANN202
     return run
 
 
-def mix(sized: DataFrame, copies: dict[str, float], docs: dict[str, int], seed: int = 7, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
-    """(doc_id, source, tokens, copies) of every sized document."""
-    if not copies:
-        return sized.select("doc_id", "source", "tokens", F.lit(0).alias("copies"))
-    each = F.create_map(*[F.lit(x) for s, v in copies.items() for x in (s, v)])
-    chunks = {s: max(1, math.ceil(docs.get(s, 0) / chunk_docs)) for s in copies}
-    many = F.create_map(*[F.lit(x) for s, v in chunks.items() for x in (s, v)])
-    rows = sized.filter((F.col("tokens") > 0) & F.col("source").isin(list(copies)))
-    x = each[F.col("source")]
-    rows = rows.select("source", F.pmod(F.xxhash64("doc_id"), many[F.col("source")]).cast("long").alias("node"), "doc_id", "tokens", F.floor(x + EPS).cast("int").alias("whole"), F.greatest(F.lit(0.0), x - F.floor(x + EPS)).alias("p"), F.lit(False).alias("open"))
+def mix(sized: DataFrame, planned: DataFrame, seed: int = 7, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
+    """(doc_id, source, tokens, copies) of every document of sized(doc_id, source, tokens), by planned(source, copies, docs)."""
+    of = cut(planned.select("source", F.col("copies").alias("x"), F.greatest(F.lit(1.0), F.ceil(F.col("docs") / chunk_docs)).cast("long").alias("chunks")))
+    rows = join_small(sized, of, ["source"], "left")
+    rest = rows.filter("tokens <= 0 or x is null").select("doc_id", "source", "tokens", F.lit(0).alias("copies"))
+    whole = F.floor(F.col("x") + EPS)
+    rows = rows.filter("tokens > 0 and x is not null").select(
+        "source", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("node"), "doc_id", "tokens", whole.cast("int").alias("whole"), F.greatest(F.lit(0.0), F.col("x") - whole).alias("p"), F.lit(False).alias("open")
+    )
     done = []
-    level, width = 0, max(chunks.values())
+    level, width = 0, of.agg(F.max("chunks").alias("n")).first().n or 1
     while True:
         rounded = cut(rows.groupBy("source", "node").applyInPandas(_round(seed, level), _SCHEMA))
         done.append(rounded.filter("not open"))
@@ -162,32 +168,32 @@ def mix(sized: DataFrame, copies: dict[str, float], docs: dict[str, int], seed:
     out = last
     for d in done:
         out = out.unionByName(d)
-    got = out.select("doc_id", "source", "tokens", (F.col("whole") + F.round("p").cast("int")).alias("copies"))
-    rest = sized.filter((F.col("tokens") <= 0) | ~F.col("source").isin(list(copies))).select("doc_id", "source", "tokens", F.lit(0).alias("copies"))
-    return got.unionByName(rest)
-
-
-def read_targets(targets: DataFrame, limit: int = 10_000) -> dict[str, tuple[float, int]]:
-    """The wanted sources: one row each, at most ``limit`` of them."""
-    rows = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source is not null").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} sources")
-    return {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in rows}
-
-
-def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None, tokenizer_dir: str = TOKENIZER_DIR) -> tuple[DataFrame, dict]:
-    """The copies of every document, and what was planned."""
-    wanted = read_targets(targets)
-    sized = cut(token_sizes(documents, list(wanted), tokenizer_dir))
-    held = {r.source: r for r in sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).collect()}  # one row a source
-    copies = plan({s: r.tokens for s, r in held.items()}, wanted, total)
-    return mix(sized, copies, {s: r.docs for s, r in held.items()}), {"targets": wanted, "copies": copies}
-
-
-def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, docs, tokens, used_docs, mixed_tokens, most_copies, actual_share): one row per wanted source."""
-    per = chosen.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"), F.count_if(F.col("copies") > 0).alias("used_docs"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
-    want = targets.select(source_name(F.col("source")).alias("source"), "target_share").filter("source is not null")
-    out = want.join(per, "source", "left").fillna(0, ["docs", "tokens", "used_docs", "mixed_tokens", "most_copies"])
-    total = out.agg(F.sum("mixed_tokens").alias("all"))
-    return out.join(F.broadcast(total)).withColumn("actual_share", F.when(F.col("all") > 0, F.col("mixed_tokens") / F.col("all")).otherwise(0.0)).drop("all")
+    return out.select("doc_id", "source", "tokens", (F.col("whole") + F.round("p").cast("int")).alias("copies")).unionByName(rest)
+
+
+def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+    """(doc_id, source, tokens, copies) of every document of a wanted source."""
+    wanted = cut(read_targets(targets))
+    sized = cut(token_sizes(documents, wanted, tokenizer_dir))
+    held = cut(sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))  # one row a source
+    return mix(sized, plan(held, wanted, total).join(held, "source"))
+
+
+def shares(chosen: DataFrame, targets: DataFrame, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
+    """(source, target_share, docs, tokens, used_docs, mixed_tokens, most_copies, actual_share, wanted_share, share_error, error_bound): one row per wanted source.
+
+    ``wanted_share`` is the target among the sources that got anything, ``share_error`` how far the actual share is
+    from it. Rounding moves a source's tokens by less than two of its longest document a chunk (the open one and the
+    one it meets), and the total by the sum of that: ``error_bound``, where no total was asked for."""
+    per = chosen.groupBy("source").agg(
+        F.count("*").alias("docs"), F.sum("tokens").alias("tokens"), F.count_if(F.col("copies") > 0).alias("used_docs"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"),
+        F.max("tokens").alias("_longest"),
+    )
+    out = read_targets(targets).select("source", F.col("share").alias("target_share")).join(per, "source", "left").fillna(0, ["docs", "tokens", "used_docs", "mixed_tokens", "most_copies", "_longest"])
+    moved = 2 * F.col("_longest") * (1 + F.ceil(F.col("docs") / chunk_docs))
+    out = cut(out.withColumn("_moved", F.when(F.col("mixed_tokens") > 0, moved).otherwise(F.lit(0))))
+    total = out.agg(F.sum("mixed_tokens").alias("_all"), F.sum(F.when(F.col("mixed_tokens") > 0, F.col("target_share"))).alias("_live"), F.sum("_moved").alias("_any"))
+    part = lambda a, b: F.when(F.col(b) > 0, a / F.col(b)).otherwise(0.0)
+    wanted = part(F.when(F.col("mixed_tokens") > 0, F.col("target_share")).otherwise(0.0), "_live")
+    out = out.join(F.broadcast(total)).withColumn("actual_share", part(F.col("mixed_tokens"), "_all")).withColumn("wanted_share", wanted)
+    return out.withColumn("share_error", F.abs(F.col("actual_share") - F.col("wanted_share"))).withColumn("error_bound", part(F.col("_moved") + F.col("wanted_share") * F.col("_any"), "_all")).drop("_all", "_live", "_any", "_moved", "_longest")

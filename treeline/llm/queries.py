@@ -90,7 +90,7 @@ def p8_reworded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_copies(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
