@@ -174,3 +174,22 @@ def test_windowed_counts(spark):
 def test_structural_stream_rules_on_a_batch(spark):
     f = files.from_table(spark.createDataFrame([("a.js", "function f() { }\n"), ("b.js", "let a = (")], "file string, source string"), F.col("file"), F.col("source"))
     assert [(r.file, r.rule) for r in stream.structural_findings(f).collect()] == [("a.js", "empty-function")]
+
+
+def test_own_rules_take_options_and_severities(spark, project):
+    from treeline.sources import config
+
+    def long_path(files, nodes, most):
+        from pyspark.sql import functions as F
+
+        return files.filter(F.length("file") > most).select("file", F.lit(1).alias("line"), F.lit("long-path").alias("rule"), F.lit("info").alias("severity"), F.lit("long").alias("message"))
+
+    engine = Engine(spark).with_rule("long-path", long_path, most=(10_000, 1))
+    count = lambda e: e.analyze_path(str(project)).findings.filter("rule = 'long-path'").groupBy("severity").count().collect()
+    assert count(engine) == []
+    got = count(engine.with_config(config.read({"rules": {"long-path": {"severity": "error", "most": 1}}}, ".")))
+    assert len(got) == 1 and got[0].severity == "error"
+    assert count(engine.with_config(config.read({"rules": {"long-path": "off"}}, "."))) == []
+    for bad in ({"long-path": {"least": 1}}, {"long-path": {"most": 0}}, {"other": "off"}):
+        with pytest.raises(config.ConfigError):
+            engine.with_config(config.read({"rules": bad}, "."))

@@ -21,18 +21,30 @@ BUILT_IN = ("parse-error", "unreadable-file")
 OPTIONS = {"deep-nesting": ("maxDepth", 4, 1), "long-function": ("maxStatements", 30, 1), "complex-function": ("maxCognitive", 15, 1), "duplicate-code": ("minLines", 8, 2)}
 
 
-def check_options(config: Config) -> None:
+@dataclass(frozen=True)
+class OwnRule:
+    """A rule of one's own: a function from files and nodes (and its options by name) to findings; each option
+    has a default and a least value."""
+
+    name: str
+    find: Callable[..., DataFrame]
+    options: tuple[tuple[str, int, int], ...] = ()
+
+
+def check_options(config: Config, own: tuple[OwnRule, ...] = ()) -> None:
     """Raises ConfigError for unknown rules and options."""
+    known = {rule: (OPTIONS[rule],) if rule in OPTIONS else () for rule in (*RULES, *BUILT_IN)} | {r.name: r.options for r in own}
     for rule in (*config.severities, *config.options):
-        if rule not in RULES and rule not in BUILT_IN:
+        if rule not in known:
             raise ConfigError(f"unknown rule {rule!r}")
-    for rule, own in config.options.items():
-        if rule not in OPTIONS:
+    for rule, given in config.options.items():
+        if not known[rule]:
             raise ConfigError(f"{rule} has no options")
-        name, _, least = OPTIONS[rule]
-        for k, v in own.items():
-            if k != name:
-                raise ConfigError(f"{rule}: unknown option {k!r}")
+        least_of = {name: least for name, _, least in known[rule]}
+        for name, v in given.items():
+            if name not in least_of:
+                raise ConfigError(f"{rule}: unknown option {name!r}")
+            least = least_of[name]
             if not isinstance(v, int) or isinstance(v, bool) or v < least:
                 raise ConfigError(f"{rule}: {name} must be a whole number of at least {least}")
 
@@ -48,14 +60,14 @@ class Analysis:
 
 @dataclass(frozen=True)
 class Engine:
-    """Builder of analyses. ``with_rule`` adds a function from files and nodes to findings."""
+    """Builder of analyses. Rules of one's own are added before a configuration that names them."""
 
     spark: SparkSession
     config: Config = field(default_factory=Config)
     todo: bool = True
     cache_path: str | None = None
     prefixes: tuple[str, ...] = (post.PREFIX,)
-    extra: tuple[tuple[str, Callable[[DataFrame, DataFrame], DataFrame]], ...] = ()
+    extra: tuple[OwnRule, ...] = ()
     providers: tuple[S.Provider, ...] = ()
 
     def with_provider(self, provider: S.Provider) -> Engine:
@@ -63,14 +75,15 @@ class Engine:
         return replace(self, providers=(*self.providers, provider))
 
     def with_config(self, config: Config) -> Engine:
-        check_options(config)
+        check_options(config, self.extra)
         return replace(self, config=config)
 
     def with_cache(self, path: str) -> Engine:
         return replace(self, cache_path=path)
 
-    def with_rule(self, name: str, rule: Callable[[DataFrame, DataFrame], DataFrame]) -> Engine:
-        return replace(self, extra=(*self.extra, (name, rule)))
+    def with_rule(self, name: str, rule: Callable[..., DataFrame], **options: tuple[int, int]) -> Engine:
+        """``rule`` takes files, nodes and its options; each option is given as (default, least value)."""
+        return replace(self, extra=(*self.extra, OwnRule(name, rule, tuple((k, *v) for k, v in options.items()))))
 
     def option(self, rule: str) -> int:
         name, default, _ = OPTIONS[rule]
@@ -126,9 +139,10 @@ class Engine:
             known = readable.join(S.file_rows(parsed).filter("error is null").select("file"), "file", "left_semi")
             found = duplicates.duplicate_code(known.select("file", "source", "language"), n)
             parts.append(self.shaped(found.withColumn("k1", F.col("line")).withColumn("k2", F.col("end_line")), 2, 0))
-        for k, (name, rule) in enumerate(self.extra):
-            if self.on(name):
-                parts.append(self.shaped(rule(files, nodes), 1, len(RULES) + k))
+        for k, own in enumerate(self.extra):
+            if self.on(own.name):
+                given = self.config.options.get(own.name, {})
+                parts.append(self.shaped(own.find(files, nodes, **{n: given.get(n, default) for n, default, _ in own.options}), 1, len(RULES) + k))
         found = parts[0]
         for p in parts[1:]:
             found = found.unionByName(p)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-from treeline.parsers import classes, grammar
+from treeline.parsers import classes, grammar, jsx
 
 
 class Node:
@@ -68,7 +68,7 @@ def _set(words: str) -> frozenset[str]:
     return frozenset(words.split())
 
 
-# In the order in which a file's language is decided.
+# Extensions of each language, in the order in which a file's language is decided.
 LANGUAGES = (
     Language("PHP", (".php",), functions=_set("function"), foreach="", comments_count=False, grammar="php", hash_comments=True, wrap_bodies=True),
     Language("NyxilumLang", (".nx",), functions=_set("func fn"), newline_ends=True, bare_conditions=True, comments_count=False),
@@ -1149,8 +1149,73 @@ def balanced(text: str, lang: Language) -> bool:
     return not stack
 
 
-def parse(text: str, lang: Language, with_tree: bool = True) -> tuple[Node | None, BraceReader | None]:
-    """The canonical tree (None if only validity was asked), and for PHP its reader. Raises ParseError."""
+# Operators that need something after them, and what can't come after them.
+_NEEDS = _set("= + - / % == != <= >= += -= *= /= ||")
+_ENDS = _set("; ) }")
+
+
+def complete(text: str, lang: Language) -> bool:
+    """Whether every assignment and binary operator has an operand after it.
+
+    For languages without a grammar of their own. Operators may be named (``operator +``) or handed over (Swift's
+    ``reduce(0, +)``); a Rust text with macros may repeat with them."""
+    if lang.name == "Rust" and "macro_rules" in text:
+        return True
+    before = last = ""
+    for t in tokens(text, lang):
+        if t.kind in "CL":
+            continue
+        here = t.text if t.kind == "O" else ""
+        if last in _NEEDS and before != "operator" and (here in _ENDS or here == "=" == last) and not (lang.name == "Swift" and here == ")"):
+            return False
+        before, last = (t.text if t.kind == "W" else last), here
+    return True
+
+
+# Words of Ruby that an ``end`` always closes, and those that one may close.
+_CLOSED = _set("def class module begin case")
+_MAY_CLOSE = _set("if unless while until for do")
+
+
+def ends_match(text: str, lang: Language) -> bool:
+    """Whether a Ruby text has as many ``end`` as its words can do with, and its brackets match.
+
+    Texts with here-documents or regular expressions aren't judged by their brackets, the former not at all."""
+    text = re.split(r"^__END__$", text, maxsplit=1, flags=re.M)[0]
+    if re.search(r"<<[-~]?[\"'`]?[A-Z]", text):
+        return True
+    ts = [t for t in tokens(text, lang) if t.kind != "C"]
+    surely = maybe = ends = 0
+    for k, t in enumerate(ts):
+        if t.kind != "W" or k and ts[k - 1].text in (".", "&.", "::", "def") or k + 1 < len(ts) and ts[k + 1].text == ":" and ts[k + 1].start == t.end:
+            continue
+        if t.text == "end":
+            ends += 1
+        elif t.text == "def":
+            line = []
+            for x in ts[k + 1 :]:
+                if x.kind == "L":
+                    break
+                line.append(x.text)
+            short = "=" in line and line.index("=") > 0 and (")" in line[: line.index("=")] or line.index("=") == 1)
+            surely += not short
+            maybe += 1
+        elif t.text in _CLOSED:
+            surely += 1
+            maybe += 1
+        elif t.text in _MAY_CLOSE:
+            maybe += 1
+    if not surely <= ends <= maybe:
+        return False
+    return any(t.text in ("/", "%") for t in ts) or balanced(text, lang)
+
+
+def parse(text: str, lang: Language, with_tree: bool = True, elements: bool = False) -> tuple[Node | None, BraceReader | None]:
+    """The canonical tree (None if only validity was asked), and for PHP its reader. Raises ParseError.
+
+    ``elements``: the text may hold elements (JSX), which count as arrays of the expressions in them."""
+    if elements:
+        text = jsx.without_elements(text)
     if lang.reader == "python":
         try:
             return PythonReader(text).root(), None
@@ -1159,8 +1224,13 @@ def parse(text: str, lang: Language, with_tree: bool = True) -> tuple[Node | Non
     if lang.grammar:
         if not grammar.parses(text.replace("\r\n", "\n"), lang.grammar):
             raise ParseError(f"not valid {lang.name}")
-    elif lang.reader == "brace" and not balanced(text, lang):
-        raise ParseError("brackets are not balanced")
+    elif lang.reader == "brace":
+        if not balanced(text, lang):
+            raise ParseError("brackets are not balanced")
+        if not complete(text, lang):
+            raise ParseError("an operator has nothing after it")
+    elif not ends_match(text, lang):
+        raise ParseError("a block or bracket is not closed")
     if not with_tree:
         return None, None
     if lang.reader == "end":
@@ -1181,20 +1251,31 @@ def genuinely_empty(source: bytes, line: int) -> bool:
     if at >= len(source):
         return False
     last = min(len(source), at + 400)
-    k = source.find(b"{", at)
-    while 0 <= k <= last:
-        depth, end = 0, -1
-        for m in re.finditer(rb"[{}]", source[k:]):
-            depth += 1 if m.group() == b"{" else -1
-            if depth == 0:
-                end = k + m.start()
-                break
+    # what stands between each pair of braces that opens in the window, by one pass
+    found: dict[int, int] = {}
+    open_: list[int] = []
+    waiting = 0
+    for m in re.finditer(rb"[{}]", source[at:]):
+        k = at + m.start()
+        if m.group() == b"{":
+            open_.append(k)
+            if k <= last:
+                found[k] = -1
+                waiting += 1
+        elif open_:
+            k = open_.pop()
+            if k in found:
+                found[k] = at + m.start()
+                waiting -= 1
+        if not waiting and at + m.start() > last:
+            break
+    for k, end in found.items():
         if end < 0:
             break
-        inner = source[k + 1 : end]
-        if not inner.strip():
-            return True
-        if not re.sub(rb"/\*[\s\S]*?\*/|//[^\n]*", b"", inner).strip():
-            return False
-        k = source.find(b"{", k + 1)
+        inner = source[k + 1 : end].strip()
+        if not inner or not _COMMENTS.sub(b"", inner).strip():
+            return not inner
     return True
+
+
+_COMMENTS = re.compile(rb"/\*[\s\S]*?\*/|//[^\n]*")

@@ -37,7 +37,7 @@ def as_json(found: Iterable[Row]) -> str:
     for r in found:
         fix = r.fix and {"startOffset": r.fix.start_offset, "endOffset": r.fix.end_offset, "replacement": r.fix.replacement}
         items.append({"file": r.file, "line": r.line, "rule": r.rule, "severity": r.severity, "message": r.message, "fix": fix})
-    return json.dumps({"ok": not items, "findings": items}, ensure_ascii=False).replace("/", "\\/") + "\n"
+    return json.dumps({"ok": not items, "findings": items}, ensure_ascii=False, indent=4).replace("/", "\\/") + "\n"
 
 
 def as_checkstyle(found: Iterable[Row]) -> str:

@@ -99,7 +99,7 @@ def parse_one(file: str, source: str, language: str | None, providers: tuple[Pro
     if la is None and own is None:
         return None, [], []
     try:
-        root, reader = (own.parse(source), None) if own else trees.parse(source, la, bool(want))
+        root, reader = (own.parse(source), None) if own else trees.parse(source, la, bool(want), file.endswith((".jsx", ".tsx")))
     except trees.ParseError as e:
         return str(e), [], []
     except RecursionError:

@@ -28,21 +28,14 @@ def plain(pattern: str) -> str:
     return p.strip("/")
 
 
+_GLOB = re.compile(r"(?P<dirs>\*\*/)|(?P<any>\*\*)|(?P<part>\*)|(?P<one>\?)|[^*?]+")
+# What each wild card stands for.
+_WILD = {"dirs": "(?:.*/)?", "any": ".*", "part": "[^/]*", "one": "[^/]"}
+
+
 def to_regex(pattern: str) -> str:
     """A glob as a regular expression that Java and Python read alike."""
-    out, k, p = "", 0, plain(pattern)
-    while k < len(p):
-        if p.startswith("**/", k):
-            out, k = out + "(?:.*/)?", k + 3
-        elif p.startswith("**", k):
-            out, k = out + ".*", k + 2
-        elif p[k] == "*":
-            out, k = out + "[^/]*", k + 1
-        elif p[k] == "?":
-            out, k = out + "[^/]", k + 1
-        else:
-            out, k = out + re.escape(p[k]), k + 1
-    return out
+    return _GLOB.sub(lambda m: _WILD[m.lastgroup] if m.lastgroup else re.escape(m.group()), plain(pattern))
 
 
 def excluded(path: Column, patterns: list[str]) -> Column:
