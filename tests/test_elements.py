@@ -38,7 +38,7 @@ def test_elements_become_arrays(text, lang, file):
 
 def test_functions_inside_elements_are_nodes():
     nodes = S.parse_one("a.jsx", APP, "JavaScript")[1]
-    assert {n[5] for n in nodes if n[4] == "FunctionDecl"} == {2, 7}
+    assert [n[5] for n in nodes if n[4] == "FunctionDecl"] == [2, 7, 9, 9]
 
 
 @pytest.mark.parametrize("bad", ["const a = <div>;", "const a = <div></span>;", "const a = <div>{</div>;", "const a = <div>{1 +}</div>;", "const a = <div b=></div", "return <"])
@@ -77,3 +77,12 @@ def test_emptiness_takes_one_pass():
     assert trees.genuinely_empty(b"if (a) { }", 1) and not trees.genuinely_empty(b"if (a) { /* x */ }", 1) and trees.genuinely_empty(b"f({a: 1}, () => {})", 1)
     assert not trees.genuinely_empty(b"x\nif (a) {\n// y\n}", 2) and trees.genuinely_empty(b"if (a) { b", 1) and not trees.genuinely_empty(b"x", 3)
     assert trees.genuinely_empty(b"{" * 200_000, 1)
+
+
+def test_arrows_with_an_expression_are_functions():
+    functions = lambda file, text: [(n[5], n[6]) for n in S.parse_one(file, text, trees.language_for(file).name)[1] if n[4] == "FunctionDecl"]
+    text = "const f = (x) => x + 1\nconst g = xs.map(x => [x, (y) => y *\n  2], z)\nif (a) { b() }\n"
+    assert functions("a.js", text) == [(1, "{closure}"), (2, "{closure}"), (2, "{closure}")]
+    assert functions("a.ts", "let f: (x: number) => void = (x: number): void => g(x);\n") == [(1, "{closure}")]
+    kinds = [n[4] for n in S.parse_one("a.js", text, "JavaScript")[1]]
+    assert kinds.count("If") == 1

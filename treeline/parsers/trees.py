@@ -166,6 +166,7 @@ def tokens(text: str, lang: Language) -> list[Token]:
 _TYPE_WORDS = _set("class struct interface enum namespace union impl trait extension contract object protocol mod library record module")
 _CLOSER = {"(": ")", "[": "]", "{": "}"}
 _CONTINUES = _set(". , + - * / % & | ^ = == != <= >= && || ? : -> => :: ?. += -= *= /= < >")
+_TYPES = _set("void string number boolean any unknown never undefined object bigint symbol Promise Array Record Map Set")
 _JUMPS = _set("return break continue throw")
 
 
@@ -251,6 +252,12 @@ class BraceReader:
             line = t.line
             self.p += 1
             return [Node("FunctionDecl", line, [self.block()], name="{closure}")]
+        if t.kind == "O" and t.text == "=>" and self.lang.name in ("JavaScript", "TypeScript"):
+            self.p += 1
+            # after the parameters of a type stands a type
+            if self.lang.name == "TypeScript" and self.peek() in _TYPES:
+                return []
+            return [Node("FunctionDecl", t.line, self.arrow_body(), name="{closure}")]
         if t.kind == "O" and t.text == "->" and self.peek(1) == "{" and self.lang.name == "Java":
             self.p += 1
             return [Node("Other", t.line, [self.block()], kind="lambda_expression")]
@@ -261,6 +268,17 @@ class BraceReader:
         self.p += 1
         return []
 
+    def arrow_body(self) -> list[Node]:
+        """An expression that is a function's whole body: up to what ends it."""
+        out: list[Node] = []
+        start = self.p
+        while self.more() and not (self.kind() == "O" and self.peek() in (",", ")", "]", "}", ";")):
+            t = self.t[self.p]
+            if self.p > start and id(t) in self.after_break and t.text not in _CONTINUES and self.t[self.p - 1].text not in _CONTINUES:
+                break
+            out += self.expression_part()
+        return out
+
     def object_literal(self) -> list[Node]:
         """Methods of an object literal are functions."""
         self.p += 1
