@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 
+from treeline import cluster
 from treeline.operators import nested, tree
 
 
@@ -96,12 +97,44 @@ def test_attributes_and_containment(spark):
     t = node("Root", 1, node("FunctionDecl", 2, node("If", 3, node("If", 4)), name="f", span={"a": 1}), node("If", 9))
     df = spark.createDataFrame([(1, json.dumps(t), datetime(2026, 1, 1))], "i long, t string, at timestamp")
     trees = nested.flatten_trees(df, "i", "t", "at")
-    assert {(r.node_id, r.name, r.value) for r in nested.attribute_table(trees).collect()} == {(1, "name", "f"), (1, "span", '{"a":1}')}
+    assert {(r.node_id, r.name, r.value) for r in nested.attribute_table(trees).collect()} == {(1, "name", '"f"'), (1, "span", '{"a":1}')}
     n = nested.node_table(trees)
     pairs = nested.within(nested.type_table(n, "If"), nested.type_table(n, "FunctionDecl")).collect()
     assert sorted((r.outer_id, r.node_id) for r in pairs) == [(1, 2), (1, 3)]
 
 
+def test_attribute_values_keep_their_kind(spark):
+    attributes = {"a": 1, "b": "1", "c": None, "d": [1, {"z": None, "a": "ж"}], "e": 1.5, "f": True, "g": "\ud800"}
+    deep = '{"type":"A","line":1,"attributes":{"x":' + '[{"k":' * 5000 + "1" + "}]" * 5000 + "}}"
+    df = spark.createDataFrame([(1, json.dumps({"type": "A", "line": 1, "attributes": attributes}), None), (2, deep, None)], "i long, t string, at timestamp")
+    got = {(r.id, r.name): r.value for r in nested.attribute_table(nested.flatten_trees(df, "i", "t", "at")).collect()}
+    assert {k: got[1, k] for k in "abcdef"} == {"a": "1", "b": '"1"', "c": "null", "d": '[1,{"z":null,"a":"ж"}]', "e": "1.5", "f": "true"}
+    assert got[2, "x"] == deep[deep.index("[") : -2]
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_within_equals_all_pairs(spark, monkeypatch, limit):
+    monkeypatch.setattr(nested, "join_small", lambda a, b, keys: cluster.join_small(a, b, keys, limit=limit))
+    rng = random.Random(2)
+
+    def make(depth):
+        return {"type": rng.choice("AB"), "line": 1, "children": [make(depth + 1) for _ in range(rng.randint(0, 4 if depth < 6 else 0))]}
+
+    df = spark.createDataFrame([(k, json.dumps(make(0)), None) for k in range(12)], "i long, t string, at timestamp")
+    n = nested.node_table(nested.flatten_trees(df, "i", "t", "at")).cache()
+    rows = n.collect()
+    want = sorted((a.id, a.node_id, b.node_id) for a in rows for b in rows if a.id == b.id and a.type == "A" and b.type == "B" and a.node_id < b.node_id <= a.last)
+    got = nested.within(nested.type_table(n, "B"), nested.type_table(n, "A"))
+    assert sorted((r.id, r.outer_id, r.node_id) for r in got.collect()) == want and len(want) > 100
+    assert nested.within(n.limit(0), n).count() == 0 and nested.within(n, n.limit(0)).count() == 0
+
+
+def test_tables_per_type(spark, tmp_path):
+    df = spark.createDataFrame([(1, json.dumps(node("Root", 1, node("If", 2), node("If", 3))), None)], "i long, t string, at timestamp")
+    nested.write_type_tables(nested.node_table(nested.flatten_trees(df, "i", "t", "at")), f"{tmp_path}/nodes")
+    assert spark.read.parquet(f"{tmp_path}/nodes/type=If").count() == 2 and spark.read.parquet(f"{tmp_path}/nodes/type=Root").count() == 1
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "i long, t string, at timestamp")
     assert nested.parent_links(nested.flatten_trees(df, "i", "t", "at")).count() == 0

@@ -19,9 +19,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeline.cluster import join_small
+
 TREE_SCHEMA = (
     "id long, at timestamp, digest long, parents array<int>, lasts array<int>, posts array<int>, types array<string>, lines array<long>, attributes array<string>"
 )
@@ -109,8 +111,34 @@ def decode_deep(text: str) -> object:
                 pos, need = m.end(), "after"
 
 
+def as_json(value: object) -> str:
+    """JSON text without spaces, objects in their own order."""
+    try:
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    except RecursionError:
+        out: list[str] = []
+        stack: list[object] = [(value,)]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                out.append(x)
+            elif isinstance(x[0], dict) and x[0]:
+                stack.append("}")
+                for k, (name, v) in reversed(list(enumerate(x[0].items()))):
+                    stack += [(v,), ("," if k else "{") + json.dumps(name, ensure_ascii=False) + ":"]
+            elif isinstance(x[0], list) and x[0]:
+                stack.append("]")
+                for k, v in reversed(list(enumerate(x[0]))):
+                    stack += [(v,), "," if k else "["]
+            else:
+                out.append(json.dumps(x[0], ensure_ascii=False))
+        return "".join(out)
+
+
 def label(root: object) -> tuple[list, ...] | None:
-    """(parents, lasts, posts, types, lines, attributes) in pre-order; None if unusable."""
+    """(parents, lasts, posts, types, lines, attributes) in pre-order; None if unusable.
+
+    A node's attributes are one JSON object of names and the JSON text of each value."""
     if not isinstance(root, dict):
         return None
     parents: list[int] = []
@@ -137,7 +165,7 @@ def label(root: object) -> tuple[list, ...] | None:
         types.append(kind)
         lines.append(line)
         own = node.get("attributes")
-        attributes.append(json.dumps(own, ensure_ascii=True, sort_keys=True) if isinstance(own, dict) and own else None)
+        attributes.append(json.dumps({k: as_json(v) for k, v in own.items()}) if isinstance(own, dict) and own else None)
         stack.append((None, number))
         below = node.get("children")
         if isinstance(below, list):
@@ -184,16 +212,46 @@ def type_table(nodes: DataFrame, kind: str) -> DataFrame:
     return nodes.filter(F.col("type") == kind)
 
 
-def attribute_table(trees: DataFrame) -> DataFrame:
-    """(id, node_id, name, value): one row per attribute, the value as JSON text.
+def write_type_tables(nodes: DataFrame, path: str) -> None:
+    """One table per type below ``path``, each in a folder ``type=...``; interval containment links them."""
+    nodes.write.mode("overwrite").partitionBy("type").parquet(path)
 
-    A nested attribute keeps its JSON."""
+
+def attribute_table(trees: DataFrame) -> DataFrame:
+    """(id, node_id, name, value): one row per attribute, the value as JSON text (so 1 and "1" differ)."""
     own = trees.select("id", F.posexplode("attributes").alias("node_id", "a")).filter("a is not null")
-    pairs = own.select("id", "node_id", F.explode(F.from_json("a", "map<string,string>")).alias("name", "value"))
-    return pairs
+    return own.select("id", "node_id", F.explode(F.from_json("a", "map<string,string>")).alias("name", "value"))
+
+
+#: Levels of blocks: node numbers are below 2 ** LEVELS.
+LEVELS = 31
+
+
+def _blocks(first: Column, end: Column) -> Column:
+    """The fewest aligned blocks of 2 ** level numbers that make up [first, end): at most two a level."""
+    block = "struct<level:int,block:bigint>"
+
+    def step(acc: Column, level: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        one = lambda at: F.array(F.struct(level.cast("int").alias("level"), at.alias("block")))
+        none = F.array().cast(f"array<{block}>")
+        left = (lo < hi) & (lo % 2 == 1)
+        lo = F.when(left, lo + 1).otherwise(lo)
+        right = (lo < hi) & (hi % 2 == 1)
+        hi = F.when(right, hi - 1).otherwise(hi)
+        got = F.concat(acc["got"], F.when(left, one(acc["lo"])).otherwise(none), F.when(right, one(hi)).otherwise(none))
+        return F.struct(F.shiftright(lo, 1).alias("lo"), F.shiftright(hi, 1).alias("hi"), got.alias("got"))
+
+    start = F.struct(first.cast("long").alias("lo"), end.cast("long").alias("hi"), F.array().cast(f"array<{block}>").alias("got"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step)["got"]
 
 
 def within(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Inner nodes with each outer node that contains them: equi-join on the tree, range on the interval."""
-    o = outer.select("id", F.col("node_id").alias("outer_id"), F.col("last").alias("outer_last"), F.col("type").alias("outer_type"))
-    return inner.join(o, "id").filter("outer_id < node_id and node_id <= outer_last")
+    """Inner nodes with each outer node that contains them.
+
+    An outer node's interval is cut into aligned blocks, an inner node stands in one block a level: an equi-join finds
+    each pair once and no others, however large a tree is. Both sides are read twice: cut them if they are costly."""
+    o = outer.select("id", F.col("node_id").alias("outer_id"), F.col("last").alias("outer_last"), F.col("type").alias("outer_type"), F.inline(_blocks(F.col("node_id") + 1, F.col("last") + 1)))
+    top = o.agg(F.max("level")).first()[0]
+    i = inner.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top or 0)))).withColumn("block", F.call_function("shiftright", F.col("node_id").cast("long"), F.col("level")))
+    return join_small(i, o, ["id", "level", "block"]).select(*inner.columns, "outer_id", "outer_last", "outer_type")

@@ -64,7 +64,9 @@ NODE_COLUMNS = [c.strip().split(" ")[0] for c in NODE.split(",")]
 
 
 def _from_flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    text = lambda v: v if isinstance(v, str) else None
+    def text(v: str | None) -> str | None:
+        return x if v and isinstance(x := json.loads(v), str) else None
+
     for batch in batches:
         rows: list[tuple] = []
         for ident, parents, types, lines, attributes in zip(*(c.to_pylist() for c in batch.columns)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.cluster import table
+from treeline.cluster import cut, table
 from treeline.operators import nested, snapshots
 
 
@@ -25,9 +25,9 @@ def p4_attributes(spark: SparkSession, d: str) -> DataFrame:
     return nested.attribute_table(_trees(spark, d, True)).withColumnRenamed("id", "dump_id")
 
 
-def p4_calls_in_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes of type If below each function, found by interval containment."""
-    nodes = nested.node_table(_trees(spark, d, True))
+def p4_ifs_in_functions(spark: SparkSession, d: str) -> DataFrame:
+    """How many nodes of type If stand below each function that has any, found by interval containment."""
+    nodes = cut(nested.node_table(_trees(spark, d, True)).filter(F.col("type").isin("If", "FunctionDecl")))
     pairs = nested.within(nested.type_table(nodes, "If"), nested.type_table(nodes, "FunctionDecl"))
     return pairs.groupBy(F.col("id").alias("dump_id"), F.col("outer_id").alias("function_id")).agg(F.count("*").alias("ifs"))
 
@@ -41,7 +41,7 @@ def p5_summary(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("repo", "snapshot_no").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "changed", "removed")])
 
 
-QUERIES = {"p4_found": p4_found, "p4_nodes": p4_nodes, "p4_attributes": p4_attributes, "p4_calls_in_functions": p4_calls_in_functions, "p5_found": p5_found, "p5_summary": p5_summary}
+QUERIES = {"p4_found": p4_found, "p4_nodes": p4_nodes, "p4_attributes": p4_attributes, "p4_ifs_in_functions": p4_ifs_in_functions, "p5_found": p5_found, "p5_summary": p5_summary}
 
 _P5 = """
 WITH r AS (SELECT repo, snapshot_no, delivered_at, entry_id, regexp_replace(replace(coalesce(file, ''), '\\', '/'), '^(\\./+)+', '') AS file,

@@ -184,6 +184,15 @@ SQL = {
     "complex_function": _METRICS
     + f" SELECT dump_id, line, 'complex-function' AS rule, node_id AS k1, 0 AS k2, 'Function ' || name || ' has a cognitive complexity of ' || cognitive || ' (more than {MAX_COGNITIVE}).' AS message FROM g WHERE cognitive > {MAX_COGNITIVE}",
 }
+# pre-order numbers of a subtree are consecutive, so the last one below a node and its post-order number follow from sizes and depths
+_BELOW = (
+    NODES
+    + """,
+z AS (SELECT a.rid, a.node_id, count(*) AS size, any_value(len(a.path)) AS above FROM m a JOIN m b ON a.rid = b.rid AND b.path[:len(a.path)] = a.path GROUP BY ALL)"""
+)
 P4 = {
     "p4_found": NODES + " SELECT dump_id, parent_id, node_id FROM k",
+    "p4_nodes": _BELOW + " SELECT dump_id, node_id, parent_id, (node_id + size - 1)::INT AS last, (node_id + size - 1 - above)::INT AS post, type, line FROM k JOIN z USING (rid, node_id)",
+    "p4_attributes": NODES + f" SELECT dump_id, node_id, name, json_extract(j, '$.attributes.\"' || name || '\"')::VARCHAR AS value FROM (SELECT dump_id, node_id, j, unnest(json_keys(j, '$.attributes')) AS name FROM m WHERE {_OBJ})",
+    "p4_ifs_in_functions": NODES + " SELECT f.dump_id, f.node_id AS function_id, count(*) AS ifs FROM m f JOIN m i ON f.rid = i.rid AND len(i.path) > len(f.path) AND i.path[:len(f.path)] = f.path WHERE f.type = 'FunctionDecl' AND i.type = 'If' GROUP BY ALL",
 }
