@@ -46,6 +46,7 @@ _LANG = "CASE " + " ".join("WHEN " + " OR ".join(f"ends_with(file, '{e}')" for e
 _RES = """res AS (SELECT repo || '/' || file AS file, lower(trim(language)) AS language, lines_of_code, functions FROM (
   SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY analyzed_at DESC, coalesce(lines_of_code, -1) DESC, coalesce(language, '') DESC) AS k FROM file_results) WHERE k = 1),
 cnt AS (SELECT * FROM res WHERE language IS NOT NULL OR coalesce(lines_of_code, 0) > 0)"""
+RESULTS = _RES
 _FIN = "fin AS (SELECT DISTINCT ON (finding_id) finding_id, repo || '/' || file AS file, line, end_line, replace(lower(trim(rule)), '_', '-') AS rule, severity, message, fix FROM findings)"
 
 

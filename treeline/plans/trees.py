@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeline.cluster import kept, table
 from treeline.operators import nested, tree
-from treeline.plans.code import source
+from treeline.plans.code import RESULTS, results, source
 from treeline.sources import files as S
 
 Q = DataFrame
@@ -83,6 +83,23 @@ def source_metrics(spark: SparkSession, d: str) -> Q:
     return tree.function_metrics(n)
 
 
+#: The results table lists higher values as this one.
+LISTED_MOST = 41
+
+
+def listed_functions(spark: SparkSession, d: str) -> Q:
+    """The complexity, as parsed, of every function that the latest results list below their cap: in eight languages."""
+    listed = results(spark, d).select(F.col("file").alias("id"), F.explode("functions").alias("f")).filter(F.col("f.cyclomatic") < LISTED_MOST).select("id", "f.name", "f.line").distinct()
+    # every file once on the parsed side, a file's functions once on the other
+    return source_metrics(spark, d).join(listed, ["id", "name", "line"]).select(F.col("id").alias("file"), "name", "line", "cyclomatic")
+
+
+def structure_defaults(spark: SparkSession, d: str) -> Q:
+    """The rules with options at their defaults over the dumps."""
+    n = kept(nodes(spark, d))
+    return _found(tree.deep_nesting(n)).unionByName(_found(tree.long_function(n))).unionByName(_found(tree.complex_function(tree.function_metrics(n))))
+
+
 def source_structure(spark: SparkSession, d: str) -> Q:
     """Structural findings per rule over all source files, from one parse."""
     n = kept(S.node_rows(S.parse_files(source(spark, d), want=("node",))))
@@ -127,7 +144,7 @@ def unreadable_file(spark: SparkSession, d: str) -> Q:
 
 _ALL = (
     ast_flatten, function_metrics, cyclomatic, cognitive, dead_code_after_return, deep_nesting, empty_block, empty_catch, empty_function, long_function, complex_function,
-    parse_error, source_metrics, source_structure, genuinely_empty, unused_variable, promotable_return_type, scan_files, unreadable_file,
+    structure_defaults, parse_error, source_metrics, listed_functions, source_structure, genuinely_empty, unused_variable, promotable_return_type, scan_files, unreadable_file,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -166,6 +183,20 @@ s AS (SELECT rid, parent_id AS node_id, n_children FROM k WHERE first_block AND
 g AS (SELECT k.dump_id, k.node_id, coalesce(k.name, '?') AS name, k.line, (1 + coalesce(n, 0))::INT AS cyclomatic, coalesce(cost, 0)::INT AS cognitive, coalesce(s.n_children, 0)::INT AS statements
       FROM k LEFT JOIN b USING (rid, node_id) LEFT JOIN s USING (rid, node_id) WHERE k.type = 'FunctionDecl')"""
 )
+
+
+def _deep(most: int) -> str:
+    return f" SELECT dump_id, line, 'deep-nesting' AS rule, node_id AS k1, 0 AS k2, 'Control structures nest ' || depth || ' levels deep (more than {most}).' AS message FROM k WHERE type IN {_CONTROL} AND depth > {most}"
+
+
+def _long(most: int) -> str:
+    return f" SELECT dump_id, pline AS line, 'long-function' AS rule, parent_id AS k1, 0 AS k2, 'Function ' || coalesce(pname, '?') || ' has ' || n_children || ' statements (more than {most}).' AS message FROM k WHERE ptype = 'FunctionDecl' AND first_block AND n_children > {most}"
+
+
+def _complex(most: int) -> str:
+    return f" SELECT dump_id, line, 'complex-function' AS rule, node_id AS k1, 0 AS k2, 'Function ' || name || ' has a cognitive complexity of ' || cognitive || ' (more than {most}).' AS message FROM g WHERE cognitive > {most}"
+
+
 SQL = {
     "ast_flatten": NODES + " SELECT dump_id, node_id, parent_id, ord, type, line, name, kind, n_children FROM k",
     "function_metrics": _METRICS + " SELECT dump_id, node_id, name, line, statements FROM g",
@@ -173,16 +204,16 @@ SQL = {
     "cognitive": _METRICS + " SELECT dump_id, node_id, cognitive FROM g",
     "dead_code_after_return": NODES
     + " SELECT dump_id, line, 'dead-code-after-return' AS rule, parent_id AS k1, 0 AS k2, 'Code after a return never runs.' AS message FROM (SELECT dump_id, parent_id, arg_min(coalesce(next_line, -9), ord) AS line FROM k WHERE type = 'Return' AND ptype = 'Block' GROUP BY ALL) WHERE line <> -9",
-    "deep_nesting": NODES + f" SELECT dump_id, line, 'deep-nesting' AS rule, node_id AS k1, 0 AS k2, 'Control structures nest ' || depth || ' levels deep (more than {MAX_DEPTH}).' AS message FROM k WHERE type IN {_CONTROL} AND depth > {MAX_DEPTH}",
+    "deep_nesting": NODES + _deep(MAX_DEPTH),
     "empty_block": NODES
     + " SELECT dump_id, pline AS line, 'empty-block' AS rule, CASE ptype WHEN 'If' THEN 0 WHEN 'For' THEN 1 WHEN 'Foreach' THEN 2 WHEN 'While' THEN 3 ELSE 4 END * 10000000 + parent_id AS k1, ord AS k2, 'Empty body of ' || ptype || '.' AS message FROM k WHERE ptype IN ('If', 'For', 'Foreach', 'While', 'Do') AND type = 'Block' AND n_children = 0",
     "empty_catch": NODES + " SELECT dump_id, pline AS line, 'empty-catch' AS rule, parent_id AS k1, 0 AS k2, 'The error is caught and ignored.' AS message FROM k WHERE ptype = 'CatchClause' AND ord = 0 AND n_children = 0",
     "empty_function": NODES
     + " SELECT dump_id, pline AS line, 'empty-function' AS rule, parent_id AS k1, 0 AS k2, 'Function ' || coalesce(pname, '?') || ' has no body.' AS message FROM k WHERE ptype = 'FunctionDecl' AND first_block AND n_children = 0 AND coalesce(pname, '?') NOT IN ('{closure}', 'constructor', '__construct', '__init__')",
-    "long_function": NODES
-    + f" SELECT dump_id, pline AS line, 'long-function' AS rule, parent_id AS k1, 0 AS k2, 'Function ' || coalesce(pname, '?') || ' has ' || n_children || ' statements (more than {MAX_STATEMENTS}).' AS message FROM k WHERE ptype = 'FunctionDecl' AND first_block AND n_children > {MAX_STATEMENTS}",
-    "complex_function": _METRICS
-    + f" SELECT dump_id, line, 'complex-function' AS rule, node_id AS k1, 0 AS k2, 'Function ' || name || ' has a cognitive complexity of ' || cognitive || ' (more than {MAX_COGNITIVE}).' AS message FROM g WHERE cognitive > {MAX_COGNITIVE}",
+    "long_function": NODES + _long(MAX_STATEMENTS),
+    "complex_function": _METRICS + _complex(MAX_COGNITIVE),
+    "structure_defaults": _METRICS + _deep(4) + " UNION ALL" + _long(30) + " UNION ALL" + _complex(15),
+    "listed_functions": f"WITH {RESULTS} SELECT DISTINCT file, f.name, f.line, f.cyclomatic FROM (SELECT file, unnest(functions) AS f FROM res) WHERE f.cyclomatic < {LISTED_MOST}",
 }
 # pre-order numbers of a subtree are consecutive, so the last one below a node and its post-order number follow from sizes and depths
 _BELOW = (
