@@ -9,6 +9,7 @@ from treeline import cli
 from treeline.engine import Engine
 from treeline.operators import post
 from treeline.parsers import trees
+from treeline.sinks import formats
 from treeline.sources import files
 from treeline.sources.config import Config
 from treeline.streaming import files as stream
@@ -86,13 +87,14 @@ def test_report_formats(spark, project, capsys):
 def test_cache_gives_the_same(spark, project, capsys):
     cache = project / "cache.d"
     cold = run(capsys, project / "src", "--cache", cache)
-    files_kept = spark.read.parquet(f"{cache}/rows").filter("row = 'file'").count()
+    files_kept = spark.read.parquet(f"{cache}/{json.loads((cache / '_current').read_text())['table']}").filter("row = 'file'").count()
     assert files_kept == 2  # what doesn't parse isn't kept
     assert run(capsys, project / "src", "--cache", cache) == cold
     (project / "src" / "b.js").write_text("function b() { c() }\n")
     _, out = run(capsys, project / "src", "--cache", cache)
     assert "empty-function" not in out and "empty-catch" in out
-    (cache / "_fingerprint").write_text("other")
+    assert len(list(cache.glob("rows-*"))) == 2  # the one in use, and the one before
+    (cache / "_current").write_text("other")
     assert run(capsys, project / "src", "--cache", cache)[1] == out
 
 
@@ -193,3 +195,35 @@ def test_own_rules_take_options_and_severities(spark, project):
     for bad in ({"long-path": {"least": 1}}, {"long-path": {"most": 0}}, {"other": "off"}):
         with pytest.raises(config.ConfigError):
             engine.with_config(config.read({"rules": bad}, "."))
+
+
+@pytest.mark.parametrize("most", [256, 1])
+def test_listing_goes_on_where_files_are_read(spark, project, monkeypatch, most):
+    monkeypatch.setattr(files, "DRIVER_DIRS", most)
+    (project / "src" / "deep" / "er").mkdir(parents=True)
+    (project / "src" / "deep" / "er" / "x.php").write_text("<?php\n")
+    (project / "src" / "deep" / "no.php").write_text("<?php\n")
+    got = sorted(os.path.relpath(r.file, project) for r in files.scan_files(spark, str(project), ["src/deep/no.php"]).select("file").collect())
+    assert got == sorted(os.path.relpath(p, project) for p in files.list_files(str(project), ["src/deep/no.php"])) and "src/deep/er/x.php" in got
+    with pytest.raises(FileNotFoundError):
+        files.scan_files(spark, str(project / "none"))
+
+
+@pytest.mark.parametrize("kind", ["json", "sarif", "checkstyle"])
+def test_findings_are_written_by_partition(spark, project, tmp_path, kind):
+    a = Engine(spark).analyze_path(str(project))
+    out = tmp_path / "parts"
+    assert cli.main([str(project), "--output-dir", str(out), *([f"--{kind}"] if kind != "json" else [])]) == 1
+    texts = [p.read_text() for p in sorted(out.glob("part-*")) if p.stat().st_size]
+    n = a.findings.count()
+    if kind == "json":
+        rows = [json.loads(x) for t in texts for x in t.splitlines()]
+        assert len(rows) == n and all("fix" in r for r in rows)
+    elif kind == "sarif":
+        assert sum(len(json.loads(t)["runs"][0]["results"]) for t in texts) == n
+    else:
+        assert sum(t.count("<error ") for t in texts) == n
+    a.release()
+    assert a.findings.count() == n
+    with pytest.raises(ValueError, match="other"):
+        formats.write_parts(a.findings, "other", str(out), ".")

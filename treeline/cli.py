@@ -18,8 +18,8 @@ from treeline.sinks import fixer, formats, reports
 from treeline.sources import baseline, config
 
 FLAGS = ("--json", "--sarif", "--checkstyle", "--github", "--fix", "--no-todo", "--no-config")
-VALUES = ("--config", "--baseline", "--create-baseline", "--format", "--output", "--cache", "--jobs", "--suppress-prefix")
-USAGE = "usage: treeline [report] PATH [--json|--sarif|--checkstyle|--github] [--fix] [--no-todo] [--config FILE] [--baseline FILE] [--create-baseline FILE] [--cache DIR] [--jobs N|auto] [--format text|json|html] [--output FILE]"
+VALUES = ("--config", "--baseline", "--create-baseline", "--format", "--output", "--cache", "--jobs", "--suppress-prefix", "--output-dir")
+USAGE = "usage: treeline [report] PATH [--json|--sarif|--checkstyle|--github] [--fix] [--no-todo] [--config FILE] [--baseline FILE] [--create-baseline FILE] [--cache DIR] [--jobs N|auto] [--format text|json|html] [--output FILE] [--output-dir DIR]"
 
 
 class Usage(ValueError):
@@ -120,6 +120,10 @@ def run(argv: list[str]) -> int:
         found = post.apply_baseline(rel, b, post.ORDER).withColumn("file", F.col("_full")).drop("_full")
     found = found.persist()
     any_found = not found.isEmpty()
+    if "--output-dir" in opts:
+        kind = next((k for k in ("sarif", "checkstyle") if opts.get(f"--{k}")), "json")
+        formats.write_parts(found, kind, str(opts["--output-dir"]), base)
+        return 1 if any_found else 0
     if opts.get("--github"):
         text = formats.as_annotations(found, base)
     elif opts.get("--sarif"):

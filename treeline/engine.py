@@ -51,11 +51,18 @@ def check_options(config: Config, own: tuple[OwnRule, ...] = ()) -> None:
 
 @dataclass(frozen=True)
 class Analysis:
-    """What an analysis gives: files, their results, and findings in a table with order keys."""
+    """What an analysis gives: files, their results, and findings in a table with order keys.
+
+    ``release`` lets go of what is kept for reuse; the frames can still be computed again."""
 
     files: DataFrame
     results: DataFrame
     findings: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
 
 @dataclass(frozen=True)
@@ -151,7 +158,7 @@ class Engine:
         per = metrics.groupBy(F.col("id").alias("file")).agg(F.sort_array(F.collect_list(F.struct("node_id", "name", "line", "cyclomatic", "cognitive", "statements"))).alias("f"))
         functions = F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["line"].alias("line"), x["cyclomatic"].alias("cyclomatic"), x["cognitive"].alias("cognitive"), x["statements"].alias("statements")))
         results = readable.select("file", "language", T.lines_of_code(F.col("source")).alias("lines_of_code")).join(per.select("file", functions.alias("functions")), "file", "left")
-        return Analysis(files, results, found)
+        return Analysis(files, results, found, (files, parsed, nodes))
 
     @staticmethod
     def shaped(df: DataFrame, phase: int, rule_ord: int) -> DataFrame:

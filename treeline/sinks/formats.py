@@ -1,17 +1,21 @@
 """Findings as text, JSON, Checkstyle XML, SARIF and CI annotations.
 
-Formats read findings in their contractual order, one partition at a time.
+Formats read findings in their contractual order, one partition at a time, into one text; ``write_parts``
+writes a file per partition instead, where findings are too many for that.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from types import SimpleNamespace
 from urllib.parse import quote
 from xml.etree import ElementTree as ET
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from treeline import __version__
 from treeline.operators import post
@@ -78,6 +82,26 @@ def as_sarif(found: Iterable[Row], base: str) -> str:
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, ensure_ascii=False, indent=2) + "\n"
 
 
+def write_parts(findings: DataFrame, kind: str, path: str, base: str) -> None:
+    """Findings as a folder of files, one per partition, written by the executors: ``json`` (a finding a line), ``sarif``
+    (a whole log in each file) or ``checkstyle``. Files are split by path, so one file's findings stand together and in order."""
+    rows_ = findings.repartitionByRange("file").sortWithinPartitions(*post.ORDER)
+    if kind == "json":
+        fix = F.when(F.col("fix").isNotNull(), F.struct(F.col("fix.start_offset").alias("startOffset"), F.col("fix.end_offset").alias("endOffset"), F.col("fix.replacement").alias("replacement")))
+        rows_.select("file", "line", "rule", "severity", "message", fix.alias("fix")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        return
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [SimpleNamespace(**r) for pdf in batches for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records")]
+        if found:
+            text = as_sarif(found, base) if kind == "sarif" else as_checkstyle(found)
+            yield pd.DataFrame({"value": [text.rstrip("\n")]})
+
+    if kind not in ("sarif", "checkstyle"):
+        raise ValueError(kind)
+    rows_.select("file", "line", "rule", "severity", "message", "end_line").mapInPandas(part, "value string").write.mode("overwrite").text(path)
+
+
 def as_annotations(findings: DataFrame, base: str) -> str:
     lines = post.github_annotations(post.ordered(findings), os.path.realpath(base)).select("annotation").toLocalIterator()
     return "".join(r.annotation + "\n" for r in lines)

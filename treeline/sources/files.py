@@ -57,11 +57,39 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["file", "content", "source", "language", "error"])
 
 
+#: Directories that the driver lists at most before the executors go on from there.
+DRIVER_DIRS = 256
+
+
+def _walk(batches: Iterator[pd.DataFrame], exclude: list[str], base: str) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for top, deep in zip(pdf["file"], pdf["deep"]):
+            yield pd.DataFrame({"file": list_files(top, exclude, base) if deep else [top]})
+
+
 def scan_files(spark: SparkSession, root: str, exclude: list[str] | None = None, base: str | None = None) -> DataFrame:
-    """The files below a directory that all executors see."""
-    paths = list_files(root, exclude, base)
-    listed = spark.createDataFrame([(p,) for p in paths], "file string")
-    return listed.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))).mapInPandas(_read, FILES)
+    """The files below a directory that all executors see.
+
+    The driver lists the upper directories only, DRIVER_DIRS at most; what lies below is listed where it is read.
+    Raises FileNotFoundError."""
+    exclude, base = exclude or [], base or root
+    found: list[tuple[str, bool]] = []
+    if not os.path.isdir(root):
+        found = [(p, False) for p in list_files(root, exclude, base)]
+    todo, seen = ([root] if os.path.isdir(root) else []), 0
+    while todo and seen < DRIVER_DIRS and len(todo) < DRIVER_DIRS:
+        here, seen = todo.pop(0), seen + 1
+        for entry in os.scandir(here):
+            if entry.is_dir(follow_symlinks=False):
+                if entry.name not in SKIPPED:
+                    todo.append(entry.path)
+            elif not entry.is_dir() and not is_excluded(os.path.relpath(entry.path, base).replace(os.sep, "/"), exclude):
+                found.append((entry.path, False))
+    many = spark.sparkContext.defaultParallelism * 4
+    listed = spark.createDataFrame(found + [(d, True) for d in todo], "file string, deep boolean").repartition(max(1, min(len(found) + len(todo), many)))
+    if todo:  # as many files as there may be below
+        listed = listed.mapInPandas(lambda it: _walk(it, exclude, base), "file string").repartition(many)
+    return listed.select("file").mapInPandas(_read, FILES)
 
 
 def scan_binary(spark: SparkSession, root: str, globs: str = "*") -> DataFrame:
