@@ -40,9 +40,13 @@ def has_letter(line: Column) -> Column:
     return line.rlike(r"[\p{L}\p{N}]")
 
 
-def window_hash(norm: Column, at: Column, size: int) -> Column:
-    """16 hexadecimal digits over ``size`` normalised lines from 0-based ``at``."""
-    return F.substring(F.md5(F.concat_ws("\n", F.slice(norm, at + 1, size))), 1, 16)
+def window_hashes(norm: Column, size: int) -> Column:
+    """16 hexadecimal digits over each ``size`` consecutive normalised lines; no window for fewer lines.
+
+    Shifted copies of the array are zipped, so that the cost a window doesn't grow with the text."""
+    n = F.size(norm) - size + 1
+    z = F.arrays_zip(*[F.slice(norm, k + 1, F.greatest(n, F.lit(0))).alias(f"w{k}") for k in range(size)])
+    return F.transform(z, lambda x: F.substring(F.md5(F.concat_ws("\n", *[x[f"w{k}"] for k in range(size)])), 1, 16))
 
 
 def cache_key(file: Column, content: Column) -> Column:

@@ -34,15 +34,14 @@ def facts(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(file, lines array<int>, hashes array<string>) of files(file, source, language)."""
     usable = files.filter(F.col("language").isNotNull() & F.col("source").isNotNull() & (F.instr("source", "\u0000") == 0))
     k = usable.select("file", kept_lines(F.col("source")).alias("k")).select("file", F.col("k.line").alias("lines"), F.col("k.norm").alias("norm"))
-    n = F.size("lines") - min_lines
-    hashes = F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: T.window_hash(F.col("norm"), i, min_lines))).otherwise(F.array().cast("array<string>"))
-    return k.select("file", "lines", hashes.alias("hashes"))
+    return k.select("file", "lines", T.window_hashes(F.col("norm"), min_lines).alias("hashes"))
 
 
 def windows(facts_: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(file, pos, hash, line, last_line)."""
-    w = facts_.select("file", "lines", F.posexplode("hashes").alias("pos", "hash"))
-    return w.select("file", "pos", "hash", F.element_at("lines", F.col("pos") + 1).alias("line"), F.element_at("lines", F.col("pos") + min_lines).alias("last_line"))
+    n = F.size("hashes")
+    z = F.arrays_zip(F.col("hashes").alias("hash"), F.slice("lines", 1, n).alias("line"), F.slice("lines", min_lines, n).alias("last_line"))
+    return facts_.select("file", F.posexplode(z).alias("pos", "w")).select("file", "pos", "w.hash", "w.line", "w.last_line")
 
 
 def pairs(w: DataFrame, min_lines: int = MIN_LINES, max_occurrences: int = MAX_OCCURRENCES) -> DataFrame:
