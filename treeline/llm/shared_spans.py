@@ -68,7 +68,7 @@ def mixed(h: np.ndarray, seed: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_OUT = pa.schema([("file_id", pa.int64()), ("at", pa.int32()), ("w", pa.list_(pa.int64())), ("p", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64()))])
+_OUT = pa.schema([("file_id", pa.int64()), ("at", pa.int32()), ("w", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,15 +83,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_id, place = file_id[there], place[there]
         if not len(h):
             continue
-        # a new row of the table, or a window that says so
+        # a new row of the table, windows left out between, or a window that says so
         row = np.repeat(np.arange(len(sizes)), sizes)[there]
-        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (mixed(h[1:], np.uint64(1)) % np.uint64(PARAGRAPH) == 0)]))
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | (mixed(h[1:], np.uint64(1)) % np.uint64(PARAGRAPH) == 0)]))
         ends = np.concatenate([first, [len(h)]]).astype(np.int32)
         bands = np.stack([np.minimum.reduceat(mixed(h, s), first) ^ s for s in _SEEDS], axis=1)
         lists = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(file_id[first]), pa.array(place[first].astype(np.int32)), lists(h.view(np.int64), ends), lists(place.astype(np.int32), ends),
+                pa.array(file_id[first]), pa.array(place[first].astype(np.int32)), lists(h.view(np.int64), ends),
                 lists(bands.reshape(-1).view(np.int64), np.arange(len(first) + 1, dtype=np.int32) * BANDS),
             ],
             schema=_OUT,
@@ -107,8 +107,8 @@ def usable(facts: DataFrame) -> DataFrame:
 
 
 def paragraphs(facts: DataFrame) -> DataFrame:
-    """(file_id, at, w, p, bands): one row per paragraph, its window hashes, their places, and its signature."""
-    return facts.select("file_id", "hashes").mapInArrow(_cut, "file_id long, at int, w array<long>, p array<int>, bands array<long>")
+    """(file_id, at, w, bands): one row per paragraph, the place of its first window, its window hashes, and its signature."""
+    return facts.select("file_id", "hashes").mapInArrow(_cut, "file_id long, at int, w array<long>, bands array<long>")
 
 
 def in_buckets(rows: DataFrame, buckets: DataFrame, key: str) -> DataFrame:
@@ -137,21 +137,21 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
 
 
 def verified(paras: DataFrame) -> DataFrame:
-    """(file_id, w, p, partner_file, shared): every paragraph with the windows that its partner has too."""
+    """(file_id, at, w, partner_file, shared): every paragraph with the windows that its partner has too."""
     links = cut(linked(paras))
-    own = paras.join(links, ["file_id", "at"], "left").select("file_id", "w", "p", "partner")
+    own = paras.join(links, ["file_id", "at"], "left").select("file_id", "at", "w", "partner")
     # a partner may be that of any part of all paragraphs
     many = links.groupBy("partner").agg(F.count("*").alias("n"))
     size = many.agg((F.coalesce(F.sum("n"), F.lit(0)) / HOT_SHARE).alias("x")).first().x
     other = join_small(paras.select(F.struct("file_id", "at").alias("partner"), F.col("w").alias("pw")).dropDuplicates(["partner"]), many.select("partner"), ["partner"], "left_semi", even=True)
     both = join_small(own, cut(other), ["partner"], "left", hot=many.filter(F.col("n") > size).select("partner"))
     near = F.coalesce(jaccard("w", "pw") >= JACCARD, F.lit(False))
-    return both.select("file_id", "w", "p", F.col("partner.file_id").alias("partner_file"), F.when(near, F.array_intersect("w", "pw")).otherwise(F.array().cast("array<long>")).alias("shared"))
+    return both.select("file_id", "at", "w", F.col("partner.file_id").alias("partner_file"), F.when(near, F.array_intersect("w", "pw")).otherwise(F.array().cast("array<long>")).alias("shared"))
 
 
 def _places(seen: bool) -> Column:
     """(h, pos) of the windows that are in ``shared``, or of those that aren't."""
-    z = F.arrays_zip(F.col("w").alias("h"), F.col("p").alias("pos"))
+    z = F.transform("w", lambda h, k: F.struct(h.alias("h"), (F.col("at") + k).alias("pos")))
     return F.filter(z, lambda x: F.array_contains("shared", x["h"]) == F.lit(seen))
 
 
