@@ -3,6 +3,8 @@ stay whole under skew, and a bound on whatever is broadcast."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark import StorageLevel
@@ -20,7 +22,8 @@ SIEVE = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own."""
+    Only a local session without the setting gets a folder of its own, which goes with the process. On a cluster
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` lets Spark delete what no frame refers to any more."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if there:
@@ -28,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="treeline-checkpoint-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(own)
     return own
 
