@@ -141,6 +141,9 @@ SQL = {
     "p8_found": _P8 + "SELECT doc_id, item_id FROM f",
     "p8_items": _P8 + "SELECT item_id, count(*) AS documents FROM f GROUP BY 1",
     "p6_found": _P6 + "SELECT file_id, line FROM l",
+    "p6_components": _P6.replace("WITH f", "WITH RECURSIVE f")
+    + """, e AS (SELECT DISTINCT w.file_id AS a, min(w.file_id) OVER (PARTITION BY h) AS b FROM w JOIN b USING (h)), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+      r AS (SELECT a AS file_id, a AS c FROM g UNION SELECT r.file_id, g.b FROM r JOIN g ON r.c = g.a) SELECT file_id, min(c) AS component FROM r GROUP BY 1""",
     "p6_shares": _P6
     + """SELECT file_id, max(len(lines)) AS code_lines, coalesce(max(n), 0) AS shared_lines, CASE WHEN max(len(lines)) > 0 THEN coalesce(max(n), 0) / max(len(lines)) ELSE 0.0 END AS share
       FROM (SELECT file_id, lines FROM duplicate_facts WHERE file_id IS NOT NULL AND lines IS NOT NULL) LEFT JOIN (SELECT file_id, count(*) AS n FROM l GROUP BY 1) USING (file_id) GROUP BY 1""",
