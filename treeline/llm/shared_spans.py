@@ -172,13 +172,13 @@ def holders(done: DataFrame) -> DataFrame:
 
 
 def by_hash(held: DataFrame) -> DataFrame:
-    """(h, first_file, n): hashes in two files at least, and how many windows left over have them."""
-    return held.groupBy("h").agg(F.min("low").alias("first_file"), F.max("high").alias("last_file"), F.sum("n").alias("n")).filter("first_file < last_file").drop("last_file")
+    """(h, first_file, n, rows): hashes in two files at least, how many windows left over have them, and how many rows."""
+    return held.groupBy("h").agg(F.min("low").alias("first_file"), F.max("high").alias("last_file"), F.sum("n").alias("n"), F.count("*").alias("rows")).filter("first_file < last_file").drop("last_file")
 
 
 def the_rest(done: DataFrame) -> DataFrame:
     """(file_id, pos, first_file): the shared windows among those left over."""
-    return in_buckets(left_over(done), cut(by_hash(holders(done)).filter("n > 0")), "h").select("file_id", "pos", "first_file")
+    return in_buckets(left_over(done), cut(by_hash(holders(done)).filter("n > 0").drop("rows")), "h").select("file_id", "pos", "first_file")
 
 
 def shared_windows(facts: DataFrame) -> DataFrame:
@@ -235,8 +235,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def file_links(done: DataFrame) -> DataFrame:
     """(a, b): links that connect all files of each shared hash, through the least of them."""
-    held = holders(done).groupBy("h", "low", "high").agg(F.count("*").alias("n"))
-    met = in_buckets(held, cut(by_hash(held)), "h")
+    held = holders(done).drop("n")
+    met = in_buckets(held, cut(by_hash(holders(done)).drop("n").withColumnRenamed("rows", "n")), "h")
     return met.select(F.explode(F.array("low", "high")).alias("a"), F.col("first_file").alias("b")).filter("a != b").distinct()
 
 
