@@ -105,3 +105,9 @@ def test_cuts_may_lie_inside_constructs(spark, lang):
         assert {k: syntax.decided(syntax.folded([m for _, m in syntax.runs(t, lang, size, 2)], lang), lang) for k, t in enumerate(texts)} == whole
         assert len(syntax.cut_at_lines(text, size)) > 5
         assert verdicts(spark, rows, chunk_chars=size) == whole
+
+
+def test_elements_are_read_in_their_files_only(spark):
+    text = "const a = <ul>\n" + "  {b.map((x) => <li key={x}>it's {x}</li>)}\n" * 40 + "</ul>;\n"
+    rows = [(1, "r", "a.jsx", text, None, None), (2, "r", "b.tsx", text, None, None), (3, "r", "c.js", text, None, None), (4, "r", "d.jsx", text.replace("</ul>", ""), None, None)]
+    assert verdicts(spark, rows, chunk_chars=50) == verdicts(spark, rows) == {1: True, 2: True, 3: False, 4: False}

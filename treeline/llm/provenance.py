@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from treeline.cluster import HOT_SHARE, cut, join_small
 from treeline.llm.bits import Bits
-from treeline.llm.syntax import asked_languages, of_stated_language, parses, with_languages
+from treeline.llm.syntax import asked_languages, of_stated_language, parses, plain_source, with_languages
 from treeline.parsers.spans import spans
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
@@ -164,7 +164,7 @@ def _evidence(batches: Iterator[pd.DataFrame], relabelled: Bits | None) -> Itera
             for lang in langs:
                 e = evidence(text, lang, file)
                 # no directory can make more than this of a file; the others are surely handwritten
-                ok = True if not text else parses(text, lang) if e[0] <= max(e[1:]) + 2 * math.log(MOST_RATIO) else None
+                ok = True if not text else parses(plain_source(text, file), lang) if e[0] <= max(e[1:]) + 2 * math.log(MOST_RATIO) else None
                 rows.append((ident, repo, file.rpartition("/")[0], ext, lang, at, digest, ok, *e))
         yield pd.DataFrame(rows, columns=["file_id", "repo", "dir", "ext", "lang", "at", "digest", "valid", *E]).astype({"valid": object})
 

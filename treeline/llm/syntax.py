@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from treeline.cluster import cut, join_small
 from treeline.llm.bits import Bits
-from treeline.parsers import classes
+from treeline.parsers import classes, jsx
 from treeline.parsers.grammar import _LEFT, grammar
 from treeline.parsers.spans import EXTENSIONS, PROGRAMMING, language_of
 
@@ -71,6 +71,11 @@ def parses(text: str, lang: str) -> bool:
     return grammar(lang).valid(classes.token_classes(text, lang))
 
 
+def plain_source(text: str | None, file: str | None) -> str | None:
+    """The text as the grammars read it: in .jsx and .tsx files elements are arrays of the expressions in them."""
+    return jsx.without_elements(text) if text and file and file.lower().endswith((".jsx", ".tsx")) else text
+
+
 # chunks ---------------------------------------------------------------------------------------
 
 #: (broken, what the chunk comes to, for Python its other open end or None where no statement begins, the state at its end)
@@ -337,6 +342,7 @@ def _summaries(batches: Iterator[pd.DataFrame], relabelled: Bits | None, size: i
     for pdf in batches:
         rows = []
         for ident, repo, file, ext, text, at, digest, langs in asked_languages(pdf, relabelled, ["file_id", "repo", "file", "ext", "source", "at", "digest"]):
+            text = plain_source(text, file)
             for lang in langs:
                 got = list(runs(text, lang, size)) if text else []
                 if len(got) < 2:  # nothing left to compose with
